@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from kerbside.llm import decontaminate, secrets
+from kerbside.llm import chat, decontaminate, extract, jaccard, jpeg, langid, merkle, pack, secrets
 from kerbside.llm.common import table
 
 
@@ -34,5 +34,56 @@ def op3_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", *counts, F.sha2(_listed(base), 256).alias("base_sha256"), _listed("spans").alias("spans"))
 
 
-QUERIES = {f.__name__: f for f in (op2_decontaminate, op3_secrets)}
+#: A conversation whose texts hold the template's own control strings.
+ODD_CONVERSATION = r"\### Assistant: </turn> ok"
+
+
+def op1_chat_format(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = table(spark, sf_dir, "conversations").select("conv_id", "turn", "role", "text")
+    odd = [(-7, k, role, ODD_CONVERSATION) for k, role in enumerate(("user", "assistant"))]
+    return chat.digest(chat.expand(rows.unionByName(spark.createDataFrame(odd, rows.schema))))
+
+
+def op4_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    held_out = F.coalesce(F.crc32(F.col("doc_id").cast("string").cast("binary")) % 4 == 2, F.lit(False))
+    languages, model = langid.learn(docs.where(~held_out).select("doc_id", "lang", "text"))
+    found = langid.identify(docs.select("doc_id", "text"), languages, model)
+    return found.select("doc_id", held_out.alias("held_out"), "lang_pred", "score")
+
+
+def op5_ngram_jaccard(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return jaccard.link(table(spark, sf_dir, "documents"))
+
+
+def op6_merkle_audit(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The replica is the table with damage: some payloads have another first character, some archives lost their tails."""
+    pages = table(spark, sf_dir, "pages").select("page_id", "url", "html")
+    rotten = F.substring(F.md5(F.col("page_id").cast("string")), 1, 2) == "03"
+    html = F.when(rotten & (F.length("html") > 0), F.concat(F.lit("#"), F.expr("substring(html, 2)"))).otherwise(F.col("html"))
+    lost = F.coalesce(F.pmod("page_id", F.lit(merkle.ARCHIVE_IDS)) >= merkle.ARCHIVE_IDS - 6, F.lit(False))
+    replica = pages.where(~lost).withColumn("html", html)
+    return merkle.audit(pages, replica)
+
+
+def op7_url_differencing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = extract.extract(table(spark, sf_dir, "pages"))
+    return found.select("page_id", "url", "text", F.length("text").cast("long").alias("n_chars"))
+
+
+def op8_baseline_jpeg(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return jpeg.decode(jpeg.encode(table(spark, sf_dir, "documents")))
+
+
+def op9_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return pack.pack(table(spark, sf_dir, "documents"))
+
+
+QUERIES = {
+    f.__name__: f
+    for f in (
+        op1_chat_format, op2_decontaminate, op3_secrets, op4_language_id, op5_ngram_jaccard, op6_merkle_audit,
+        op7_url_differencing, op8_baseline_jpeg, op9_best_fit_packing,
+    )
+}
 ORACLES: dict[str, str] = {}
