@@ -1,8 +1,60 @@
-"""The corpus pipeline."""
+"""The corpus pipeline: from raw documents to packed sequences.
 
-STAGES = []
+Each stage takes ``(spark, docs, sf_dir)`` and works on all that its predecessor kept; it is written as Parquet and
+read again as the next one's ``docs``. All but the last return the columns of documents.
+"""
+
+from __future__ import annotations
+
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from kerbside.llm import decontaminate, jaccard, langid, pack, secrets
+from kerbside.llm.common import materialize, table
+
+
+def language_id(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Rejects documents without a language: null texts and texts without a letter. Labels become the predictions."""
+    languages, model = langid.learn(docs.select("doc_id", "lang", "text"))
+    kept = [c for c in docs.columns if c not in ("doc_id", "lang")]
+    found = langid.identify(docs.withColumn("n_chars", F.col("n_chars").cast("long")), languages, model, tuple(kept))
+    return found.where("lang_pred <> 'und'").withColumnRenamed("lang_pred", "lang").select(*docs.columns)
+
+
+def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Of each component of linked documents, the one of the smallest id stays."""
+    return jaccard.keep_one(docs)
+
+
+def decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents that hold a benchmark window go."""
+    return decontaminate.decontaminate(docs, table(spark, sf_dir, "benchmark"))
+
+
+def secret_scan(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Secrets and linked parts of credentials are masked; the documents stay."""
+    return secrets.redact(docs).withColumn("n_chars", F.length("text").cast("long"))
+
+
+def packing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """The documents as token pieces in sequences."""
+    return pack.pack(docs)
+
+
+STAGES = [
+    ("language_id", language_id),
+    ("near_duplicates", near_duplicates),
+    ("decontamination", decontamination),
+    ("secret_scan", secret_scan),
+    ("packing", packing),
+]
+
+#: Tokenization and language ID are beyond SQL.
 ORACLE_SQL = None
 
 
-def run(spark, sf_dir):
-    raise NotImplementedError
+def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    for name, stage in STAGES[:-1]:
+        docs = materialize(stage(spark, docs, sf_dir), f"stage-{name}")
+    return STAGES[-1][1](spark, docs, sf_dir)

@@ -14,7 +14,7 @@ Two sets at the threshold of 0.75 share no tile with a probability of (1 - 0.75^
 
 Defined cases: a document without words has an empty set and is its own component; with fewer words than a shingle,
 the whole sequence is its only one; null texts have no words; repeated rows give one row each; documents with a
-null id join their class but are not its smallest id; extra columns are ignored; empty tables give empty results.
+null id join their class but are not its smallest id, and ``keep_one`` keeps them; extra columns are ignored; empty tables give empty results.
 """
 
 from __future__ import annotations

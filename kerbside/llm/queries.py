@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from kerbside.llm import chat, decontaminate, extract, jaccard, jpeg, langid, merkle, pack, secrets
+from kerbside.llm import chat, decontaminate, extract, jaccard, jpeg, langid, merkle, pack, repeats, secrets
 from kerbside.llm.common import table
 
 
@@ -79,11 +79,16 @@ def op9_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pack.pack(table(spark, sf_dir, "documents"))
 
 
+def op10_suffix_repeats(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = repeats.deduplicate(table(spark, sf_dir, "documents"))
+    return found.select("doc_id", "n_bytes", "n_removed", "n_spans", F.sha2("kept", 256).alias("kept_sha256"))
+
+
 QUERIES = {
     f.__name__: f
     for f in (
         op1_chat_format, op2_decontaminate, op3_secrets, op4_language_id, op5_ngram_jaccard, op6_merkle_audit,
-        op7_url_differencing, op8_baseline_jpeg, op9_best_fit_packing,
+        op7_url_differencing, op8_baseline_jpeg, op9_best_fit_packing, op10_suffix_repeats,
     )
 }
 ORACLES: dict[str, str] = {}
