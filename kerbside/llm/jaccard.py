@@ -5,10 +5,11 @@ which two similar sets agree on some. Within a tile, only sizes of the same band
 bound the overlap of two sets from above by bit counts, and only pairs that the bound admits have their sorted
 shingle arrays intersected, exactly.
 
-Links are found in two rounds. In the first, every class of a tile is compared with the tile's smallest; that
-joins most groups of copies with as many comparisons as they have members. In the second, only tiles whose classes
-are still in different components compare those across components. So pairs inside a linked group are not listed,
-and every pair that shares a tile is either compared or already connected.
+Links are found in two rounds. In the first, every class of a tile is compared with the one of the tile that shares
+most tiles with others; that joins most groups of copies with as many comparisons as they have members. In the
+second, tiles whose classes are still in different components compare the signatures of those, in blocks of bounded
+size, and list only the pairs that may link. So pairs inside a linked group are not listed, and every pair that
+shares a tile is compared or already connected.
 
 Two sets at the threshold of 0.75 share no tile with a probability of (1 - 0.75^ROWS)^BANDS = 3e-8, and less above.
 
@@ -35,6 +36,8 @@ BANDS, ROWS = 64, 5
 #: Bits of a signature to a shingle, at least; powers of two from LEAST_BITS on, so that signatures fold onto shorter ones.
 LEAST_BITS = 128
 REMEMBERED = 400_000
+#: Classes of a block of a tile; a task holds two blocks.
+BLOCK = 2048
 
 
 class _Words(dict):
@@ -145,14 +148,84 @@ def _sets(batch: pa.RecordBatch) -> pa.RecordBatch:
     )
 
 
-def verified(pairs: DataFrame, classes: DataFrame, texts: DataFrame, percent: int) -> DataFrame:
-    """The pairs ``(a, b)`` of classes whose sets are similar enough: by signatures, then by the sets themselves."""
+def _fold(bitmap: bytes, size: int) -> bytes:
+    x = np.frombuffer(bitmap, np.uint64)
+    while len(x) * 8 > size:
+        x = x[: len(x) // 2] ^ x[len(x) // 2 :]
+    return x.tobytes()
+
+
+def _compare(classes: list[int], parts: list[int], n: list[int], bitmaps: list[bytes], blocks: list[int], percent: int) -> list[tuple[int, int]]:
+    """Pairs of a tile's classes that may link, across components, and across blocks if there are two."""
+    order = sorted(range(len(classes)), key=lambda i: n[i])
+    out = []
+    for bits in sorted({len(x) for x in bitmaps}):
+        # sizes of one band have signatures of this length or twice it
+        own = [i for i in order if len(bitmaps[i]) in (bits, 2 * bits)]
+        x = np.frombuffer(b"".join(_fold(bitmaps[i], bits) for i in own), np.uint64).reshape(len(own), -1)
+        size, part, block = (np.array([v[i] for i in own]) for v in (n, parts, blocks))
+        two = len(set(blocks)) > 1
+        for k, i in enumerate(own):
+            if len(bitmaps[i]) != bits:
+                break
+            end = int(np.searchsorted(size, 100 * size[k] // percent, "right"))
+            if end <= k + 1:
+                continue
+            apart = np.bitwise_count(x[k] ^ x[k + 1 : end]).sum(1, dtype=np.int64)
+            both = (size[k] + size[k + 1 : end] - apart) // 2
+            near = (100 * both >= percent * (size[k] + size[k + 1 : end] - both)) & (part[k + 1 : end] != part[k])
+            if two:
+                near &= block[k + 1 : end] != block[k]
+            for j in np.flatnonzero(near):
+                y = classes[own[k + 1 + j]]
+                out.append((min(classes[i], y), max(classes[i], y)))
+    return out
+
+
+def across(tiles: DataFrame, percent: int) -> DataFrame:
+    """``(a, b)``: pairs of ``tile, class, component, n, bitmap, members`` rows that may link, once each."""
+    count = F.ceil(F.col("members") / BLOCK).cast("int")
+    block = F.pmod(F.hash("class"), count)
+    other = F.explode(F.sequence(F.lit(0), count - 1))
+    dealt = tiles.withColumn("block", block).select("*", other.alias("other"))
+    dealt = dealt.select(
+        "tile", F.least("block", "other").alias("low"), F.greatest("block", "other").alias("high"), "class", "component", "n", "bitmap", "block"
+    )
 
-    def bound(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            a, b, na, nb, x, y = (c.to_pylist() for c in batch.columns)
-            keep = [may_link(*r, percent) for r in zip(x, y, na, nb)]
-            yield batch.select(["a", "b"]).filter(pa.array(keep, pa.bool_()))
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held: list[list] = [[] for _ in range(5)]
+        key, out = None, []
+
+        def flush() -> None:
+            nonlocal out
+            if len(set(held[1])) > 1:
+                out += _compare(*held, percent)
+            for x in held:
+                x.clear()
+
+        def batch() -> pa.RecordBatch:
+            pairs = sorted(set(out))
+            return pa.RecordBatch.from_arrays([pa.array([p[k] for p in pairs], pa.int64()) for k in (0, 1)], ["a", "b"])
+
+        for b in batches:
+            for tile, low, high, *row in zip(*(c.to_pylist() for c in b.columns)):
+                if (tile, low, high) != key:
+                    flush()
+                    key = tile, low, high
+                    if len(out) > 100_000:
+                        yield batch()
+                        out = []
+                for x, v in zip(held, row):
+                    x.append(v)
+        flush()
+        yield batch()
+
+    own = dealt.repartition("tile", "low", "high").sortWithinPartitions("tile", "low", "high")
+    return own.mapInArrow(run, "a long, b long").distinct()
+
+
+def verified(pairs: DataFrame, texts: DataFrame, percent: int) -> DataFrame:
+    """The pairs ``(a, b)`` of classes whose sets are similar enough."""
 
     def exact(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in (s for x in batches for s in slices(iter([x]), "xs")):
@@ -163,17 +236,28 @@ def verified(pairs: DataFrame, classes: DataFrame, texts: DataFrame, percent: in
                 keep.append(100 * both >= percent * (len(s) + len(t) - both))
             yield batch.select(["a", "b"]).filter(pa.array(keep, pa.bool_()))
 
-    side = lambda k: classes.select(F.col("class").alias(k), F.col("n").alias(f"n{k}"), F.col("bitmap").alias(f"bits_{k}"))
-    signed = pairs.join(side("a"), "a").join(side("b"), "b").select("a", "b", "na", "nb", "bits_a", "bits_b")
-    left = materialize(signed.mapInArrow(bound, "a long, b long"), "pairs")
     # the sets of those that are left are made again from their texts, rather than kept for all
-    needed = left.select(F.col("a").alias("class")).union(left.select("b")).distinct()
+    needed = pairs.select(F.col("a").alias("class")).union(pairs.select("b")).distinct()
     members = materialize(map_arrow(texts.join(needed, "class", "left_semi"), "text", "class long, members binary", _sets), "sets")
-    both = left.join(members.select(F.col("class").alias("a"), F.col("members").alias("xs")), "a")
+    both = pairs.join(members.select(F.col("class").alias("a"), F.col("members").alias("xs")), "a")
     both = both.join(members.select(F.col("class").alias("b"), F.col("members").alias("ys")), "b")
     return materialize(both.select("a", "b", "xs", "ys").mapInArrow(exact, "a long, b long"), "links")
 
 
+def bounded(pairs: DataFrame, classes: DataFrame, percent: int) -> DataFrame:
+    """The pairs that sizes and signatures admit."""
+
+    def bound(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            a, b, na, nb, x, y = (c.to_pylist() for c in batch.columns)
+            keep = [may_link(*r, percent) for r in zip(x, y, na, nb)]
+            yield batch.select(["a", "b"]).filter(pa.array(keep, pa.bool_()))
+
+    side = lambda k: classes.select(F.col("class").alias(k), F.col("n").alias(f"n{k}"), F.col("bitmap").alias(f"bits_{k}"))
+    signed = pairs.join(side("a"), "a").join(side("b"), "b").select("a", "b", "na", "nb", "bits_a", "bits_b")
+    return materialize(signed.mapInArrow(bound, "a long, b long"), "pairs")
+
+
 def link(docs: DataFrame, percent: int = PERCENT) -> DataFrame:
     """``doc_id, n_shingles, component_id`` of every document; links are by ``percent`` of the union at least."""
     held = materialize(sketches(docs), "sketches")
@@ -184,29 +268,23 @@ def link(docs: DataFrame, percent: int = PERCENT) -> DataFrame:
     first = number.select(F.col("class").alias("doc_id"), F.col("low").alias("l"), F.col("high").alias("h"))
     classes = some.join(first, ["doc_id"]).where("low = l and high = h").dropDuplicates(["doc_id"])
     classes = classes.select(F.col("doc_id").alias("class"), "n", "keys", "bitmap")
-    tiles = classes.select("class", "n", F.explode("keys").alias("tile"))
-    centre = tiles.groupBy("tile").agg(F.min("class").alias("centre"), F.count(F.lit(1)).alias("members")).where("members > 1")
-    met = materialize(tiles.join(centre, "tile").select("tile", "class", "n", "centre"), "tiles")
+    tiles = classes.select("class", F.explode("keys").alias("tile"))
+    sizes = tiles.groupBy("tile").agg(F.count(F.lit(1)).alias("members")).where("members > 1")
+    met = materialize(tiles.join(sizes, "tile").select("tile", "class", "members"), "tiles")
     texts = docs.select(F.col("doc_id").alias("class"), "text").where("doc_id is not null")
     classes = materialize(classes.drop("keys"), "signatures")
-    stars = met.where("class <> centre").select(F.col("centre").alias("a"), F.col("class").alias("b")).distinct()
-    links = verified(stars, classes, texts, percent)
+    # compared first with what shares most tiles, as the original of many copies does
+    weight = met.groupBy("class").agg(F.sum(F.col("members") - 1).alias("weight"))
+    centre = met.join(weight, "class").groupBy("tile").agg(F.max_by("class", "weight").alias("centre"))
+    stars = met.join(centre, "tile").where("class <> centre")
+    stars = stars.select(F.least("centre", "class").alias("a"), F.greatest("centre", "class").alias("b")).distinct()
+    links = verified(bounded(stars, classes, percent), texts, percent)
     joined = components(links, "round1")
     now = met.join(joined.withColumnRenamed("node", "class"), "class", "left")
-    now = now.select("tile", "class", "n", F.coalesce("component", "class").alias("component"), "centre")
+    now = now.select("tile", "class", "members", F.coalesce("component", "class").alias("component"))
     open_ = now.groupBy("tile").agg(F.min("component").alias("x"), F.max("component").alias("y")).where("x <> y").select("tile")
-    now = now.join(open_, "tile")
-    a, b = (now.select([F.col(c).alias(f"{c}_{k}") for c in now.columns]) for k in "ab")
-    across = (
-        (F.col("tile_a") == F.col("tile_b"))
-        & (F.col("component_a") < F.col("component_b"))
-        & (F.col("n_a") * 100 >= F.col("n_b") * percent)
-        & (F.col("n_b") * 100 >= F.col("n_a") * percent)
-        & (F.col("class_a") != F.col("centre_a"))  # the centre has met them all
-        & (F.col("class_b") != F.col("centre_b"))
-    )
-    pairs = a.join(b, across).select(F.least("class_a", "class_b").alias("a"), F.greatest("class_a", "class_b").alias("b"))
-    more = verified(pairs.distinct(), classes, texts, percent)
+    now = now.join(open_, "tile").join(classes, "class")
+    more = verified(materialize(across(now, percent), "pairs"), texts, percent)
     whole = components(links.unionByName(more), "round2")
     by_set = number.join(whole.withColumnRenamed("node", "class"), "class", "left").select(
         F.col("low").alias("l"), F.col("high").alias("h"), F.coalesce("component", "class").alias("component")

@@ -25,7 +25,7 @@ from kerbside.llm.common import map_arrow, materialize
 
 CAPACITY = 2048
 #: Ranks are counted in buckets of about so many pieces.
-BUCKET_PIECES = 100_000
+BUCKET_PIECES = 1000
 @lru_cache(4)
 def encoder(path: str, pattern: str):
     """The byte-level vocabulary; strings of special tokens are ordinary text to it."""
