@@ -3,7 +3,8 @@
 Documents become token ids and a closing id 0; longer ones are cut into full pieces, the first of which may be
 shorter. Only the number of pieces of each length, at most as many rows as a sequence has tokens, decides the
 packing: for each bin, a bitset subset-sum over the lengths still there finds the fullest feasible combination
-around the longest of them, which is then removed, as often as the counts allow. The plan is a list of slots
+around the longest of them, which is then removed, as often as the counts allow; small lengths fill slack at the
+end. The plan is a list of slots
 (length, ranks, bin, place); pieces are ranked within their length, in salted buckets, and meet their slots by a
 range join, so that no task sees all pieces of a length.
 
@@ -24,6 +25,8 @@ from pyspark.sql import functions as F
 from kerbside.llm.common import map_arrow, materialize
 
 CAPACITY = 2048
+#: Parts of the capacity under which lengths may count as small; the best of these is taken.
+SMALL = (4, 6, 8, 12)
 #: Ranks are counted in buckets of about so many pieces.
 BUCKET_PIECES = 1000
 @lru_cache(4)
@@ -62,45 +65,78 @@ def pieces(docs: DataFrame, capacity: int = CAPACITY, path: str | None = None, p
     return map_arrow(docs.select("doc_id", "text"), "text", schema, cut)
 
 
-def plan(counts: dict[int, int], capacity: int = CAPACITY) -> list[tuple[int, int, int, int, int, int]]:
-    """Slots ``(length, first rank, copies in the bin, bins, first bin, place)`` for pieces of these counts."""
-    counts = {k: n for k, n in counts.items() if n}
+def fullest(counts: dict[int, int], free: int) -> dict[int, int]:
+    """Lengths and how often, of these counts, that fill ``free`` as far as any can; longer ones first."""
+    # one bit for each fill; the state before each item is kept for the way back
+    reach, items, mask = 1, [], (1 << free + 1) - 1
+    for length in sorted(k for k in counts if k <= free):
+        for _ in range(min(counts[length], free // length)):
+            grown = (reach | reach << length) & mask
+            if grown == reach:
+                break
+            items.append((length, reach))
+            reach = grown
+    fill, chosen = reach.bit_length() - 1, {}
+    for length, before in reversed(items):
+        if fill >= length and before >> (fill - length) & 1:
+            chosen[length] = chosen.get(length, 0) + 1
+            fill -= length
+    return chosen
+
+
+Slot = tuple[int, int, int, int, int, int]
+
+
+def plan_with(counts: dict[int, int], capacity: int, small: int) -> tuple[int, list[Slot]]:
+    """Bins used, and slots ``(length, first rank, copies in a bin, bins, first bin, place)``.
+
+    Bins are filled around the longest length left. Lengths under ``small`` wait until the others are placed, then
+    fill the slack of those bins, the largest first, and bins of their own: used up early, they would leave the
+    middle lengths nothing to be completed with."""
+    left = [{k: n for k, n in counts.items() if n and (k < small) == s} for s in (False, True)]
     used = dict.fromkeys(counts, 0)
-    slots, bins = [], 0
-    if n := counts.pop(capacity, 0):
-        slots.append((capacity, 0, 1, n, 0, 0))
-        bins = n
-    while counts:
-        top = max(counts)
-        free = capacity - top
-        counts[top] -= 1
-        # one bit for each fill that shorter items reach; the state before each item is kept for the way back
-        reach, items = 1, []
-        mask = (1 << free + 1) - 1
-        for length in sorted(k for k, n in counts.items() if n and k <= free):
-            for _ in range(min(counts[length], free // length)):
-                grown = (reach | reach << length) & mask
-                if grown == reach:
-                    break
-                items.append((length, reach))
-                reach = grown
-        counts[top] += 1
-        chosen, fill = {top: 1}, reach.bit_length() - 1
-        for length, before in reversed(items):
-            if fill >= length and before >> (fill - length) & 1:
-                chosen[length] = chosen.get(length, 0) + 1
-                fill -= length
-        times = min(counts[k] // n for k, n in chosen.items())
-        place = 0
+    slots: list[Slot] = []
+    bins = 0
+
+    def take(own: dict[int, int], chosen: dict[int, int], most: int, bin0: int, place: int) -> int:
+        times = min(most, *(own[k] // n for k, n in chosen.items()))
         for k, n in sorted(chosen.items(), reverse=True):
-            slots.append((k, used[k], n, times, bins, place))
+            slots.append((k, used[k], n, times, bin0, place))
             place += k * n
             used[k] += n * times
-            counts[k] -= n * times
-            if not counts[k]:
-                del counts[k]
-        bins += times
-    return slots
+            own[k] -= n * times
+            if not own[k]:
+                del own[k]
+        return times
+
+    def fill(own: dict[int, int]) -> list[tuple[int, int, int]]:
+        """(slack, first bin, bins) of the bins that these lengths take."""
+        nonlocal bins
+        out = []
+        while own:
+            top = max(own)
+            rest = {k: n - (k == top) for k, n in own.items() if n > (k == top)}
+            chosen = fullest(rest, capacity - top)
+            chosen[top] = chosen.get(top, 0) + 1
+            times = take(own, chosen, sum(own.values()), bins, 0)
+            out.append((capacity - sum(k * n for k, n in chosen.items()), bins, times))
+            bins += times
+        return out
+
+    open_ = sorted(fill(left[0]))
+    while open_ and left[1]:
+        slack, bin0, n = open_.pop()
+        if chosen := fullest(left[1], slack):
+            times = take(left[1], chosen, n, bin0, capacity - slack)
+            if times < n:
+                open_.append((slack, bin0 + times, n - times))
+    fill(left[1])
+    return bins, slots
+
+
+def plan(counts: dict[int, int], capacity: int = CAPACITY) -> list[Slot]:
+    """The slots of the fewest bins over some bounds of small lengths."""
+    return min((plan_with(counts, capacity, capacity // k) for k in SMALL), key=lambda x: x[0])[1]
 
 
 def pack(docs: DataFrame, capacity: int = CAPACITY, **tokenizer: str) -> DataFrame:
