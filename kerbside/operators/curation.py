@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from kerbside.functions import geometry as G
+from kerbside.operators import graph
 
 BOUNDS = (0.0, 50.0, 100.0, 200.0, 300.0, 400.0, 490.0)
 TRAIN, VALID = 0.7, 0.15
@@ -73,21 +74,11 @@ def near_hashes(rows: DataFrame, by: str, name: str, hash_: str, near: int = NEA
     return found.select(F.col(f"{by}_a").alias(by), F.col(f"{name}_a").alias("a"), F.col(f"{name}_b").alias("b")).distinct()
 
 
-def components(pairs: DataFrame, by: str, rounds: int = 64) -> DataFrame:
-    """``by, node, root``: the smallest name that pairs connect each node with; labels spread until none changes."""
-    both = pairs.select(by, "a", "b").union(pairs.select(by, F.col("b").alias("a"), F.col("a").alias("b"))).distinct()
-    both = both.persist()
-    label = both.groupBy(by, F.col("a").alias("node")).agg(F.least(F.min("a"), F.min("b")).alias("root"))
-    for _ in range(rounds):
-        label = label.persist()
-        near = both.join(label.select(by, F.col("node").alias("b"), F.col("root").alias("near")), [by, "b"])
-        least = near.groupBy(by, F.col("a").alias("node")).agg(F.min("near").alias("near"))
-        new = label.join(least, [by, "node"]).select(by, "node", F.least("root", "near").alias("root"), F.col("root").alias("old")).persist()
-        changed = new.where("root <> old").limit(1).count()
-        label = new.drop("old")
-        if not changed:
-            return label
-    raise RuntimeError("labels did not settle")
+def duplicate_groups(pairs: DataFrame, by: str) -> DataFrame:
+    """``by, node, root``: each node of the pairs with the smallest one that they connect it with, group by group."""
+    node = lambda c: F.struct(F.col(by).alias("g"), F.col(c).alias("x"))
+    found = graph.components(pairs.select(node("a").alias("a"), node("b").alias("b")), "duplicates")
+    return found.select(F.col("node.g").alias(by), F.col("node.x").alias("node"), F.col("component.x").alias("root"))
 
 
 def manifest_diff(old: DataFrame, new: DataFrame, key: str, value: str) -> DataFrame:

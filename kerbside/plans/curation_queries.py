@@ -210,7 +210,7 @@ def hamming_pairs(spark: SparkSession, sf_dir: str) -> DataFrame:
     " SELECT label, node, min(root) AS root FROM w GROUP BY ALL"
 )
 def dup_components(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return curation.components(hamming_pairs(spark, sf_dir), "label")
+    return curation.duplicate_groups(hamming_pairs(spark, sf_dir), "label")
 
 
 @query(
