@@ -1,56 +1,27 @@
-"""What the corpus operators share: tables, durable intermediate results, connected components."""
+"""What the corpus operators share: tables, and bounded slices of Arrow batches."""
 
 from __future__ import annotations
 
-import atexit
-import tempfile
-import uuid
 from collections.abc import Callable, Iterator
 
 import pyarrow as pa
 import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
-from pyspark.sql import functions as F
+
+from kerbside.operators.graph import components
+from kerbside.storage import materialize, shared_folder
+
+__all__ = ["components", "map_arrow", "materialize", "shared_folder", "slices", "table"]
 
 #: Rows of one slice of an Arrow batch are taken up to this many text bytes, so that memory in a
 #: Python worker follows neither the number of rows in a batch nor the length of most texts.
 SLICE_BYTES = 4 << 20
 
-_folders: list[tuple[SparkSession, str]] = []
-
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-def shared_folder(spark: SparkSession) -> str:
-    """The folder that every executor can read: the cluster's, or one of our own where none is set (tests)."""
-    found = spark.conf.get("spark.checkpoint.dir", None)
-    if not found:
-        found = "file://" + tempfile.mkdtemp(prefix="kerbside-")
-        spark.conf.set("spark.checkpoint.dir", found)
-    return found.rstrip("/")
-
-
-def materialize(df: DataFrame, name: str) -> DataFrame:
-    """Writes ``df`` to the shared folder and reads it back, which cuts its lineage and outlives executors."""
-    spark = df.sparkSession
-    path = f"{shared_folder(spark)}/{name}-{uuid.uuid4().hex}"
-    _folders.append((spark, path))
-    df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
-
-
-@atexit.register
-def _remove_folders() -> None:
-    for spark, path in _folders:
-        jvm = spark.sparkContext._jvm
-        if spark.sparkContext._jsc is None or jvm is None:
-            return
-        where = jvm.org.apache.hadoop.fs.Path(path)
-        where.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(where, True)
-
-
 def slices(batches: Iterator[pa.RecordBatch], text: str) -> Iterator[pa.RecordBatch]:
     """The batches again, cut so that each holds about SLICE_BYTES of the column ``text``, or one row."""
     for batch in batches:
@@ -68,30 +39,3 @@ def slices(batches: Iterator[pa.RecordBatch], text: str) -> Iterator[pa.RecordBa
 def map_arrow(df: DataFrame, text: str, schema: str, f: Callable[[pa.RecordBatch], pa.RecordBatch]) -> DataFrame:
     """Applies ``f`` to bounded slices of each partition."""
     return df.mapInArrow(lambda batches: (f(x) for x in slices(batches, text)), schema)
-
-
-def components(edges: DataFrame, name: str) -> DataFrame:
-    """``(node, component)`` for every node of the links ``(a, b)``; a component is its smallest node.
-
-    Alternates the large-star and small-star steps until the links no longer change. Each step keeps as
-    many links as it gets at most; minima combine before the shuffle, so that a hub costs no more than its links.
-    """
-    now = materialize(
-        edges.where("a <> b").select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).distinct(), name
-    )
-    sign = None
-    while True:
-        both = now.unionByName(now.select(F.col("v").alias("u"), F.col("u").alias("v")))
-        least = both.groupBy("u").agg(F.least(F.min("v"), F.first("u")).alias("m"))
-        large = both.join(least, "u").where("v > u").select(F.col("v").alias("u"), F.col("m").alias("v")).distinct()
-        least = large.groupBy("u").agg(F.min("v").alias("m"))
-        small = large.join(least, "u").where("v <> m").select(F.col("v").alias("u"), F.col("m").alias("v"))
-        small = small.select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v"))
-        now = materialize(small.unionByName(least.select("u", F.col("m").alias("v"))).distinct(), name)
-        seen = now.agg(F.count(F.lit(1)), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)"))).first()
-        if seen == sign:
-            break
-        sign = seen
-    return now.select(F.col("u").alias("node"), F.col("v").alias("component")).unionByName(
-        now.select(F.col("v").alias("node"), F.col("v").alias("component")).distinct()
-    )
