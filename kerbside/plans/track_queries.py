@@ -247,3 +247,17 @@ def latest_boxes(spark: SparkSession, sf_dir: str) -> DataFrame:
     ends = rows.groupBy(F.col("channel_id").alias("c")).agg(F.max("frame").alias("last"))
     at = rows.join(ends, (F.col("channel_id") == F.col("c")) & (F.col("frame") == F.col("last")))
     return at.groupBy("channel_id", "track_id").agg(F.max_by("cx", "det_ord").alias("cx"), F.max_by("cy", "det_ord").alias("cy"))
+
+
+@query()
+def tracker(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Boxes without their ids, tracked anew."""
+    from kerbside.operators import tracker as T
+
+    rows = det(spark, sf_dir)
+    right, low = F.col("x") + F.col("w"), F.col("y") + F.col("h")
+    own = rows.select(
+        "channel_id", "frame", F.col("det_ord").alias("box"), F.col("x").alias("x1"), F.col("y").alias("y1"), right.alias("x2"), low.alias("y2"),
+        F.col("confidence").alias("score"),
+    )
+    return T.track(own)
