@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from kerbside.llm import chat, decontaminate, extract, jaccard, jpeg, langid, merkle, pack, repeats, secrets
 from kerbside.llm.common import table
+from kerbside.llm.oracles import ORACLES
 
 
 def op2_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -91,4 +92,5 @@ QUERIES = {
         op7_url_differencing, op8_baseline_jpeg, op9_best_fit_packing, op10_suffix_repeats,
     )
 }
-ORACLES: dict[str, str] = {}
+
+__all__ = ["ORACLES", "QUERIES"]
