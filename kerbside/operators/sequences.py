@@ -26,7 +26,7 @@ def asof_forward(asked: DataFrame, rows: DataFrame, keys: list[str], at: str, va
 def tumbling(rows: DataFrame, at: str, width: str, key: str, value: str) -> DataFrame:
     """Count, mean and last value of each key and window; the key is dealt out by window too, so a hot one is many groups."""
     by = rows.groupBy(F.col(key).alias("channel"), F.window(at, width).alias("w"))
-    found = by.agg(F.count(F.lit(1)).alias("n"), F.round(F.avg(value), 4).alias("avg_value"), F.max_by(value, at).alias("last_value"))
+    found = by.agg(F.count(F.lit(1)).alias("n"), F.round(F.avg(value), 8).alias("avg_value"), F.max_by(value, at).alias("last_value"))
     return found.select("channel", F.col("w.start").alias("start"), "n", "avg_value", "last_value")
 
 

@@ -121,7 +121,7 @@ def asof_forward(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 @query(
-    "SELECT event_type AS channel, CAST(date_trunc('day', ts) AS TIMESTAMP) AS start, count(*) AS n, round(avg(value), 4) AS avg_value, max_by(value, ts) AS last_value"
+    "SELECT event_type AS channel, CAST(date_trunc('day', ts) AS TIMESTAMP) AS start, count(*) AS n, round(avg(value), 8) AS avg_value, max_by(value, ts) AS last_value"
     " FROM events GROUP BY ALL"
 )
 def stats_tumbling(spark: SparkSession, sf_dir: str) -> DataFrame:
