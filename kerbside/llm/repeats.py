@@ -30,11 +30,11 @@ from pyspark.sql import functions as F
 from kerbside.llm.common import map_arrow, materialize, slices
 
 LENGTH = 400
-PIECE = 32
+PIECE = 128
 #: Texts are read in parts of so many bytes, which overlap by a string less a byte.
 PART = 1 << 22
 #: Different hulls of one anchor that a task takes; beyond, their strings are counted one by one.
-HULLS = 1000
+HULLS = 4096
 #: Bytes of text whose suffixes a task sorts at once; one anchor's hulls alone have at most HULLS * (2 * LENGTH) bytes.
 BLOCK = 1 << 20
 _P = np.uint64(0x9E3779B97F4A7C15)
@@ -76,20 +76,22 @@ def anchors(text: bytes, length: int = LENGTH, piece: int = PIECE) -> Iterator[t
 
 
 def suffix_order(text: np.ndarray, depth: int) -> np.ndarray:
-    """Rotations of ``text`` in the order of their first ``depth`` symbols at least, by doubling."""
-    n, h = len(text), 2
-    rank = text.astype(np.int64)
-    rank = rank << 16 | np.roll(rank, -1)
+    """Rotations of ``text`` (symbols of 9 bits) in the order of their first ``depth`` symbols at least, by doubling."""
+    n, h = len(text), 4
+    symbols = text.astype(np.int64)
+    key = symbols
+    for k in range(1, h):
+        key = key << 9 | np.roll(symbols, -k)
     while True:
-        key = rank << 32 | np.roll(rank, -h)
-        order = np.argsort(key, kind="stable")
+        order = np.argsort(key)
         key = key[order]
         new = np.concatenate([[0], np.cumsum(key[1:] != key[:-1])])
+        if h >= depth or new[-1] == n - 1:
+            return order
         rank = np.empty(n, np.int64)
         rank[order] = new
+        key = rank << 32 | np.roll(rank, -h)
         h *= 2
-        if h >= depth or new[-1] == n - 1:
-            return order
 
 
 def repeated(text: np.ndarray, length: int) -> np.ndarray:
