@@ -9,7 +9,7 @@ transform by threshold-bounded interval expansion: breadth-first backward extens
 prefixes have 0, 1, 2, ... bytes and stops at ``LENGTH``; places not reached by then lie between repeats.
 
 Anchors with very many different hulls (a passage in a large part of the corpus) would make one task's text grow
-with the data. Their strings are counted one by one instead, by hashes that combine before the shuffle.
+with the data. Their strings are counted one by one instead, by 128-bit hashes that combine before the shuffle.
 
 Defined cases: a null text is empty; texts shorter than LENGTH keep all bytes; repeated rows repeat each other;
 strings may overlap, also within a document, and never cross documents; extra columns are ignored; an empty table
@@ -209,7 +209,8 @@ def spans(docs: DataFrame, length: int = LENGTH, piece: int = PIECE, hulls: int
         return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, types)], names)
 
     schema = "anchor long, doc_id long, text_key long, a long, alone boolean, many boolean, data binary"
-    texts = texts.dropDuplicates(["doc_id", "text_key"]).select("doc_id", "text_key", "text", "wanted")
+    # a repeated row brings its hulls twice; they only stand for others to be compared with, so that changes nothing
+    texts = texts.select("doc_id", "text_key", "text", "wanted")
     cuts = materialize(map_arrow(texts, "text", schema, cut), "cuts")
 
     def expand(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
