@@ -64,7 +64,7 @@ def delivered(messages: DataFrame, channels: list[int] | None, types: list[str]
 
 
 def parse_list(text: Column) -> Column:
-    return F.filter(F.transform(F.split(text, ","), F.trim), lambda x: x != "")
+    return F.filter(F.transform(F.split(text, ","), lambda x: F.trim(x)), lambda x: x != "")
 
 
 def queued(messages: DataFrame, size: int = QUEUE) -> DataFrame:

@@ -96,5 +96,5 @@ def write_manifest(figures: DataFrame, path: str) -> None:
 def read_class_names(spark: SparkSession, path: str) -> DataFrame:
     """Line number to name; blank lines are skipped. A class list is one short file."""
     text = spark.read.text(path, wholetext=True)
-    rows = text.select(F.posexplode(F.filter(F.transform(F.split("value", r"\r?\n"), F.trim), lambda x: x != "")))
+    rows = text.select(F.posexplode(F.filter(F.transform(F.split("value", r"\r?\n"), lambda x: F.trim(x)), lambda x: x != "")))
     return rows.select(F.col("pos").alias("class_id"), F.col("col").alias("class_name"))
