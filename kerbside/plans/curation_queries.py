@@ -29,8 +29,8 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-#: Frames of a channel in which boxes can overlap: rows of ten frames count as one picture.
-BOXES = f"""WITH RECURSIVE {D.DET_SQL}, boxes AS (SELECT channel_id, frame // 10 AS pic, det_ord AS box, x % 200 AS x1, y % 150 AS y1, x % 200 + w AS x2, y % 150 + h AS y2,
+#: Pictures in which boxes can overlap: rows of ten frames count as one, 150 vehicles share three cameras.
+BOXES = f"""WITH RECURSIVE {D.DET_SQL}, boxes AS (SELECT track_id // 150 * 3 + channel_id AS channel_id, frame // 10 AS pic, det_ord AS box, x % 200 AS x1, y % 150 AS y1, x % 200 + w AS x2, y % 150 + h AS y2,
     confidence AS score FROM det WHERE x >= 0 AND y >= 0)"""
 
 
@@ -38,7 +38,7 @@ def scenes(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = det(spark, sf_dir).where("x >= 0 and y >= 0")
     x, y = F.col("x") % 200, F.col("y") % 150
     return rows.select(
-        "channel_id", F.floor(F.col("frame") / 10).alias("pic"), F.col("det_ord").alias("box"), x.alias("x1"), y.alias("y1"),
+        (F.floor(F.col("track_id") / 150) * 3 + F.col("channel_id")).alias("channel_id"), F.floor(F.col("frame") / 10).alias("pic"), F.col("det_ord").alias("box"), x.alias("x1"), y.alias("y1"),
         (x + F.col("w")).alias("x2"), (y + F.col("h")).alias("y2"), F.col("confidence").alias("score"),
     ).withColumns({c: F.col(c).cast("double") for c in ("x1", "y1", "x2", "y2")})
 
