@@ -4,8 +4,8 @@ A page becomes text lines, one for each block, with what its markup says of them
 sidebars, notices, adverts, forms, scripts, comments), article, or nothing. Pages of a host are put in the order of
 their URL paths; each is paired with the neighbour whose path is nearest, the lines of the two are aligned by
 their longest common subsequence, and shared lines are deleted. Lines of an ``article`` or ``main`` element are
-protected from that: a site repeats its chrome, but also whole articles. Where a page has such an element, only its
-lines are text; elsewhere differencing decides.
+protected from that: a site repeats its chrome, but also whole articles. All other lines, on pages with such an element
+too, are aligned with the neighbour's lines and stay if it does not share them.
 
 The pages are sorted by host, path and page in ranges, so that a host of any size is spread over tasks; a task
 reads its range once and holds three pages. The first and last page of a range have one neighbour to choose from.
@@ -166,9 +166,11 @@ def main_text(now: Page, before: Page | None, after: Page | None) -> str:
     own = [x for x in (before, after) if x is not None and x.host == now.host and x.page_id != now.page_id]
     # the earlier one if both are as near
     nearest = max(own, key=lambda x: _near(x.path, now.path), default=None)
-    gone = shared(now.hashes, nearest.hashes) if nearest else set()
-    article = any(a for _, a in now.lines)
-    return "\n".join(text for i, (text, a) in enumerate(now.lines) if (a if article else i not in gone))
+    # only lines outside articles are aligned, so that a copied article takes no match from them
+    outside = [i for i, (_, article) in enumerate(now.lines) if not article]
+    found = shared([now.hashes[i] for i in outside], nearest.hashes) if nearest and outside else set()
+    gone = {outside[i] for i in found}
+    return "\n".join(text for i, (text, _) in enumerate(now.lines) if i not in gone)
 
 
 def _difference(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

@@ -58,6 +58,15 @@ def test_pages_of_a_host_lose_what_they_share(spark):
     assert extract.extract(pages(spark, [])).count() == 0
 
 
+def test_lines_beside_an_article_are_differenced():
+    page = lambda i, own: extract.Page(
+        i, "", f"<p>Welcome to the site<article><p>Same teaser</article><div>{own}</div><p>All rights reserved", "h", f"/{i}"
+    )
+    a, b = page(1, "first body"), page(2, "second body")
+    assert extract.main_text(a, None, b) == "Same teaser\nfirst body"
+    assert extract.main_text(b, a, None) == "Same teaser\nsecond body"
+
+
 def test_audit_finds_the_damage(spark):
     rows = [(i, f"http://h/{i}", "<p>" + "x" * (i % 50)) for i in range(0, 9000, 7)] + [(None, None, None)]
     harmed = [r for r in rows if r[0] != 7 * 5]
