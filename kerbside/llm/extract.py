@@ -8,7 +8,9 @@ protected from that: a site repeats its chrome, but also whole articles. All oth
 too, are aligned with the neighbour's lines and stay if it does not share them.
 
 The pages are sorted by host, path and page in ranges, so that a host of any size is spread over tasks; a task
-reads its range once and holds three pages. The first and last page of a range have one neighbour to choose from.
+reads its range once and holds three pages. It leaves the first and last page of its range open and hands them on with
+the page next to each; these few pages meet those of the adjacent ranges in a second step, so that the ranges, and how
+many there are, decide nothing.
 
 Defined cases: null html is empty; a null URL is a host of its own; no text is the empty string; repeated rows
 give one row each and do not count as each other's neighbours if their page_id is equal; extra columns are
@@ -26,7 +28,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from kerbside.llm.common import SLICE_BYTES, slices
+from kerbside.llm.common import SLICE_BYTES, materialize, slices
 
 #: Fixed lists of HTML: elements that end a block; elements without content that is text; elements without an end.
 BLOCKS = frozenset(
@@ -173,35 +175,66 @@ def main_text(now: Page, before: Page | None, after: Page | None) -> str:
     return "\n".join(text for i, (text, _) in enumerate(now.lines) if i not in gone)
 
 
+COLUMNS = ("page_id", "url", "html", "host", "path")
+TYPES = (pa.int64(), pa.string(), pa.string(), pa.string(), pa.string())
+PAGE = "page_id long, url string, html string, host string, path string"
+
+
 def _difference(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Main texts of a sorted run of pages; three of them are held at a time."""
-    names = ("page_id", "url", "html", "host", "path")
-    rows = (r for b in batches for s in slices(iter([b]), "html") for r in zip(*(s.column(c).to_pylist() for c in names)))
+    """``part, place, text`` and a page: texts of a sorted run of pages, three of which are held at a time.
+
+    The run's first two and last two pages come once more each, at the places 0, 1, -2 and -1 and whole; the first
+    and the last have no text yet. A run of one page has it at 0 and -1. Other rows have no place."""
+    from pyspark import TaskContext
+
+    part = TaskContext.get().partitionId()
+    names = ["part", "place", "text", *COLUMNS]
     out: list[tuple] = []
-    size, before, now = 0, None, None
+    size, count, before, now, after = 0, 0, None, None, None
 
     def batch() -> pa.RecordBatch:
-        columns = list(zip(*out))
         return pa.RecordBatch.from_arrays(
-            [pa.array(c, t) for c, t in zip(columns, (pa.int64(), pa.string(), pa.string()))], ["page_id", "url", "text"]
+            [pa.array(c, t) for c, t in zip(zip(*out), (pa.int32(), pa.int32(), pa.string(), *TYPES))], names
         )
 
-    for after in _ended(Page(*r) for r in rows):
-        if now is not None:
-            out.append((now.page_id, now.url, main_text(now, before, after)))
-            size += len(out[-1][2])
-            if size > SLICE_BYTES or len(out) >= 5000:
-                yield batch()
-                out.clear()
-                size = 0
-        before, now = now, after
+    def whole(place: int, page: tuple) -> tuple:
+        return (part, place, None, *page)
+
+    for b in batches:
+        for s in slices(iter([b]), "html"):
+            for row in zip(*(s.column(c).to_pylist() for c in COLUMNS)):
+                before, now, after = now, after, (row, Page(*row))
+                count += 1
+                if count <= 2:
+                    out.append(whole(count - 1, row))
+                if before is not None:
+                    page = now[1]
+                    out.append((part, None, main_text(page, before[1], after[1]), page.page_id, page.url, None, None, None))
+                size += len(row[2] or "")
+                if size > SLICE_BYTES or len(out) >= 5000:
+                    yield batch()
+                    out.clear()
+                    size = 0
+    if count > 1:
+        out.append(whole(-2, now[0]))
+    if count:
+        out.append(whole(-1, after[0]))
     if out:
         yield batch()
 
 
-def _ended(pages: Iterator[Page]) -> Iterator[Page | None]:
-    yield from pages
-    yield None
+def _join_borders(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Texts of open pages; ``before`` and ``after`` are their neighbours, or null."""
+    for b in batches:
+        for s in slices(iter([b]), "html"):
+            columns = {c: s.column(c).to_pylist() for c in s.schema.names}
+            texts = []
+            for row, before, after in zip(zip(*(columns[c] for c in COLUMNS)), columns["before"], columns["after"]):
+                pages = [x and Page(*(x[c] for c in COLUMNS)) for x in (before, after)]
+                texts.append(main_text(Page(*row), *pages))
+            yield pa.RecordBatch.from_arrays(
+                [s.column("page_id"), s.column("url"), pa.array(texts, pa.string())], ["page_id", "url", "text"]
+            )
 
 
 def extract(pages: DataFrame) -> DataFrame:
@@ -212,5 +245,34 @@ def extract(pages: DataFrame) -> DataFrame:
         F.lower(F.regexp_extract(url, r"^[A-Za-z][A-Za-z0-9+.-]*://(?:[^/?#@]*@)?([^/?#]*)", 1)).alias("host"),
         F.regexp_extract(url, r"^(?:[A-Za-z][A-Za-z0-9+.-]*://[^/?#]*)?([^#]*)", 1).alias("path"),
     )
-    run = own.repartitionByRange("host", "path", "page_id").sortWithinPartitions("host", "path", "page_id")
-    return run.mapInArrow(_difference, "page_id long, url string, text string")
+    run = own.repartitionByRange("host", "path", "page_id").sortWithinPartitions("host", "path", "page_id", "url", "html")
+    found = materialize(run.mapInArrow(_difference, f"part int, place int, text string, {PAGE}"), "differenced")
+    done = found.where("place is null").select("page_id", "url", "text")
+    return done.unionByName(borders(found.where("place is not null")))
+
+
+def borders(ends: DataFrame) -> DataFrame:
+    """``page_id, url, text`` of the first and the last page of every range."""
+    spark = ends.sparkSession
+    # ranges without pages have no ends
+    parts = sorted(r["part"] for r in ends.where("place = 0").select("part").collect())
+    last = {r["part"] for r in ends.where("place = 1").select("part").collect()}
+    # (open page, page before, page after), each as part and place; a range of one page has one open page
+    open_ = []
+    for p, q, r in zip([None, *parts], parts, [*parts[1:], None]):
+        left, right = None if p is None else (p, -1), None if r is None else (r, 0)
+        if q in last:
+            open_ += [(q, 0, left, (q, 1)), (q, -1, (q, -2), right)]
+        else:
+            open_.append((q, 0, left, right))
+    at = "struct<part:int,place:int>"
+    plan = spark.createDataFrame(open_, f"part int, place int, l {at}, r {at}")
+    at_ = F.struct("part", "place")
+    page = ends.select(at_.alias("at"), F.struct(*COLUMNS).alias("page"))
+    of = lambda name: page.select(F.col("at").alias(f"{name}_at"), F.col("page").alias(name))
+    joined = (
+        plan.withColumn("own", at_).join(of("page"), F.col("own") == F.col("page_at"))
+        .join(of("before"), F.col("l") == F.col("before_at"), "left")
+        .join(of("after"), F.col("r") == F.col("after_at"), "left")
+    )
+    return joined.select("page.*", "before", "after").mapInArrow(_join_borders, "page_id long, url string, text string")

@@ -67,6 +67,27 @@ def test_lines_beside_an_article_are_differenced():
     assert extract.main_text(b, a, None) == "Same teaser\nsecond body"
 
 
+def test_ranges_do_not_change_the_texts(spark):
+    rng = random.Random(4)
+    rows = [
+        (i, f"http://h{i % 3}.example/{i // 7}/{i}", f"<p>Menu {i % 3}<p>Part {i // 14}<p>Own {i}<p>{rng.choice('xyz')}<p>Rights {i % 3}")
+        for i in range(60)
+    ]
+    keys = ("spark.sql.shuffle.partitions", "spark.sql.adaptive.coalescePartitions.enabled")
+    before = [spark.conf.get(k) for k in keys]
+    got = {}
+    spark.conf.set(keys[1], "false")
+    try:
+        for n in (1, 4, 23, 90):  # with 90, most ranges hold one page or none
+            spark.conf.set(keys[0], str(n))
+            got[n] = sorted((r.page_id, r.text) for r in extract.extract(pages(spark, rows)).collect())
+    finally:
+        for k, v in zip(keys, before):
+            spark.conf.set(k, v)
+    assert len(got[1]) == 60 and not any("Menu" in t or "Rights" in t for _, t in got[1])
+    assert got[4] == got[1] and got[23] == got[1] and got[90] == got[1]
+
+
 def test_audit_finds_the_damage(spark):
     rows = [(i, f"http://h/{i}", "<p>" + "x" * (i % 50)) for i in range(0, 9000, 7)] + [(None, None, None)]
     harmed = [r for r in rows if r[0] != 7 * 5]
