@@ -2,6 +2,8 @@
 
 import random
 
+from pyspark.sql import functions as F
+
 from kerbside.llm import extract, merkle
 
 SCHEMA = "page_id long, url string, html string, text string, host string"
@@ -102,6 +104,22 @@ def test_audit_finds_the_damage(spark):
     assert merkle.audit(pages(spark, []), pages(spark, [])).count() == 0
 
 
+def test_an_id_of_many_versions_keeps_to_its_archive(spark):
+    n = merkle.SLOTS + 5000
+    hot = spark.range(n).selectExpr("7L page_id", "'u' url", "concat('<p>', id) html")
+    rest = [(1, "v", "a"), (8, "v", "b"), (merkle.ARCHIVE_IDS + 3, "w", "c")] + [(merkle.ARCHIVE_IDS + 4 + i, "w", "d") for i in range(2000)]
+    primary = hot.unionByName(spark.createDataFrame(rest, "page_id long, url string, html string"))
+    replica = primary.withColumn("html", F.when(F.col("page_id") == merkle.ARCHIVE_IDS + 3, "#").otherwise(F.col("html")))
+    got = merkle.audit(primary, replica).collect()
+    assert [(r.record_id, r.status) for r in got] == [(merkle.ARCHIVE_IDS + 3, "changed")]
+    places = merkle.place(merkle.records(primary), merkle.crowded([merkle.records(x) for x in (primary, replica)]))
+    parts = places.groupBy("archive", F.floor(F.col("slot") / merkle.SLOTS)).count().collect()
+    assert sum(r["count"] for r in parts) == n + len(rest) and max(r["count"] for r in parts) < 2 * merkle.PART_RECORDS
+    # one version is lost: it is missing, and only what follows in its part has moved
+    lost = merkle.audit(primary, primary.where("html <> '<p>70000'")).collect()
+    assert {r.record_id for r in lost} == {7} and 0 < len(lost) < 2 * merkle.PART_RECORDS
+
+
 def test_an_equal_replica_is_not_descended(spark):
     level = merkle.tree(merkle.layout(pages(spark, [(i, "u", "p") for i in range(40)])), 1)
     assert [x.count() for x in level] == [40, 3, 1, 1, 1]
