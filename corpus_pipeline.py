@@ -38,7 +38,7 @@ def secret_scan(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def packing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """The documents as token pieces in sequences."""
-    return pack.pack(docs)
+    return pack.pack(docs, special=pack.SPECIAL)
 
 
 STAGES = [

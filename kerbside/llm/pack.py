@@ -29,29 +29,41 @@ CAPACITY = 2048
 SMALL = (4, 6, 8, 12)
 #: Ranks are counted in buckets of about so many pieces.
 BUCKET_PIECES = 1000
+#: The special tokens of the vocabulary of 50k. Queries take them as ``tokenizers`` does by default.
+SPECIAL = {"<|endoftext|>": 50256}
+
+
 @lru_cache(4)
-def encoder(path: str, pattern: str):
-    """The byte-level vocabulary; strings of special tokens are ordinary text to it."""
+def encoder(path: str, pattern: str, special: tuple[tuple[str, int], ...] = ()):
+    """The byte-level vocabulary; strings of special tokens that are not in ``special`` are ordinary text to it."""
     import tiktoken
 
     with open(path, "rb") as f:
         ranks = {base64.b64decode(a): int(b) for a, b in map(bytes.split, f)}
-    return tiktoken.Encoding("bytes", pat_str=pattern, mergeable_ranks=ranks, special_tokens={})
+    return tiktoken.Encoding("bytes", pat_str=pattern, mergeable_ranks=ranks, special_tokens=dict(special))
 
 
-def pieces(docs: DataFrame, capacity: int = CAPACITY, path: str | None = None, pattern: str | None = None) -> DataFrame:
+def pieces(
+    docs: DataFrame,
+    capacity: int = CAPACITY,
+    path: str | None = None,
+    pattern: str | None = None,
+    special: dict[str, int] | None = None,
+) -> DataFrame:
     """``doc_id, piece, start, length, ids_crc32, salt`` of every document. ``path``: a rank file; ``pattern``: what
-    splits text before the merges; by default those of the byte-level vocabulary of 50k."""
+    splits text before the merges; by default those of the byte-level vocabulary of 50k. ``special``: strings that
+    are one id each wherever they stand; none by default."""
     import public_tokenizers
 
     path = path or public_tokenizers.path("byte_bpe_50k.tiktoken")
     pattern = pattern or public_tokenizers.PATTERN
+    own = tuple((special or {}).items())
 
     def cut(batch: pa.RecordBatch) -> pa.RecordBatch:
-        ids_of = encoder(path, pattern).encode_to_numpy
+        ids_of = encoder(path, pattern, own).encode_to_numpy
         rows = []
         for doc, text in zip(batch.column("doc_id").to_pylist(), batch.column("text").to_pylist()):
-            ids = ids_of(text or "").astype("<u4").tobytes() + b"\0\0\0\0"
+            ids = ids_of(text or "", allowed_special="all").astype("<u4").tobytes() + b"\0\0\0\0"
             n = len(ids) // 4
             at = [0, *range(n % capacity or capacity, n + 1, capacity)]
             for k, (a, b) in enumerate(zip(at, at[1:])):
@@ -139,7 +151,7 @@ def plan(counts: dict[int, int], capacity: int = CAPACITY) -> list[Slot]:
     return min((plan_with(counts, capacity, capacity // k) for k in SMALL), key=lambda x: x[0])[1]
 
 
-def pack(docs: DataFrame, capacity: int = CAPACITY, **tokenizer: str) -> DataFrame:
+def pack(docs: DataFrame, capacity: int = CAPACITY, **tokenizer: str | dict[str, int]) -> DataFrame:
     """The pieces of all documents with ``sequence_id`` and ``offset``."""
     spark = docs.sparkSession
     cut = materialize(pieces(docs, capacity, **tokenizer), "pieces")

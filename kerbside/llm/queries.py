@@ -77,7 +77,7 @@ def op8_baseline_jpeg(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op9_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return pack.pack(table(spark, sf_dir, "documents"))
+    return pack.pack(table(spark, sf_dir, "documents"), special=pack.SPECIAL)
 
 
 def op10_suffix_repeats(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -90,6 +90,21 @@ def test_pieces_and_places(make, odd):
     assert check_packing(pack.pack(odd, 64).collect(), 64) and pack.pack(make([])).count() == 0
 
 
+def test_queries_take_special_tokens_as_tokenizers_does(spark, tmp_path, make):
+    from kerbside.llm import queries
+
+    texts = ["a <|endoftext|> b", "<|endoftext|><|endoftext|>", "x<|endoftext|", "<|endoftext|>" * 3000, " plain  text"]
+    make(list(enumerate(texts))).write.parquet(f"{tmp_path}/documents.parquet")
+    t = Tokenizer.from_file(public_tokenizers.path("byte_bpe_50k.json"))
+    want = []
+    for i, text in enumerate(texts):
+        ids = [*t.encode(text, add_special_tokens=False).ids, 0]
+        at = [0, *range(len(ids) % 2048 or 2048, len(ids) + 1, 2048)]
+        want += [(i, k, a, b - a, zlib.crc32(np.array(ids[a:b], "<u4").tobytes())) for k, (a, b) in enumerate(zip(at, at[1:]))]
+    got = queries.op9_best_fit_packing(spark, str(tmp_path)).collect()
+    assert sorted((r.doc_id, r.piece, r.start, r.length, r.ids_crc32) for r in got) == want
+
+
 def test_plan_uses_every_piece_once():
     rng = random.Random(9)
     for _ in range(30):
