@@ -7,28 +7,30 @@ their longest common subsequence, and shared lines are deleted. Lines of an ``ar
 protected from that: a site repeats its chrome, but also whole articles. All other lines, on pages with such an element
 too, are aligned with the neighbour's lines and stay if it does not share them.
 
-The pages are sorted by host, path and page in ranges, so that a host of any size is spread over tasks; a task
-reads its range once and holds three pages. It leaves the first and last page of its range open and hands them on with
-the page next to each; these few pages meet those of the adjacent ranges in a second step, so that the ranges, and how
-many there are, decide nothing.
-
-Defined cases: null html is empty; a null URL is a host of its own; no text is the empty string; repeated rows
-give one row each and do not count as each other's neighbours if their page_id is equal; extra columns are
-ignored; an empty table gives an empty result.
+The pages are dealt to parts by ranges of (host, path, page_id), so that a host of any size is spread over tasks. The
+limits of the ranges come from a sample of the keys, the first and last key of each part from all keys; both read no
+html. A page at the end of a part goes along to the part beside it as a neighbour, so that the texts do not depend on
+the parts. A task reads its part in order and holds the page before, the versions of one page, and the page after.
+
+Defined cases: null html is empty; a null URL is a host of its own; no text is the empty string; repeated rows give
+one row each and are not each other's neighbours; versions of a page (equal host, path and page_id) have the same
+neighbours: the last version of the key before, the first version of the key after, and none of the same page_id; of two
+neighbours equally near, the one before decides; extra columns are ignored; an empty table gives an empty result.
 """
 
 from __future__ import annotations
 
 import html
+import math
 import re
 from collections.abc import Iterator
 
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from kerbside.llm.common import SLICE_BYTES, materialize, slices
+from kerbside.llm.common import SLICE_BYTES, slices
 
 #: Fixed lists of HTML: elements that end a block; elements without content that is text; elements without an end.
 BLOCKS = frozenset(
@@ -122,25 +124,39 @@ def lines(page: str) -> list[tuple[str, bool]]:
 
 
 def shared(a: list[int], b: list[int]) -> set[int]:
-    """Places of ``a`` in a longest common subsequence with ``b``, by bit-parallel rows."""
+    """Places of ``a`` in a longest common subsequence with ``b``, by bit-parallel rows.
+
+    Only each k-th row is kept on the way down, k being the root of their number; the way back makes the rows
+    between two kept ones anew. So memory is len(a) * sqrt(len(b)) bits."""
     at: dict[int, int] = {}
     for i, x in enumerate(a):
         at[x] = at.get(x, 0) | 1 << i
     full = (1 << len(a)) - 1
-    rows, row = [full], full
-    for y in b:
+
+    def step(row: int, y: int) -> int:
         u = row & at.get(y, 0)
-        row = (row + u | row - u) & full
-        rows.append(row)
+        return (row + u | row - u) & full
+
+    every = max(1, math.isqrt(len(b)))
+    kept, row = [full], full
+    for j, y in enumerate(b, 1):
+        row = step(row, y)
+        if j % every == 0:
+            kept.append(row)
     out, i, j = set(), len(a), len(b)
     while i and j:
-        if rows[j] >> (i - 1) & 1:
-            i -= 1
-        elif not rows[j - 1] >> (i - 1) & 1:
-            j -= 1
-        else:
-            out.add(i - 1)
-            i, j = i - 1, j - 1
+        base = (j - 1) // every * every
+        rows = [kept[base // every]]
+        for y in b[base:j]:
+            rows.append(step(rows[-1], y))
+        while i and j > base:
+            if rows[j - base] >> (i - 1) & 1:
+                i -= 1
+            elif not rows[j - base - 1] >> (i - 1) & 1:
+                j -= 1
+            else:
+                out.add(i - 1)
+                i, j = i - 1, j - 1
     return out
 
 
@@ -175,66 +191,101 @@ def main_text(now: Page, before: Page | None, after: Page | None) -> str:
     return "\n".join(text for i, (text, _) in enumerate(now.lines) if i not in gone)
 
 
+KEY = ("host", "path", "page_id")
 COLUMNS = ("page_id", "url", "html", "host", "path")
-TYPES = (pa.int64(), pa.string(), pa.string(), pa.string(), pa.string())
-PAGE = "page_id long, url string, html string, host string, path string"
+#: Sampled keys for each part; the limits between parts are chosen from these.
+SAMPLED = 64
 
 
 def _difference(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """``part, place, text`` and a page: texts of a sorted run of pages, three of which are held at a time.
-
-    The run's first two and last two pages come once more each, at the places 0, 1, -2 and -1 and whole; the first
-    and the last have no text yet. A run of one page has it at 0 and -1. Other rows have no place."""
-    from pyspark import TaskContext
-
-    part = TaskContext.get().partitionId()
-    names = ["part", "place", "text", *COLUMNS]
+    """``page_id, url, text`` of a part's own pages. The rows come in order; guests belong to a part beside it."""
     out: list[tuple] = []
-    size, count, before, now, after = 0, 0, None, None, None
+    size, key = 0, None
+    before: Page | None = None
+    # the versions of one page: (page, how many equal rows, is it a guest?)
+    group: list[list] = []
+
+    def close(after: Page | None) -> None:
+        for page, n, guest in group:
+            if not guest:
+                out.extend([(page.page_id, page.url, main_text(page, before, after))] * n)
 
     def batch() -> pa.RecordBatch:
+        columns = zip(*out) if out else ([], [], [])
         return pa.RecordBatch.from_arrays(
-            [pa.array(c, t) for c, t in zip(zip(*out), (pa.int32(), pa.int32(), pa.string(), *TYPES))], names
+            [pa.array(c, t) for c, t in zip(columns, (pa.int64(), pa.string(), pa.string()))], ["page_id", "url", "text"]
+        )
+
+    last = None
+    for s in slices(batches, "html"):
+        for *row, guest in zip(*(s.column(c).to_pylist() for c in (*COLUMNS, "guest"))):
+            if row == last:
+                group[-1][1] += 1
+                continue
+            last, page = row, Page(*row)
+            own = row[3], row[4], row[0]
+            if own != key:
+                close(page)
+                before = group[-1][0] if group else None
+                group, key = [], own
+            group.append([page, 1, guest])
+            size += len(row[2] or "")
+            if size > SLICE_BYTES or len(out) >= 5000:
+                yield batch()
+                out.clear()
+                size = 0
+    close(None)
+    yield batch()
+
+
+def _part(key: Column, limits: list[tuple]) -> Column:
+    """How many of the ascending ``limits`` are not beyond ``key``, by halving."""
+    if not limits:
+        return F.lit(0)
+    held = F.array(*[F.struct(*[F.lit(v).cast(t).alias(c) for v, c, t in zip(x, KEY, ("string", "string", "long"))]) for x in limits])
+    bounds = F.struct(F.lit(0).alias("lo"), F.lit(len(limits)).alias("hi"))
+
+    def halve(state: Column, _: Column) -> Column:
+        middle = F.floor((state["lo"] + state["hi"]) / 2).cast("int")
+        up = F.get(held, middle) <= key
+        closed = state["lo"] >= state["hi"]
+        return F.struct(
+            F.when(~closed & up, middle + 1).otherwise(state["lo"]).alias("lo"), F.when(closed | up, state["hi"]).otherwise(middle).alias("hi")
         )
 
-    def whole(place: int, page: tuple) -> tuple:
-        return (part, place, None, *page)
-
-    for b in batches:
-        for s in slices(iter([b]), "html"):
-            for row in zip(*(s.column(c).to_pylist() for c in COLUMNS)):
-                before, now, after = now, after, (row, Page(*row))
-                count += 1
-                if count <= 2:
-                    out.append(whole(count - 1, row))
-                if before is not None:
-                    page = now[1]
-                    out.append((part, None, main_text(page, before[1], after[1]), page.page_id, page.url, None, None, None))
-                size += len(row[2] or "")
-                if size > SLICE_BYTES or len(out) >= 5000:
-                    yield batch()
-                    out.clear()
-                    size = 0
-    if count > 1:
-        out.append(whole(-2, now[0]))
-    if count:
-        out.append(whole(-1, after[0]))
-    if out:
-        yield batch()
-
-
-def _join_borders(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Texts of open pages; ``before`` and ``after`` are their neighbours, or null."""
-    for b in batches:
-        for s in slices(iter([b]), "html"):
-            columns = {c: s.column(c).to_pylist() for c in s.schema.names}
-            texts = []
-            for row, before, after in zip(zip(*(columns[c] for c in COLUMNS)), columns["before"], columns["after"]):
-                pages = [x and Page(*(x[c] for c in COLUMNS)) for x in (before, after)]
-                texts.append(main_text(Page(*row), *pages))
-            yield pa.RecordBatch.from_arrays(
-                [s.column("page_id"), s.column("url"), pa.array(texts, pa.string())], ["page_id", "url", "text"]
-            )
+    steps = len(limits).bit_length()
+    return F.aggregate(F.array(*[F.lit(k) for k in range(steps)]), bounds, halve, lambda s: s["lo"])
+
+
+def _order(key: tuple) -> tuple:
+    host, path, page = key
+    return host.encode(), path.encode(), page is not None, page or 0
+
+
+def dealt(pages: DataFrame, parts: int) -> DataFrame:
+    """The pages by part, in order; ``guest``: here only as the neighbour of a page of this part."""
+    spark = pages.sparkSession
+    key = F.struct(*KEY)
+    keys = pages.select(key.alias("key"))
+    total = keys.count()
+    one_in = max(1, total // (parts * SAMPLED))
+    # equal keys are sampled once, so about SAMPLED keys a part come to the driver
+    found = keys.where(F.pmod(F.xxhash64("key"), F.lit(one_in)) == 0).distinct().collect()
+    sample = sorted((tuple(r["key"]) for r in found), key=_order)
+    limits = sorted({sample[k * len(sample) // parts] for k in range(1, parts)} if sample else set(), key=_order)
+    own = pages.withColumn("part", _part(key, limits))
+    # a row for each part
+    ends = own.groupBy("part").agg(F.min(key).alias("first"), F.max(key).alias("last")).orderBy("part").collect()
+    near = [
+        (r["part"], tuple(r["first"]), tuple(r["last"]), ends[k - 1]["part"] if k else None, ends[k + 1]["part"] if k + 1 < len(ends) else None)
+        for k, r in enumerate(ends)
+    ]
+    at = "struct<host:string,path:string,page_id:long>"
+    plan = spark.createDataFrame(near, f"part int, first {at}, last {at}, left int, right int")
+    where = F.array_compact(F.array("part", F.when(key.eqNullSafe(F.col("last")), F.col("right")), F.when(key.eqNullSafe(F.col("first")), F.col("left"))))
+    placed = own.join(F.broadcast(plan), "part").select(*COLUMNS, "part", F.explode(where).alias("to"))
+    placed = placed.select(*COLUMNS, "to", (F.col("to") != F.col("part")).alias("guest"))
+    return placed.repartitionById(parts, F.col("to")).sortWithinPartitions("to", *KEY, "url", "html")
 
 
 def extract(pages: DataFrame) -> DataFrame:
@@ -245,34 +296,5 @@ def extract(pages: DataFrame) -> DataFrame:
         F.lower(F.regexp_extract(url, r"^[A-Za-z][A-Za-z0-9+.-]*://(?:[^/?#@]*@)?([^/?#]*)", 1)).alias("host"),
         F.regexp_extract(url, r"^(?:[A-Za-z][A-Za-z0-9+.-]*://[^/?#]*)?([^#]*)", 1).alias("path"),
     )
-    run = own.repartitionByRange("host", "path", "page_id").sortWithinPartitions("host", "path", "page_id", "url", "html")
-    found = materialize(run.mapInArrow(_difference, f"part int, place int, text string, {PAGE}"), "differenced")
-    done = found.where("place is null").select("page_id", "url", "text")
-    return done.unionByName(borders(found.where("place is not null")))
-
-
-def borders(ends: DataFrame) -> DataFrame:
-    """``page_id, url, text`` of the first and the last page of every range."""
-    spark = ends.sparkSession
-    # ranges without pages have no ends
-    parts = sorted(r["part"] for r in ends.where("place = 0").select("part").collect())
-    last = {r["part"] for r in ends.where("place = 1").select("part").collect()}
-    # (open page, page before, page after), each as part and place; a range of one page has one open page
-    open_ = []
-    for p, q, r in zip([None, *parts], parts, [*parts[1:], None]):
-        left, right = None if p is None else (p, -1), None if r is None else (r, 0)
-        if q in last:
-            open_ += [(q, 0, left, (q, 1)), (q, -1, (q, -2), right)]
-        else:
-            open_.append((q, 0, left, right))
-    at = "struct<part:int,place:int>"
-    plan = spark.createDataFrame(open_, f"part int, place int, l {at}, r {at}")
-    at_ = F.struct("part", "place")
-    page = ends.select(at_.alias("at"), F.struct(*COLUMNS).alias("page"))
-    of = lambda name: page.select(F.col("at").alias(f"{name}_at"), F.col("page").alias(name))
-    joined = (
-        plan.withColumn("own", at_).join(of("page"), F.col("own") == F.col("page_at"))
-        .join(of("before"), F.col("l") == F.col("before_at"), "left")
-        .join(of("after"), F.col("r") == F.col("after_at"), "left")
-    )
-    return joined.select("page.*", "before", "after").mapInArrow(_join_borders, "page_id long, url string, text string")
+    parts = int(pages.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    return dealt(own, parts).mapInArrow(_difference, "page_id long, url string, text string")

@@ -47,12 +47,7 @@ def test_pages_of_a_host_lose_what_they_share(spark):
         (3, "http://other.example/a/1", page("alone")), (4, None, None), (5, "not a url", "<p>x"),
         (6, "http://h.example/b", "<article><p>Same article</article>"), (7, "http://h.example/b2", "<article><p>Same article</article>"),
     ]
-    docs = pages(spark, rows).coalesce(1)
-    spark.conf.set("spark.sql.shuffle.partitions", "1")
-    try:
-        got = {r.page_id: r.text for r in extract.extract(docs).collect()}
-    finally:
-        spark.conf.set("spark.sql.shuffle.partitions", "4")
+    got = {r.page_id: r.text for r in extract.extract(pages(spark, rows)).collect()}
     assert got == {
         1: "first story", 2: "second story", 3: "Welcome to the site\nalone\nAll rights reserved", 4: "", 5: "x",
         6: "Same article", 7: "Same article",
@@ -69,25 +64,68 @@ def test_lines_beside_an_article_are_differenced():
     assert extract.main_text(b, a, None) == "Same teaser\nsecond body"
 
 
-def test_ranges_do_not_change_the_texts(spark):
+def plain_extract(rows):
+    """The same, one page at a time: neighbours by a sort of all pages, shared lines by the full table."""
+    keyed = []
+    for i, url, html in rows:
+        bare = "" if url is None else url
+        host, _, path = bare.partition("://")[2].partition("/") if "://" in bare else ("", "", bare)
+        path = ("/" + path if "://" in bare else bare).split("#")[0]
+        keyed.append((host.lower(), path, (i is not None, i or 0), url or "", html or "", (i, url, html)))
+    keyed.sort(key=lambda x: x[:5])
+    out = []
+    for k, x in enumerate(keyed):
+        own = extract.lines(x[4])
+        sides = [next((y for y in keyed[k::-1] if y[:3] != x[:3]), None), next((y for y in keyed[k:] if y[:3] != x[:3]), None)]
+        sides = [y for y in sides if y and y[0] == x[0] and y[5][0] != x[5][0]]
+        common = lambda y: next((n for n, (p, q) in enumerate(zip(x[1], y[1])) if p != q), min(len(x[1]), len(y[1])))
+        if sides:
+            other = [t for t, _ in extract.lines(max(sides, key=common)[4])]
+            beside = [t for t, article in own if not article]
+            out.append((x[5][0], x[5][1], len(beside) - lcs(beside, other), [t for t, a in own if a]))
+        else:
+            out.append((x[5][0], x[5][1], sum(not a for _, a in own), [t for t, a in own if a]))
+    return out
+
+
+def test_texts_agree_with_one_page_at_a_time_in_any_parts(spark):
     rng = random.Random(4)
     rows = [
-        (i, f"http://h{i % 3}.example/{i // 7}/{i}", f"<p>Menu {i % 3}<p>Part {i // 14}<p>Own {i}<p>{rng.choice('xyz')}<p>Rights {i % 3}")
+        (i, f"http://h{i % 3}.example/{i // 7}/{i % 50}", f"<p>Menu {i % 3}<p>Part {i // 14}<p>Own {i}<p>{rng.choice('xyz')}<article>A {i % 2}</article><p>Rights {i % 3}")
         for i in range(60)
     ]
-    keys = ("spark.sql.shuffle.partitions", "spark.sql.adaptive.coalescePartitions.enabled")
-    before = [spark.conf.get(k) for k in keys]
+    rows += [rows[5], rows[5], (5, rows[5][1], "<p>Menu 2<p>another version"), (7, None, "<p>Own"), (None, "http://h1.example/", None), (None, None, "")]
+    rows += [(200, rows[8][1], rows[8][2])]  # a tie of paths
+    before = spark.conf.get("spark.sql.shuffle.partitions")
     got = {}
-    spark.conf.set(keys[1], "false")
     try:
-        for n in (1, 4, 23, 90):  # with 90, most ranges hold one page or none
-            spark.conf.set(keys[0], str(n))
-            got[n] = sorted((r.page_id, r.text) for r in extract.extract(pages(spark, rows)).collect())
+        for n in (1, 4, 23, 90):  # with 90, most parts hold one page or none
+            spark.conf.set("spark.sql.shuffle.partitions", str(n))
+            got[n] = sorted((str(r.page_id), str(r.url), r.text) for r in extract.extract(pages(spark, rows)).collect())
     finally:
-        for k, v in zip(keys, before):
-            spark.conf.set(k, v)
-    assert len(got[1]) == 60 and not any("Menu" in t or "Rights" in t for _, t in got[1])
+        spark.conf.set("spark.sql.shuffle.partitions", before)
+    assert len(got[1]) == len(rows) and sum("Menu" in t for _, _, t in got[1]) < 5
     assert got[4] == got[1] and got[23] == got[1] and got[90] == got[1]
+    count = lambda text: [sum(not x.startswith("A ") for x in text.split("\n") if x), [x for x in text.split("\n") if x.startswith("A ")]]
+    plain = sorted((str(i), str(u), n, a) for i, u, n, a in plain_extract(rows))
+    assert sorted((i, u, *count(t)) for i, u, t in got[1]) == plain
+
+
+def test_differencing_decides_beside_articles(spark):
+    """Without it, shared notices that markup does not name would stay."""
+    rows = [(i, f"http://h.example/{i}", f"<div>Only today<article><p>Story {i}</article><div>Made by us<div>Note {i}") for i in range(9)]
+    with_ = {r.page_id: r.text for r in extract.extract(pages(spark, rows)).collect()}
+    without = {i: extract.main_text(extract.Page(i, u, h, "h", u), None, None) for i, u, h in rows}
+    assert with_ == {i: f"Story {i}\nNote {i}" for i in range(9)}
+    assert all(without[i] == f"Only today\nStory {i}\nMade by us\nNote {i}" for i in without)
+
+
+def test_a_very_long_page(spark):
+    a = [f"line {i}" for i in range(30_000)]
+    b = [x for i, x in enumerate(a) if i % 3]
+    rows = [(1, "http://h/1", "<p>".join(a)), (2, "http://h/2", "<p>".join(b))]
+    got = {r.page_id: r.text for r in extract.extract(pages(spark, rows)).collect()}
+    assert got == {1: "\n".join(a[::3]), 2: ""}
 
 
 def test_audit_finds_the_damage(spark):
