@@ -6,12 +6,13 @@ from collections.abc import Callable, Iterator
 
 import pyarrow as pa
 import pyarrow.compute as pc
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 from kerbside.operators.graph import components
 from kerbside.storage import materialize, shared_folder
 
-__all__ = ["components", "map_arrow", "materialize", "shared_folder", "slices", "table"]
+__all__ = ["components", "map_arrow", "materialize", "shared_folder", "slices", "table", "whole_rows"]
 
 #: Rows of one slice of an Arrow batch are taken up to this many text bytes, so that memory in a
 #: Python worker follows neither the number of rows in a batch nor the length of most texts.
@@ -22,6 +23,11 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def whole_rows(docs: DataFrame, **named: str | Column) -> DataFrame:
+    """Each row as one struct ``row``, beside the columns that are named here: joins then meet no clashing names."""
+    return docs.select(F.struct(*[docs[f"`{c}`"] for c in docs.columns]).alias("row"), *[(docs[c] if isinstance(c, str) else c).alias(k) for k, c in named.items()])
+
+
 def slices(batches: Iterator[pa.RecordBatch], text: str) -> Iterator[pa.RecordBatch]:
     """The batches again, cut so that each holds about SLICE_BYTES of the column ``text``, or one row."""
     for batch in batches:

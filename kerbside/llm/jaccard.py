@@ -1,9 +1,15 @@
 """N-gram Jaccard join: which documents share enough of their word shingles.
 
-Equal shingle sets are one class. Classes meet in tiles, whose keys are minima of the set under hash functions, of
-which two similar sets agree on some. Within a tile, only sizes of the same band can link; there, bitmap signatures
-bound the overlap of two sets from above by bit counts, and only pairs that the bound admits have their sorted
-shingle arrays intersected, exactly.
+Equal shingle sets are one class. Classes meet in size-banded tiles. A tile is a shingle and a band of set sizes; it
+holds the classes of that band, and of the band below, that have the shingle among their rarest ones. Within a tile,
+hashed bitmap signatures bound the overlap of two sets from above by bit counts, and only pairs that the bound admits
+have their sorted shingle arrays intersected, exactly.
+
+No link is lost. Let all shingles have one order. Two sets of a similarity of ``percent`` share so many shingles that
+the first ``n - ceil(n * percent / 100) + 1`` of each, n being its size, have one in common; and their sizes differ by a
+factor of 100 / percent at most, so they are in one band or in adjacent ones. Any order will do. The one used puts
+shingles last that very many documents have, by counts of all shingles in a table of fixed size; so a passage in a large
+part of the corpus makes no tile of all those documents.
 
 Links are found in two rounds. In the first, every class of a tile is compared with the one of the tile that shares
 most tiles with others; that joins most groups of copies with as many comparisons as they have members. In the
@@ -11,11 +17,11 @@ second, tiles whose classes are still in different components compare the signat
 size, and list only the pairs that may link. So pairs inside a linked group are not listed, and every pair that
 shares a tile is compared or already connected.
 
-Two sets at the threshold of 0.75 share no tile with a probability of (1 - 0.75^ROWS)^BANDS = 3e-8, and less above.
-
 Defined cases: a document without words has an empty set and is its own component; with fewer words than a shingle,
 the whole sequence is its only one; null texts have no words; repeated rows give one row each; documents with a
-null id join their class but are not its smallest id, and ``keep_one`` keeps them; extra columns are ignored; empty tables give empty results.
+null id join their class but are not its smallest id, and ``keep_one`` keeps them; extra columns, whatever their names,
+are ignored by ``link`` and kept by ``keep_one``; ties of size or weight change no component; a text of any length
+is one set in memory; empty tables give empty results.
 """
 
 from __future__ import annotations
@@ -28,11 +34,12 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from kerbside.llm.common import components, map_arrow, materialize, slices
+from kerbside.llm.common import components, map_arrow, materialize, slices, whole_rows
 
 SHINGLE = 5
 PERCENT = 75
-BANDS, ROWS = 64, 5
+#: Counters of shingles: SLOTS of them, in chunks.
+SLOTS, CHUNK = 1 << 17, 1 << 12
 #: Bits of a signature to a shingle, at least; powers of two from LEAST_BITS on, so that signatures fold onto shorter ones.
 LEAST_BITS = 128
 REMEMBERED = 400_000
@@ -68,26 +75,55 @@ def shingles(text: str | None, width: int = SHINGLE) -> np.ndarray:
     return np.unique(out)
 
 
-def _functions() -> tuple[np.ndarray, np.ndarray]:
-    rng = np.random.default_rng(20240)
-    a = rng.integers(0, 1 << 32, (BANDS * ROWS, 1), np.uint32) | np.uint32(1)
-    return a, rng.integers(0, 1 << 32, (BANDS * ROWS, 1), np.uint32)
+def _counter(sets: np.ndarray) -> np.ndarray:
+    return (sets >> np.uint64(64 - SLOTS.bit_length() + 1)).astype(np.int64)
+
+
+def prefix(sets: np.ndarray, level: np.ndarray, percent: int = PERCENT) -> np.ndarray:
+    """The shingles of a sorted set that come first in the order, enough for any similar set to share one."""
+    n = len(sets)
+    first = n + (-n * percent // 100) + 1 if n else 0
+    crowd = level[_counter(sets)]
+    own = sets if not crowd.any() else sets[np.argsort(crowd, kind="stable")]
+    return own[:first].view(np.int64)
 
 
-_A, _B = _functions()
+def crowding(counts: np.ndarray) -> np.ndarray:
+    """For each counter, 0 if it is as full as chance would have it, else more by its excess (each doubling counts one)."""
+    mean = max(1.0, float(counts.mean()))
+    excess = (counts - mean) / (4 * np.sqrt(mean))
+    return np.where(excess < 1, 0, 1 + np.floor(np.log2(np.maximum(excess, 1)))).astype(np.uint8)
 
 
-def minima(sets: np.ndarray) -> np.ndarray:
-    """One key for each band, of the minima of ROWS hash functions; the number of the band is part of it."""
-    low = (sets ^ (sets >> np.uint64(32))).astype(np.uint32)
-    least = np.full(BANDS * ROWS, 0xFFFFFFFF, np.uint32)
-    for at in range(0, len(low), 256):  # keeps the products in the processor's cache
-        np.minimum(least, (low[at : at + 256] * _A + _B).min(1), out=least)
-    key = np.arange(BANDS, dtype=np.uint64)
-    for row in least.reshape(BANDS, ROWS).T.astype(np.uint64):
-        key = (key ^ row) * _MIX
-        key ^= key >> np.uint64(31)
-    return key.view(np.int64)
+def counted(docs: DataFrame) -> np.ndarray:
+    """How often the shingles of each counter occur in all documents: SLOTS numbers, whatever the corpus."""
+
+    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held = np.zeros(SLOTS, np.int64)
+        for batch in slices(batches, "text"):
+            sets = [shingles(t) for t in batch.column("text").to_pylist()]
+            held += np.bincount(_counter(np.concatenate(sets)), minlength=SLOTS)
+        parts = held.astype(np.int32 if held.max() < 1 << 31 else np.int64).reshape(-1, CHUNK)
+        yield _chunks(range(len(parts)), parts)
+
+    def add(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held: dict[int, np.ndarray] = {}
+        for batch in batches:
+            for chunk, data in zip(batch.column("chunk").to_pylist(), batch.column("counts").to_pylist()):
+                held.setdefault(chunk, np.zeros(CHUNK, np.int64))
+                held[chunk] += np.frombuffer(data, np.int32 if len(data) == 4 * CHUNK else np.int64)
+        yield _chunks(held, held.values())
+
+    schema = "chunk int, counts binary"
+    each = docs.select("text").mapInArrow(count, schema)
+    out = np.zeros((SLOTS // CHUNK, CHUNK), np.int64)
+    for r in each.repartition(SLOTS // CHUNK, "chunk").mapInArrow(add, schema).collect():
+        out[r["chunk"]] = np.frombuffer(r["counts"], np.int64)
+    return out.ravel()
+
+
+def _chunks(names, parts) -> pa.RecordBatch:
+    return pa.RecordBatch.from_arrays([pa.array(list(names), pa.int32()), pa.array([x.tobytes() for x in parts], pa.binary())], ["chunk", "counts"])
 
 
 def bits_for(size: int) -> int:
@@ -114,31 +150,46 @@ def may_link(a: bytes, b: bytes, size_a: int, size_b: int, percent: int) -> bool
     return 100 * both >= percent * (size_a + size_b - both)
 
 
-def _sketch(batch: pa.RecordBatch) -> pa.RecordBatch:
-    n, low, high, keys, bitmaps = [], [], [], [], []
-    for text in batch.column("text").to_pylist():
-        s = shingles(text)
-        digest = xxhash.xxh3_128_intdigest(s.tobytes())
-        n.append(len(s))
-        low.append((digest & (1 << 64) - 1) - (1 << 63))
-        high.append((digest >> 64) - (1 << 63))
-        keys.append(minima(s) if len(s) else np.zeros(0, np.int64))
-        bitmaps.append(signature(s) if len(s) else b"")
-    offsets = np.cumsum([0, *map(len, keys)])
-    flat = np.concatenate(keys) if keys else np.zeros(0, np.int64)
-    return pa.RecordBatch.from_arrays(
-        [
-            batch.column("doc_id"), pa.array(n, pa.int64()), pa.array(low, pa.int64()), pa.array(high, pa.int64()),
-            pa.ListArray.from_arrays(pa.array(offsets, pa.int32()), pa.array(flat)), pa.array(bitmaps, pa.binary()),
-        ],
-        ["doc_id", "n", "low", "high", "keys", "bitmap"],
-    )
-
+def sketches(docs: DataFrame, percent: int = PERCENT) -> DataFrame:
+    """``doc_id, n, low, high, keys, bitmap``: size and digest of each document's set, its first shingles and its signature."""
+    level = docs.sparkSession.sparkContext.broadcast(crowding(counted(docs)))
+
+    def sketch(batch: pa.RecordBatch) -> pa.RecordBatch:
+        n, low, high, keys, bitmaps = [], [], [], [], []
+        for text in batch.column("text").to_pylist():
+            s = shingles(text)
+            digest = xxhash.xxh3_128_intdigest(s.tobytes())
+            n.append(len(s))
+            low.append((digest & (1 << 64) - 1) - (1 << 63))
+            high.append((digest >> 64) - (1 << 63))
+            keys.append(prefix(s, level.value, percent))
+            bitmaps.append(signature(s) if len(s) else b"")
+        offsets = np.cumsum([0, *map(len, keys)])
+        flat = np.concatenate(keys) if keys else np.zeros(0, np.int64)
+        return pa.RecordBatch.from_arrays(
+            [
+                batch.column("doc_id"), pa.array(n, pa.int64()), pa.array(low, pa.int64()), pa.array(high, pa.int64()),
+                pa.ListArray.from_arrays(pa.array(offsets, pa.int32()), pa.array(flat)), pa.array(bitmaps, pa.binary()),
+            ],
+            ["doc_id", "n", "low", "high", "keys", "bitmap"],
+        )
 
-def sketches(docs: DataFrame) -> DataFrame:
-    """``doc_id, n, low, high, keys, bitmap``: size and digest of each document's set, its keys and its signature."""
     schema = "doc_id long, n long, low long, high long, keys array<long>, bitmap binary"
-    return map_arrow(docs.select("doc_id", "text"), "text", schema, _sketch)
+    return map_arrow(docs.select("doc_id", "text"), "text", schema, sketch)
+
+
+def banded(classes: DataFrame, percent: int) -> DataFrame:
+    """``tile, class, members``: the size-banded tiles of two classes or more.
+
+    Bands are a little wider than the factor by which linked sizes may differ, so that rounding loses no pair."""
+    tiles = classes.select("class", "n", F.explode("keys").alias("shingle"))
+    often = tiles.groupBy("shingle").agg(F.count(F.lit(1)).alias("k")).where("k > 1").drop("k")
+    shared = tiles.join(often, "shingle")
+    band = F.floor(F.log(F.col("n").cast("double")) / F.log(F.lit(102.0 / percent)))
+    dealt = shared.select("class", "shingle", F.explode(F.array(band, band + 1)).alias("band"))
+    dealt = materialize(dealt.select(F.xxhash64("shingle", "band").alias("tile"), "class"), "dealt")
+    sizes = dealt.groupBy("tile").agg(F.count(F.lit(1)).alias("members")).where("members > 1")
+    return dealt.join(sizes, "tile").select("tile", "class", "members")
 
 
 def _sets(batch: pa.RecordBatch) -> pa.RecordBatch:
@@ -260,7 +311,7 @@ def bounded(pairs: DataFrame, classes: DataFrame, percent: int) -> DataFrame:
 
 def link(docs: DataFrame, percent: int = PERCENT) -> DataFrame:
     """``doc_id, n_shingles, component_id`` of every document; links are by ``percent`` of the union at least."""
-    held = materialize(sketches(docs), "sketches")
+    held = materialize(sketches(docs, percent), "sketches")
     some = held.where("n > 0")
     # a class is a set; its number is its smallest document
     number = some.groupBy("low", "high").agg(F.min("doc_id").alias("class"))
@@ -268,9 +319,7 @@ def link(docs: DataFrame, percent: int = PERCENT) -> DataFrame:
     first = number.select(F.col("class").alias("doc_id"), F.col("low").alias("l"), F.col("high").alias("h"))
     classes = some.join(first, ["doc_id"]).where("low = l and high = h").dropDuplicates(["doc_id"])
     classes = classes.select(F.col("doc_id").alias("class"), "n", "keys", "bitmap")
-    tiles = classes.select("class", F.explode("keys").alias("tile"))
-    sizes = tiles.groupBy("tile").agg(F.count(F.lit(1)).alias("members")).where("members > 1")
-    met = materialize(tiles.join(sizes, "tile").select("tile", "class", "members"), "tiles")
+    met = materialize(banded(classes, percent), "tiles")
     texts = docs.select(F.col("doc_id").alias("class"), "text").where("doc_id is not null")
     classes = materialize(classes.drop("keys"), "signatures")
     # compared first with what shares most tiles, as the original of many copies does
@@ -296,5 +345,6 @@ def link(docs: DataFrame, percent: int = PERCENT) -> DataFrame:
 
 def keep_one(docs: DataFrame, percent: int = PERCENT) -> DataFrame:
     """The documents that are the smallest of their component, with their own columns."""
-    first = link(docs, percent).where("component_id = doc_id or doc_id is null").select(F.col("doc_id").alias("_first")).distinct()
-    return docs.join(first, F.col("doc_id").eqNullSafe(F.col("_first")), "left_semi")
+    first = link(docs, percent).where("component_id = doc_id or doc_id is null").select(F.col("doc_id").alias("id")).distinct()
+    rows = whole_rows(docs, id="doc_id").withColumnRenamed("id", "own")
+    return rows.join(first, F.col("own").eqNullSafe(F.col("id")), "left_semi").select("row.*")

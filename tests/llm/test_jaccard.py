@@ -2,6 +2,8 @@
 
 import random
 
+import numpy as np
+
 from kerbside.llm import jaccard
 
 
@@ -79,10 +81,57 @@ def test_signature_bound_never_rejects_a_link():
     rng = random.Random(3)
     for _ in range(300):
         base = rng.sample(range(1 << 60), rng.randint(1, 400))
-        import numpy as np
-
         a = np.unique(np.array(base, np.uint64))
         b = np.unique(np.array(base[: rng.randint(1, len(base))] + rng.sample(range(1 << 60), rng.randint(0, 30)), np.uint64))
         both = len(np.intersect1d(a, b))
         if 100 * both >= 75 * (len(a) + len(b) - both):
             assert jaccard.may_link(jaccard.signature(a), jaccard.signature(b), len(a), len(b), 75)
+
+
+def test_similar_sets_share_a_first_shingle_in_any_order():
+    rng = random.Random(11)
+    level = np.array([rng.choice([0, 0, 0, 1, 5]) for _ in range(jaccard.SLOTS)], np.uint8)
+    near = 0
+    for _ in range(2000):
+        base = [rng.getrandbits(64) for _ in range(rng.randint(1, 60))]
+        a = np.unique(np.array(base, np.uint64))
+        kept = base[: rng.randint(len(base) * 3 // 4, len(base))]
+        b = np.unique(np.array(kept + [rng.getrandbits(64) for _ in range(rng.randint(0, len(base) // 3))], np.uint64))
+        both = len(np.intersect1d(a, b))
+        if 100 * both >= 75 * (len(a) + len(b) - both):
+            near += 1
+            for x in (level, np.zeros(jaccard.SLOTS, np.uint8)):
+                assert len(np.intersect1d(jaccard.prefix(a, x), jaccard.prefix(b, x)))
+            low, high = sorted((len(a), len(b)))
+            assert np.floor(np.log(high) / np.log(1.36)) - np.floor(np.log(low) / np.log(1.36)) <= 1
+    assert near > 500
+
+
+def test_what_many_documents_share_comes_last(make):
+    rng = random.Random(2)
+    word = lambda: "".join(rng.choice("abcdefghij") for _ in range(8))
+    passage = " ".join(word() for _ in range(40))
+    rows = [(i, " ".join(word() for _ in range(60)) + " " + passage) for i in range(400)]
+    docs = make(rows)
+    counts = jaccard.counted(docs)
+    assert counts.sum() == sum(len(sets(t)) for _, t in rows)
+    level = jaccard.crowding(counts)
+    assert all(level[jaccard._counter(jaccard.shingles(passage))] > 0)
+    classes = jaccard.sketches(docs).selectExpr("doc_id class", "n", "keys")
+    assert jaccard.banded(classes, 75).count() == 0
+    assert {r.component_id for r in jaccard.link(docs).collect()} == set(range(400))
+
+
+def test_exact_sizes_at_the_threshold(make):
+    """96 shingles of 128 shared is 0.75; one less is not."""
+    words = [f"w{i}" for i in range(300)]
+    a, b, c = " ".join(words[:116]), " ".join(words[16:132]), " ".join(words[17:133])
+    assert {r.doc_id: r.component_id for r in jaccard.link(make([(1, a), (2, b)])).collect()} == {1: 1, 2: 1}
+    assert {r.doc_id: r.component_id for r in jaccard.link(make([(1, a), (3, c)])).collect()} == {1: 1, 3: 3}
+
+
+def test_clashing_columns(spark):
+    rows = [(1, "a b c d e f", "en", "s", 1, 2, 3, 4), (2, "a b c d e f", "en", "s", 1, 2, 3, 4)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string, source string, _first long, own long, id long, row long")
+    kept = jaccard.keep_one(docs)
+    assert kept.columns == docs.columns and [r.doc_id for r in kept.collect()] == [1]
