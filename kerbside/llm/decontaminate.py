@@ -15,6 +15,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from kerbside.llm.common import whole_rows
+
 WINDOW = 10
 #: Benchmark windows are broadcast up to this many (about 200 bytes each); beyond, the join shuffles.
 BROADCAST_WINDOWS = 500_000
@@ -94,12 +96,11 @@ def hits(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW) -> DataFra
 
 
 def decontaminate(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW) -> DataFrame:
-    """The documents without a hit, with their own columns; null ids and texts stay."""
-    bad = hits(docs, benchmark, window).where("n_hit > 0").select(
-        F.col("doc_id").alias("_bad_id"), F.col("text_key").alias("_bad_key")
-    )
-    same = F.col("doc_id").eqNullSafe(F.col("_bad_id")) & (F.xxhash64("text") == F.col("_bad_key"))
-    return docs.join(bad, same, "left_anti")
+    """The documents without a hit, with their own columns; null ids and texts stay, and so do repeated rows."""
+    bad = hits(docs, benchmark, window).where("n_hit > 0").select("doc_id", "text_key")
+    rows = whole_rows(docs, own="doc_id", own_key=F.xxhash64("text"))
+    same = F.col("own").eqNullSafe(F.col("doc_id")) & (F.col("own_key") == F.col("text_key"))
+    return rows.join(bad, same, "left_anti").select("row.*")
 
 
 def remove_spans(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW) -> DataFrame:

@@ -20,7 +20,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from kerbside.llm.common import map_arrow, slices
+from kerbside.llm.common import map_arrow, slices, whole_rows
 
 #: About so many labelled rows of each language are learned from, chosen by a hash of their ids.
 LABELLED_PER_LANGUAGE = 2000
@@ -132,9 +132,10 @@ def mixture(h: np.ndarray, table: np.ndarray) -> np.ndarray:
     return out
 
 
-def identify(docs: DataFrame, languages: list[str], table: np.ndarray, extra: tuple[str, ...] = ()) -> DataFrame:
-    """``doc_id, lang_pred, score`` and the columns ``extra`` of every document."""
+def identify(docs: DataFrame, languages: list[str], table: np.ndarray, also: str | None = None) -> DataFrame:
+    """``doc_id, lang_pred, score`` of every document, and the column ``also`` of any type."""
     model = docs.sparkSession.sparkContext.broadcast(table)
+    own = ["doc_id", "text"] + ([also] if also else [])
 
     def predict(batch: pa.RecordBatch) -> pa.RecordBatch:
         h, bounds, some = grams(batch.column("text").to_pylist())
@@ -148,9 +149,19 @@ def identify(docs: DataFrame, languages: list[str], table: np.ndarray, extra: tu
                 top = int(np.argmax(pi))
                 names.append(languages[top])
                 scores.append(min(1.0, float(pi[top])))
-        kept = [batch.column(c) for c in ("doc_id", *extra)]
-        return pa.RecordBatch.from_arrays([*kept, pa.array(names, pa.string()), pa.array(scores, pa.float64())], ["doc_id", *extra, "lang_pred", "score"])
+        kept = [batch.column(c) for c in own if c != "text"]
+        return pa.RecordBatch.from_arrays(
+            [*kept, pa.array(names, pa.string()), pa.array(scores, pa.float64())], [*(c for c in own if c != "text"), "lang_pred", "score"]
+        )
 
-    own = docs.select("doc_id", *extra, *([] if "text" in extra else ["text"]))
-    types = "".join(f", `{c}` {docs.schema[c].dataType.simpleString()}" for c in extra)
-    return map_arrow(own, "text", f"doc_id long{types}, lang_pred string, score double", predict)
+    types = f", `{also}` {docs.schema[also].dataType.simpleString()}" if also else ""
+    return map_arrow(docs.select(*own), "text", f"doc_id long{types}, lang_pred string, score double", predict)
+
+
+def with_language(docs: DataFrame, languages: list[str], table: np.ndarray) -> DataFrame:
+    """The documents that have a language, with their own columns; ``lang`` becomes the prediction.
+
+    Null texts and texts without a letter go. Repeated rows and null ids stay; a column may have any name."""
+    rows = whole_rows(docs, doc_id="doc_id", text="text")
+    found = identify(rows, languages, table, "row").where("lang_pred <> 'und'")
+    return found.select(*[F.col("lang_pred").alias(c) if c == "lang" else F.col("row")[c].alias(c) for c in docs.columns])

@@ -50,7 +50,7 @@ def _secrets() -> str:
     FROM (SELECT doc_id, regexp_split_to_array(text, {own}) AS gaps, regexp_extract_all(text, {own}) AS found, regexp_extract_all(text, {own}, {group}) AS held
         FROM d WHERE regexp_matches(text, {own})), unnest(range(1, len(found) + 1)) AS r(i)""")
     near = lambda roles: (
-        "EXISTS (SELECT 1 FROM c y WHERE y.doc_id = x.doc_id AND y.kind IN (" + ", ".join(map(_quoted, roles)) + f") AND abs(y.s - x.s) <= {REACH}"
+        "EXISTS (SELECT 1 FROM c y WHERE y.doc_id = x.doc_id AND y.kind IN (" + ", ".join(map(_quoted, roles)) + f") AND greatest(y.s - x.e, x.s - y.e) <= {REACH}"
         " AND NOT (y.s < x.e AND x.s < y.e))"
     )
     return f"""WITH d AS (SELECT doc_id, coalesce(text, '') AS text FROM documents),

@@ -1,6 +1,8 @@
 """Language ID: held-out accuracy, mixtures and odd rows."""
 
+import math
 import random
+from collections import Counter
 
 import numpy as np
 import pytest
@@ -60,3 +62,45 @@ def test_grams_of_a_text_do_not_depend_on_its_neighbours():
     for t, (a, b), s in zip(texts, bounds, some):
         own, (own_bounds,), (own_some,) = langid.grams([t])
         assert (h[a:b] == own[slice(*own_bounds)]).all() and s == own_some
+
+
+def plain_mixture(counts, shares, penalty):
+    """The same by dictionaries: {trigram: n}, {language: {trigram: share}}."""
+
+    def em(names, start):
+        pi = dict(start)
+        for _ in range(langid.ROUNDS):
+            new = dict.fromkeys(names, 0.0)
+            for g, n in counts.items():
+                whole = sum(pi[k] * shares[k][g] for k in names)
+                for k in names:
+                    new[k] += n * pi[k] * shares[k][g] / whole
+            pi = {k: v / sum(counts.values()) for k, v in new.items()}
+        return pi, sum(n * math.log(sum(pi[k] * shares[k][g] for k in names)) for g, n in counts.items())
+
+    every = list(shares)
+    alone = {k: sum(n * math.log(shares[k][g]) for g, n in counts.items()) for k in every}
+    top = max(every, key=lambda k: alone[k])
+    full, _ = em(every, dict.fromkeys(every, 1 / len(every)))
+    chosen, best, out = [top], alone[top], {top: 1.0}
+    for k in sorted((k for k in every if k != top), key=lambda k: -full[k]):
+        wider = [*chosen, k]
+        start = {x: max(full[x], 1e-3) for x in wider}
+        pi, likely = em(wider, {x: v / sum(start.values()) for x, v in start.items()})
+        if likely - best <= penalty * math.log(sum(counts.values()) + 1):
+            break
+        chosen, best, out = wider, likely, pi
+    return out
+
+
+def test_predictions_agree_with_plain_expectation_maximisation(make, learned):
+    rng = random.Random(9)
+    names, table = learned
+    rows = [(i, " ".join(text(rng, rng.choice(list(PARTS)), rng.randint(1, 25)) for _ in range(rng.randint(1, 3)))) for i in range(40)]
+    got = {r.doc_id: r for r in langid.identify(make(rows), *learned).collect()}
+    for i, t in rows:
+        h, bounds, _ = langid.grams([t])
+        counts = Counter(h[slice(*bounds[0])].tolist())
+        want = plain_mixture(counts, {k: np.exp(table[:, j]) for j, k in enumerate(names)}, langid.PENALTY)
+        top = max(sorted(want), key=lambda k: want[k])
+        assert got[i].lang_pred == top and abs(got[i].score - want[top]) < 1e-6
