@@ -11,11 +11,12 @@ factor of 100 / percent at most, so they are in one band or in adjacent ones. An
 shingles last that very many documents have, by counts of all shingles in a table of fixed size; so a passage in a large
 part of the corpus makes no tile of all those documents.
 
-Links are found in two rounds. In the first, every class of a tile is compared with the one of the tile that shares
-most tiles with others; that joins most groups of copies with as many comparisons as they have members. In the
-second, tiles whose classes are still in different components compare the signatures of those, in blocks of bounded
-size, and list only the pairs that may link. So pairs inside a linked group are not listed, and every pair that
-shares a tile is compared or already connected.
+Links are found in two rounds. The first only takes the tiles of the FEW rarest shingles of each class, and compares
+every class of a tile with the one of the tile that shares most tiles with others; that joins most groups of copies with
+as many comparisons as they have members. The second takes all tiles. Those whose classes are by now in one component
+need no comparison; in the others, all pairs from different components are compared by signatures, in blocks of
+bounded size, and only the pairs that may link are listed. So pairs inside a linked group are not listed, and every pair
+that shares a tile is compared or already connected.
 
 Defined cases: a document without words has an empty set and is its own component; with fewer words than a shingle,
 the whole sequence is its only one; null texts have no words; repeated rows give one row each; documents with a
@@ -31,7 +32,7 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from kerbside.llm.common import components, map_arrow, materialize, slices, whole_rows
@@ -40,6 +41,8 @@ SHINGLE = 5
 PERCENT = 75
 #: Counters of shingles: SLOTS of them, in chunks.
 SLOTS, CHUNK = 1 << 17, 1 << 12
+#: Shingles of a class whose tiles the first round takes.
+FEW = 8
 #: Bits of a signature to a shingle, at least; powers of two from LEAST_BITS on, so that signatures fold onto shorter ones.
 LEAST_BITS = 128
 REMEMBERED = 400_000
@@ -79,13 +82,16 @@ def _counter(sets: np.ndarray) -> np.ndarray:
     return (sets >> np.uint64(64 - SLOTS.bit_length() + 1)).astype(np.int64)
 
 
-def prefix(sets: np.ndarray, level: np.ndarray, percent: int = PERCENT) -> np.ndarray:
-    """The shingles of a sorted set that come first in the order, enough for any similar set to share one."""
+def prefix(sets: np.ndarray, level: np.ndarray, percent: int = PERCENT) -> tuple[np.ndarray, int]:
+    """The shingles of a sorted set that come first in the order, enough for any similar set to share one; and how many
+    of them, from the first on, are not crowded."""
     n = len(sets)
     first = n + (-n * percent // 100) + 1 if n else 0
     crowd = level[_counter(sets)]
-    own = sets if not crowd.any() else sets[np.argsort(crowd, kind="stable")]
-    return own[:first].view(np.int64)
+    if not crowd.any():
+        return sets[:first].view(np.int64), first
+    order = np.argsort(crowd, kind="stable")[:first]
+    return sets[order].view(np.int64), int(np.searchsorted(crowd[order], 0, "right"))
 
 
 def crowding(counts: np.ndarray) -> np.ndarray:
@@ -151,45 +157,57 @@ def may_link(a: bytes, b: bytes, size_a: int, size_b: int, percent: int) -> bool
 
 
 def sketches(docs: DataFrame, percent: int = PERCENT) -> DataFrame:
-    """``doc_id, n, low, high, keys, bitmap``: size and digest of each document's set, its first shingles and its signature."""
+    """``doc_id, n, low, high, keys, sparse, bitmap``: size and digest of each document's set, its first shingles, of which
+    ``sparse`` are not crowded, and its signature."""
     level = docs.sparkSession.sparkContext.broadcast(crowding(counted(docs)))
 
     def sketch(batch: pa.RecordBatch) -> pa.RecordBatch:
-        n, low, high, keys, bitmaps = [], [], [], [], []
+        n, low, high, keys, sparse, bitmaps = [], [], [], [], [], []
         for text in batch.column("text").to_pylist():
             s = shingles(text)
             digest = xxhash.xxh3_128_intdigest(s.tobytes())
             n.append(len(s))
             low.append((digest & (1 << 64) - 1) - (1 << 63))
             high.append((digest >> 64) - (1 << 63))
-            keys.append(prefix(s, level.value, percent))
+            first, few = prefix(s, level.value, percent)
+            keys.append(first)
+            sparse.append(few)
             bitmaps.append(signature(s) if len(s) else b"")
         offsets = np.cumsum([0, *map(len, keys)])
         flat = np.concatenate(keys) if keys else np.zeros(0, np.int64)
         return pa.RecordBatch.from_arrays(
             [
                 batch.column("doc_id"), pa.array(n, pa.int64()), pa.array(low, pa.int64()), pa.array(high, pa.int64()),
-                pa.ListArray.from_arrays(pa.array(offsets, pa.int32()), pa.array(flat)), pa.array(bitmaps, pa.binary()),
+                pa.ListArray.from_arrays(pa.array(offsets, pa.int32()), pa.array(flat)),
+                pa.array(sparse, pa.int32()), pa.array(bitmaps, pa.binary()),
             ],
-            ["doc_id", "n", "low", "high", "keys", "bitmap"],
+            ["doc_id", "n", "low", "high", "keys", "sparse", "bitmap"],
         )
 
-    schema = "doc_id long, n long, low long, high long, keys array<long>, bitmap binary"
+    schema = "doc_id long, n long, low long, high long, keys array<long>, sparse int, bitmap binary"
     return map_arrow(docs.select("doc_id", "text"), "text", schema, sketch)
 
 
-def banded(classes: DataFrame, percent: int) -> DataFrame:
-    """``tile, class, members``: the size-banded tiles of two classes or more.
+def banded(rows: DataFrame, percent: int) -> DataFrame:
+    """The rows ``shingle, n, ...`` dealt to size-banded tiles, as ``tile``.
 
     Bands are a little wider than the factor by which linked sizes may differ, so that rounding loses no pair."""
-    tiles = classes.select("class", "n", F.explode("keys").alias("shingle"))
-    often = tiles.groupBy("shingle").agg(F.count(F.lit(1)).alias("k")).where("k > 1").drop("k")
-    shared = tiles.join(often, "shingle")
     band = F.floor(F.log(F.col("n").cast("double")) / F.log(F.lit(102.0 / percent)))
-    dealt = shared.select("class", "shingle", F.explode(F.array(band, band + 1)).alias("band"))
-    dealt = materialize(dealt.select(F.xxhash64("shingle", "band").alias("tile"), "class"), "dealt")
-    sizes = dealt.groupBy("tile").agg(F.count(F.lit(1)).alias("members")).where("members > 1")
-    return dealt.join(sizes, "tile").select("tile", "class", "members")
+    dealt = rows.select("*", F.explode(F.array(band, band + 1)).alias("band"))
+    return dealt.withColumn("tile", F.xxhash64("shingle", "band")).drop("shingle", "band")
+
+
+def meeting(rows: DataFrame) -> DataFrame:
+    """The ``shingle, sparse, class, component`` rows of shingles that occur in more than one component.
+
+    Shingles that are not crowded have their rows sorted side by side, once. Crowded ones may have any number of
+    rows: these combine before the shuffle, and the join splits what is large."""
+    ends = [F.min("component").alias("lo"), F.max("component").alias("hi")]
+    own = Window.partitionBy("shingle")
+    few = rows.where("sparse").select("shingle", "class", "component", *[f.over(own).alias(k) for f, k in zip((F.min("component"), F.max("component")), ("lo", "hi"))])
+    crowded = rows.where("not sparse").select("shingle", "class", "component")
+    open_ = crowded.groupBy("shingle").agg(*ends).where("lo <> hi").select("shingle")
+    return few.where("lo <> hi").drop("lo", "hi").unionByName(crowded.join(open_, "shingle", "left_semi"))
 
 
 def _sets(batch: pa.RecordBatch) -> pa.RecordBatch:
@@ -317,22 +335,29 @@ def link(docs: DataFrame, percent: int = PERCENT) -> DataFrame:
     number = some.groupBy("low", "high").agg(F.min("doc_id").alias("class"))
     number = materialize(number.where("class is not null"), "classes")
     first = number.select(F.col("class").alias("doc_id"), F.col("low").alias("l"), F.col("high").alias("h"))
-    classes = some.join(first, ["doc_id"]).where("low = l and high = h").dropDuplicates(["doc_id"])
-    classes = classes.select(F.col("doc_id").alias("class"), "n", "keys", "bitmap")
-    met = materialize(banded(classes, percent), "tiles")
+    own = some.join(first, "doc_id").where("low = l and high = h").dropDuplicates(["doc_id"])
+    own = materialize(own.select(F.col("doc_id").alias("class"), "n", "keys", "sparse", "bitmap"), "sets")
+    classes, keys = own.select("class", "n", "bitmap"), own.select("class", "n", "sparse", "keys")
     texts = docs.select(F.col("doc_id").alias("class"), "text").where("doc_id is not null")
-    classes = materialize(classes.drop("keys"), "signatures")
+
+    met = banded(keys.select("class", "n", F.explode(F.slice("keys", 1, FEW)).alias("shingle")), percent).drop("n")
+    sizes = met.groupBy("tile").agg(F.count(F.lit(1)).alias("members")).where("members > 1")
+    met = materialize(met.join(sizes, "tile"), "tiles")
     # compared first with what shares most tiles, as the original of many copies does
     weight = met.groupBy("class").agg(F.sum(F.col("members") - 1).alias("weight"))
-    centre = met.join(weight, "class").groupBy("tile").agg(F.max_by("class", "weight").alias("centre"))
+    centre = met.join(weight, "class").groupBy("tile").agg(F.max_by("class", F.struct("weight", "class")).alias("centre"))
     stars = met.join(centre, "tile").where("class <> centre")
     stars = stars.select(F.least("centre", "class").alias("a"), F.greatest("centre", "class").alias("b")).distinct()
     links = verified(bounded(stars, classes, percent), texts, percent)
     joined = components(links, "round1")
-    now = met.join(joined.withColumnRenamed("node", "class"), "class", "left")
-    now = now.select("tile", "class", "members", F.coalesce("component", "class").alias("component"))
-    open_ = now.groupBy("tile").agg(F.min("component").alias("x"), F.max("component").alias("y")).where("x <> y").select("tile")
-    now = now.join(open_, "tile").join(classes, "class")
+
+    now = keys.join(joined.withColumnRenamed("node", "class"), "class", "left")
+    now = now.withColumn("component", F.coalesce("component", "class"))
+    now = now.select("class", "component", "sparse", F.posexplode("keys").alias("k", "shingle"))
+    now = meeting(now.select("shingle", (F.col("k") < F.col("sparse")).alias("sparse"), "class", "component"))
+    now = materialize(banded(now.join(keys.select("class", "n"), "class"), percent), "met")
+    open_ = now.groupBy("tile").agg(F.min("component").alias("x"), F.max("component").alias("y"), F.count(F.lit(1)).alias("members"))
+    now = now.join(open_.where("x <> y").select("tile", "members"), "tile").join(classes.drop("n"), "class")
     more = verified(materialize(across(now, percent), "pairs"), texts, percent)
     whole = components(links.unionByName(more), "round2")
     by_set = number.join(whole.withColumnRenamed("node", "class"), "class", "left").select(

@@ -101,7 +101,7 @@ def test_similar_sets_share_a_first_shingle_in_any_order():
         if 100 * both >= 75 * (len(a) + len(b) - both):
             near += 1
             for x in (level, np.zeros(jaccard.SLOTS, np.uint8)):
-                assert len(np.intersect1d(jaccard.prefix(a, x), jaccard.prefix(b, x)))
+                assert len(np.intersect1d(jaccard.prefix(a, x)[0], jaccard.prefix(b, x)[0]))
             low, high = sorted((len(a), len(b)))
             assert np.floor(np.log(high) / np.log(1.36)) - np.floor(np.log(low) / np.log(1.36)) <= 1
     assert near > 500
@@ -117,11 +117,17 @@ def test_what_many_documents_share_comes_last(make):
     assert counts.sum() == sum(len(sets(t)) for _, t in rows)
     level = jaccard.crowding(counts)
     assert all(level[jaccard._counter(jaccard.shingles(passage))] > 0)
-    classes = jaccard.sketches(docs).selectExpr("doc_id class", "n", "keys")
-    assert jaccard.banded(classes, 75).count() == 0
+    keys = jaccard.sketches(docs).selectExpr("doc_id class", "doc_id component", "sparse = size(keys) sparse", "explode(keys) shingle")
+    assert jaccard.meeting(keys).count() == 0
     assert {r.component_id for r in jaccard.link(docs).collect()} == set(range(400))
 
 
+def test_crowded_shingles_meet_too(spark):
+    rows = [(5, s, c, c) for s in (True, False) for c in (1, 2, 2)] + [(6, False, 3, 3), (7, True, 4, 9), (7, True, 5, 9), (8, False, 4, 9), (8, False, 5, 9)]
+    rows = spark.createDataFrame(rows, "shingle long, sparse boolean, class long, component long")
+    assert sorted(map(tuple, jaccard.meeting(rows).collect())) == [(5, 1, 1)] * 2 + [(5, 2, 2)] * 4
+
+
 def test_exact_sizes_at_the_threshold(make):
     """96 shingles of 128 shared is 0.75; one less is not."""
     words = [f"w{i}" for i in range(300)]
