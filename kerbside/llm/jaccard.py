@@ -13,10 +13,14 @@ part of the corpus makes no tile of all those documents.
 
 Links are found in two rounds. The first only takes the tiles of the FEW rarest shingles of each class, and compares
 every class of a tile with the one of the tile that shares most tiles with others; that joins most groups of copies with
-as many comparisons as they have members. The second takes all tiles. Those whose classes are by now in one component
-need no comparison; in the others, all pairs from different components are compared by signatures, in blocks of
-bounded size, and only the pairs that may link are listed. So pairs inside a linked group are not listed, and every pair
-that shares a tile is compared or already connected.
+as many comparisons as they have members. The second takes all tiles, with ``EXTRA`` percent more shingles of each class
+than are needed. Of two linked sets, the one whose shingles end first in the order shares all but so many of them with
+the other that 1 + EXTRA percent of its size lie in both lists; so a class that meets others in fewer tiles than that,
+counted for the smallest size that may link with it, has no further links and goes, and with it the tiles that only
+it kept open. This count, made twice, leaves out what shares a passage but is not similar. Tiles whose classes are by now
+in one component need no comparison; in the others, all pairs from different components are compared by signatures,
+in blocks of bounded size, and only the pairs that may link are listed. So pairs inside a linked group are not listed,
+and every pair that can be a link is compared or already connected.
 
 Defined cases: a document without words has an empty set and is its own component; with fewer words than a shingle,
 the whole sequence is its only one; null texts have no words; repeated rows give one row each; documents with a
@@ -41,8 +45,8 @@ SHINGLE = 5
 PERCENT = 75
 #: Counters of shingles: SLOTS of them, in chunks.
 SLOTS, CHUNK = 1 << 17, 1 << 12
-#: Shingles of a class whose tiles the first round takes.
-FEW = 8
+#: Shingles of a class whose tiles the first round takes; percent of a set that the second takes beyond what is needed.
+FEW, EXTRA = 8, 8
 #: Bits of a signature to a shingle, at least; powers of two from LEAST_BITS on, so that signatures fold onto shorter ones.
 LEAST_BITS = 128
 REMEMBERED = 400_000
@@ -82,11 +86,16 @@ def _counter(sets: np.ndarray) -> np.ndarray:
     return (sets >> np.uint64(64 - SLOTS.bit_length() + 1)).astype(np.int64)
 
 
+def needed(n: int, percent: int) -> int:
+    """So many first shingles of a set of ``n`` meet those of any similar set."""
+    return n + (-n * percent // 100) + 1 if n else 0
+
+
 def prefix(sets: np.ndarray, level: np.ndarray, percent: int = PERCENT) -> tuple[np.ndarray, int]:
-    """The shingles of a sorted set that come first in the order, enough for any similar set to share one; and how many
-    of them, from the first on, are not crowded."""
+    """The shingles of a sorted set that come first in the order, EXTRA percent more than are needed; and how many of
+    them, from the first on, are not crowded."""
     n = len(sets)
-    first = n + (-n * percent // 100) + 1 if n else 0
+    first = needed(n, percent) + n * EXTRA // 100
     crowd = level[_counter(sets)]
     if not crowd.any():
         return sets[:first].view(np.int64), first
@@ -194,18 +203,34 @@ def banded(rows: DataFrame, percent: int) -> DataFrame:
     Bands are a little wider than the factor by which linked sizes may differ, so that rounding loses no pair."""
     band = F.floor(F.log(F.col("n").cast("double")) / F.log(F.lit(102.0 / percent)))
     dealt = rows.select("*", F.explode(F.array(band, band + 1)).alias("band"))
-    return dealt.withColumn("tile", F.xxhash64("shingle", "band")).drop("shingle", "band")
+    return dealt.withColumn("tile", F.xxhash64("shingle", "band")).drop("band")
+
+
+def opened(rows: DataFrame, percent: int) -> DataFrame:
+    """The rows ``shingle, class, component, n, ...`` dealt to tiles that hold more than one component, with the ``members``
+    of each tile."""
+    dealt = banded(rows, percent)
+    ends = dealt.groupBy("tile").agg(F.min("component").alias("lo"), F.max("component").alias("hi"), F.count(F.lit(1)).alias("members"))
+    return dealt.join(ends.where("lo <> hi").select("tile", "members"), "tile")
+
+
+def counted_out(rows: DataFrame, percent: int) -> DataFrame:
+    """The rows of classes that meet other components often enough to link with one."""
+    least = F.ceil(F.col("n") * percent / 100)
+    met = opened(rows, percent).groupBy("class").agg(F.countDistinct("shingle").alias("k"), F.first("n").alias("n"))
+    may = met.where(F.col("k") > F.floor(least * EXTRA / 100)).select("class")
+    return rows.join(may, "class", "left_semi")
 
 
 def meeting(rows: DataFrame) -> DataFrame:
-    """The ``shingle, sparse, class, component`` rows of shingles that occur in more than one component.
+    """The ``shingle, core, class, component`` rows, of those with ``sparse``, of shingles in more than one component.
 
     Shingles that are not crowded have their rows sorted side by side, once. Crowded ones may have any number of
     rows: these combine before the shuffle, and the join splits what is large."""
     ends = [F.min("component").alias("lo"), F.max("component").alias("hi")]
     own = Window.partitionBy("shingle")
-    few = rows.where("sparse").select("shingle", "class", "component", *[f.over(own).alias(k) for f, k in zip((F.min("component"), F.max("component")), ("lo", "hi"))])
-    crowded = rows.where("not sparse").select("shingle", "class", "component")
+    few = rows.where("sparse").select("shingle", "core", "class", "component", *[f.over(own).alias(k) for f, k in zip((F.min("component"), F.max("component")), ("lo", "hi"))])
+    crowded = rows.where("not sparse").drop("sparse").select("shingle", "core", "class", "component")
     open_ = crowded.groupBy("shingle").agg(*ends).where("lo <> hi").select("shingle")
     return few.where("lo <> hi").drop("lo", "hi").unionByName(crowded.join(open_, "shingle", "left_semi"))
 
@@ -340,7 +365,7 @@ def link(docs: DataFrame, percent: int = PERCENT) -> DataFrame:
     classes, keys = own.select("class", "n", "bitmap"), own.select("class", "n", "sparse", "keys")
     texts = docs.select(F.col("doc_id").alias("class"), "text").where("doc_id is not null")
 
-    met = banded(keys.select("class", "n", F.explode(F.slice("keys", 1, FEW)).alias("shingle")), percent).drop("n")
+    met = banded(keys.select("class", "n", F.explode(F.slice("keys", 1, FEW)).alias("shingle")), percent).drop("n", "shingle")
     sizes = met.groupBy("tile").agg(F.count(F.lit(1)).alias("members")).where("members > 1")
     met = materialize(met.join(sizes, "tile"), "tiles")
     # compared first with what shares most tiles, as the original of many copies does
@@ -353,11 +378,12 @@ def link(docs: DataFrame, percent: int = PERCENT) -> DataFrame:
 
     now = keys.join(joined.withColumnRenamed("node", "class"), "class", "left")
     now = now.withColumn("component", F.coalesce("component", "class"))
-    now = now.select("class", "component", "sparse", F.posexplode("keys").alias("k", "shingle"))
-    now = meeting(now.select("shingle", (F.col("k") < F.col("sparse")).alias("sparse"), "class", "component"))
-    now = materialize(banded(now.join(keys.select("class", "n"), "class"), percent), "met")
-    open_ = now.groupBy("tile").agg(F.min("component").alias("x"), F.max("component").alias("y"), F.count(F.lit(1)).alias("members"))
-    now = now.join(open_.where("x <> y").select("tile", "members"), "tile").join(classes.drop("n"), "class")
+    now = now.select("class", "component", "sparse", F.col("n") + F.floor(-F.col("n") * percent / 100) + 1, F.posexplode("keys").alias("k", "shingle"))
+    now = now.toDF("class", "component", "sparse", "needed", "k", "shingle")
+    now = meeting(now.select("shingle", (F.col("k") < F.col("sparse")).alias("sparse"), (F.col("k") < F.col("needed")).alias("core"), "class", "component"))
+    now = materialize(now.join(keys.select("class", "n"), "class"), "met")
+    now = materialize(counted_out(materialize(counted_out(now, percent), "counted1"), percent), "counted2")
+    now = opened(now.where("core"), percent).join(classes.drop("n"), "class")
     more = verified(materialize(across(now, percent), "pairs"), texts, percent)
     whole = components(links.unionByName(more), "round2")
     by_set = number.join(whole.withColumnRenamed("node", "class"), "class", "left").select(

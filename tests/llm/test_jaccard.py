@@ -93,7 +93,7 @@ def test_similar_sets_share_a_first_shingle_in_any_order():
     level = np.array([rng.choice([0, 0, 0, 1, 5]) for _ in range(jaccard.SLOTS)], np.uint8)
     near = 0
     for _ in range(2000):
-        base = [rng.getrandbits(64) for _ in range(rng.randint(1, 60))]
+        base = [rng.getrandbits(64) for _ in range(rng.randint(1, 200))]
         a = np.unique(np.array(base, np.uint64))
         kept = base[: rng.randint(len(base) * 3 // 4, len(base))]
         b = np.unique(np.array(kept + [rng.getrandbits(64) for _ in range(rng.randint(0, len(base) // 3))], np.uint64))
@@ -101,7 +101,10 @@ def test_similar_sets_share_a_first_shingle_in_any_order():
         if 100 * both >= 75 * (len(a) + len(b) - both):
             near += 1
             for x in (level, np.zeros(jaccard.SLOTS, np.uint8)):
-                assert len(np.intersect1d(jaccard.prefix(a, x)[0], jaccard.prefix(b, x)[0]))
+                first = [jaccard.prefix(y, x)[0] for y in (a, b)]
+                assert len(np.intersect1d(*[y[: jaccard.needed(len(z), 75)] for y, z in zip(first, (a, b))]))
+                # what a class must meet to stay
+                assert all(len(np.intersect1d(*first)) > -(-75 * len(z) // 100) * jaccard.EXTRA // 100 for z in (a, b))
             low, high = sorted((len(a), len(b)))
             assert np.floor(np.log(high) / np.log(1.36)) - np.floor(np.log(low) / np.log(1.36)) <= 1
     assert near > 500
@@ -117,15 +120,16 @@ def test_what_many_documents_share_comes_last(make):
     assert counts.sum() == sum(len(sets(t)) for _, t in rows)
     level = jaccard.crowding(counts)
     assert all(level[jaccard._counter(jaccard.shingles(passage))] > 0)
-    keys = jaccard.sketches(docs).selectExpr("doc_id class", "doc_id component", "sparse = size(keys) sparse", "explode(keys) shingle")
+    keys = jaccard.sketches(docs).selectExpr("doc_id class", "doc_id component", "sparse = size(keys) sparse", "true core", "explode(keys) shingle")
     assert jaccard.meeting(keys).count() == 0
     assert {r.component_id for r in jaccard.link(docs).collect()} == set(range(400))
 
 
 def test_crowded_shingles_meet_too(spark):
-    rows = [(5, s, c, c) for s in (True, False) for c in (1, 2, 2)] + [(6, False, 3, 3), (7, True, 4, 9), (7, True, 5, 9), (8, False, 4, 9), (8, False, 5, 9)]
-    rows = spark.createDataFrame(rows, "shingle long, sparse boolean, class long, component long")
-    assert sorted(map(tuple, jaccard.meeting(rows).collect())) == [(5, 1, 1)] * 2 + [(5, 2, 2)] * 4
+    rows = [(5, s, True, c, c) for s in (True, False) for c in (1, 2, 2)]
+    rows += [(6, False, True, 3, 3), (7, True, True, 4, 9), (7, True, True, 5, 9), (8, False, True, 4, 9), (8, False, True, 5, 9)]
+    rows = spark.createDataFrame(rows, "shingle long, sparse boolean, core boolean, class long, component long")
+    assert sorted(map(tuple, jaccard.meeting(rows).collect())) == [(5, True, 1, 1)] * 2 + [(5, True, 2, 2)] * 4
 
 
 def test_exact_sizes_at_the_threshold(make):
