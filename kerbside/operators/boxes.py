@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -36,21 +35,25 @@ def nms(boxes: DataFrame, keys: list[str], limit: float = 0.45, least_score: flo
 
 
 def agreement(left: DataFrame, right: DataFrame, keys: list[str], least: float = 0.5) -> DataFrame:
-    """Greedy one-to-one matches of two models' boxes in each frame: by overlap, then by the larger numbers."""
-    near = overlap(frame_pairs(left, right, keys)).where(F.col("iou") >= least).select(*keys, "box_a", "box_b", "iou")
-    schema = near.schema
-
-    def match(part: pd.DataFrame) -> pd.DataFrame:
-        part = part.sort_values(["iou", "box_a", "box_b"], ascending=False)
-        a, b, keep = set(), set(), []
-        for x, y in zip(part["box_a"], part["box_b"]):
-            keep.append(x not in a and y not in b)
-            if keep[-1]:
-                a.add(x)
-                b.add(y)
-        return part[keep]
-
-    return near.groupBy(*keys).applyInPandas(match, schema)
+    """Greedy one-to-one matches of two models' boxes in each frame: by overlap, then by the larger numbers. A fold over
+    the frame's sorted pairs, inside the JVM."""
+    near = overlap(frame_pairs(left, right, keys)).where(F.col("iou") >= least)
+    one = F.struct("iou", "box_a", "box_b")
+    frames = near.groupBy(*keys).agg(F.sort_array(F.collect_list(one), asc=False).alias("all"))
+    kept = F.aggregate(
+        "all", F.slice("all", 1, 0),
+        lambda acc, p: F.when(F.exists(acc, lambda k: (k["box_a"] == p["box_a"]) | (k["box_b"] == p["box_b"])), acc).otherwise(F.concat(acc, F.array(p))),
+    )
+    return frames.select(*keys, F.inline(kept)).select(*keys, "box_a", "box_b", "iou")
+
+
+def unmatched(matches: DataFrame, left: DataFrame, right: DataFrame, keys: list[str]) -> DataFrame:
+    """The boxes of either model without a partner, by ``model``: a for the left one, b for the right one."""
+    alone = [
+        side.select(*keys, "box").join(matches.select(*keys, F.col(f"box_{name}").alias("box")), [*keys, "box"], "left_anti").withColumn("model", F.lit(name))
+        for name, side in (("a", left), ("b", right))
+    ]
+    return alone[0].unionByName(alone[1])
 
 
 def agreement_rate(matches: DataFrame, left: DataFrame, keys: list[str]) -> DataFrame:

@@ -1,15 +1,16 @@
 """Where a vehicle came from and went: the direction state machine and arm inference.
 
-The machine is a table of transitions over crossings, stops and losses; it is folded over the rows of one lineage,
-which are as many as the vehicle was seen. Everything that needs only the row and its neighbours (crossings, region,
-displacement) is computed before, by windows."""
+The machine is a table of transitions over crossings, stops and losses. Everything that needs only the row and its
+neighbours (crossings, region, displacement) is computed before, by windows. The rows then lie side by side by vehicle,
+and a task walks through them once with one machine and the last HISTORY points."""
 
 from __future__ import annotations
 
 import math
-from collections.abc import Sequence
+from collections import deque
+from collections.abc import Iterable, Iterator, Sequence
 
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -168,41 +169,61 @@ def lineage_events(det: DataFrame, arms: DataFrame, fates: DataFrame) -> DataFra
     )
 
 
-def fold(rows: pd.DataFrame, arms: Sequence[Arm], limit: int) -> list[dict]:
-    """The alerts of one lineage."""
-    rows = rows.sort_values(["frame", "det_ord"], kind="stable")
-    machine, path, out = Direction(), [], []
-    first = rows.iloc[0]
-    head = {"channel_id": int(first.channel_id), "lineage_id": int(first.lineage_id)}
-    pts0 = int(first.pts_ms)
+ROW = (
+    "channel_id", "lineage_id", "track_id", "class_name", "frame", "det_ord", "pts_ms", "cx", "cy", "final_frame", "hits", "slow",
+)
 
-    def alert(r, kind: str, transit=None, frame: int | None = None) -> None:
-        came, went, how = transit or (None, None, None)
-        frame = int(r.frame) if frame is None else frame
+
+class Vehicle:
+    """One lineage: its machine, and what alerts say of it."""
+
+    def __init__(self, first: dict, arms: Sequence[Arm], limit: int) -> None:
+        self.first, self.last, self.arms, self.limit = first, first, arms, limit
+        self.machine, self.path = Direction(), deque(maxlen=HISTORY)
+
+    def _arm(self, start: bool) -> str | None:
+        return nearest_arm(list(self.path), self.arms, start)
+
+    def _alert(self, kind: str, transit: tuple | None = None, frame: int | None = None) -> dict:
+        r, machine, (came, went, how) = self.last, self.machine, transit or (None, None, None)
+        frame = r["frame"] if frame is None else frame
         still = frame - machine.stopped_since if kind == "stagnant" else None
-        out.append({
-            **head, "track_id": str(int(r.track_id)), "type": kind, "class_name": r.class_name, "entry_arm": came, "exit_arm": went,
-            "method": how, "was_stagnant": machine.was_stagnant, "frame": frame, "first_seen_frame": int(first.frame),
-            "last_seen_frame": frame, "duration_ms": int(r.pts_ms) - pts0,
-            "stationary_ms": None if still is None else int(still / FPS * 1000), "x": int(r.cx), "y": int(r.cy),
-        })
-
-    for r in rows.itertuples():
-        path.append((float(r.cx), float(r.cy)))
-        recent = path[-HISTORY:]
-        for hit in r.hits if r.hits is not None else ():
+        return {
+            "channel_id": r["channel_id"], "lineage_id": r["lineage_id"], "track_id": str(r["track_id"]), "type": kind, "class_name": r["class_name"],
+            "entry_arm": came, "exit_arm": went, "method": how, "was_stagnant": machine.was_stagnant, "frame": frame,
+            "first_seen_frame": self.first["frame"], "last_seen_frame": frame, "duration_ms": r["pts_ms"] - self.first["pts_ms"],
+            "stationary_ms": None if still is None else int(still / FPS * 1000), "x": r["cx"], "y": r["cy"],
+        }
+
+    def see(self, row: dict) -> Iterator[dict]:
+        self.last = row
+        self.path.append((float(row["cx"]), float(row["cy"])))
+        for hit in row["hits"] or ():
             kind, arm = hit.split(":", 1)
             if kind == "entry":
-                machine.enter(arm)
-            elif found := machine.leave(arm, lambda p=recent: nearest_arm(p, arms, True)):
-                alert(r, "transit", found)
-        if r.slow is not None and not pd.isna(r.slow) and machine.look(bool(r.slow), int(r.frame), limit):
-            alert(r, "stagnant")
-    if not pd.isna(r.final_frame):
-        recent = path[-HISTORY:]
-        if found := machine.lose(lambda: nearest_arm(recent, arms, True), lambda: nearest_arm(recent, arms, False)):
-            alert(r, "transit", found, int(r.final_frame))
-    return out
+                self.machine.enter(arm)
+            elif found := self.machine.leave(arm, lambda: self._arm(True)):
+                yield self._alert("transit", found)
+        if row["slow"] is not None and self.machine.look(row["slow"], row["frame"], self.limit):
+            yield self._alert("stagnant")
+
+    def end(self) -> Iterator[dict]:
+        frame = self.last["final_frame"]
+        if frame is not None and (found := self.machine.lose(lambda: self._arm(True), lambda: self._arm(False))):
+            yield self._alert("transit", found, frame)
+
+
+def fold(rows: Iterable[dict], arms: Sequence[Arm], limit: int) -> Iterator[dict]:
+    """The alerts of all vehicles whose rows (ROW) come one vehicle after the other, each in order."""
+    key = vehicle = None
+    for row in rows:
+        if (row["channel_id"], row["lineage_id"]) != key:
+            if vehicle:
+                yield from vehicle.end()
+            key, vehicle = (row["channel_id"], row["lineage_id"]), Vehicle(row, arms, limit)
+        yield from vehicle.see(row)
+    if vehicle:
+        yield from vehicle.end()
 
 
 def alerts(
@@ -214,11 +235,22 @@ def alerts(
     fates = stitch.stitch(tracks.segments(rows))
     events = lineage_events(rows, arms, fates)
     known = [(a.arm_id, a.x1, a.y1, a.x2, a.y2) for a in arms.orderBy("arm_ord").collect()]
-    names = [x.split()[0] for x in schemas.ALERTS.split(", ")]
-
-    def run(part: pd.DataFrame) -> pd.DataFrame:
-        return pd.DataFrame(fold(part, known, stagnant_frames), columns=names)
-
-    found = events.groupBy("channel_id", "lineage_id").applyInPandas(run, schemas.ALERTS)
+    fields = [x.split() for x in schemas.ALERTS.split(", ")]
+    types = {"long": pa.int64(), "string": pa.string(), "boolean": pa.bool_()}
+    shape = pa.schema([(name, types[kind]) for name, kind in fields])
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        rows = (dict(zip(ROW, r)) for b in batches for r in zip(*(b.column(c).to_pylist() for c in ROW)))
+        held = []
+        for alert in fold(rows, known, stagnant_frames):
+            held.append(alert)
+            if len(held) == 5000:
+                yield pa.RecordBatch.from_pylist(held, shape)
+                held = []
+        yield pa.RecordBatch.from_pylist(held, shape)
+
+    keys = ("channel_id", "lineage_id")
+    beside = events.select(*ROW).repartition(*keys).sortWithinPartitions(*keys, "frame", "det_ord")
+    found = beside.mapInArrow(run, schemas.ALERTS)
     alert_id = F.substring(F.sha2(F.concat_ws(":", "channel_id", "lineage_id", "frame", "type", "exit_arm"), 256), 1, 8)
     return found.withColumn("alert_id", alert_id)

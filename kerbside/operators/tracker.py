@@ -1,8 +1,8 @@
 """Multi-object tracking: boxes of a channel's frames become tracks.
 
-A track moves with constant velocity under a Kalman filter over centre, aspect and height. Boxes are assigned in three
+A track moves with constant velocity under a Kalman filter over centre, width and height. Boxes are assigned in three
 stages: confident boxes to tracked and lost tracks, the others to what is still tracked, and what is left to tracks
-seen only once. A channel is cut wherever its frames are interrupted for longer than a lost track is remembered, so
+seen only once. Overlaps count times the box's score. A channel is cut wherever its frames are interrupted for longer than a lost track is remembered, so
 that one task's rows are bounded by a stretch of uninterrupted video."""
 
 from __future__ import annotations
@@ -15,15 +15,15 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 TRACKS = "channel_id long, frame long, box long, track_id long"
-#: Standard deviations of position and velocity, as parts of the height.
+#: Standard deviations of position and velocity, as parts of width and height.
 POSITION, VELOCITY = 1 / 20, 1 / 160
 
 
 @dataclass
 class Settings:
-    high: float = 0.5
+    high: float = 0.25
     low: float = 0.1
-    new: float = 0.6
+    new: float = 0.25
     match: float = 0.8
     second: float = 0.5
     unconfirmed: float = 0.7
@@ -82,56 +82,57 @@ class Track:
     box: int = field(default=-1)
 
     def predict(self) -> None:
-        h = self.mean[3]
-        if self.lost:
-            self.mean[7] = 0
+        if self.lost:  # its size stays
+            self.mean[6:] = 0
+        sd = _deviation(self.mean, POSITION, VELOCITY)
         step = np.eye(8)
         step[:4, 4:] = np.eye(4)
-        noise = np.array([POSITION * h, POSITION * h, 1e-2, POSITION * h, VELOCITY * h, VELOCITY * h, 1e-5, VELOCITY * h])
         self.mean = step @ self.mean
-        self.spread = step @ self.spread @ step.T + np.diag(noise**2)
+        self.spread = step @ self.spread @ step.T + np.diag(sd**2)
 
     def update(self, measured: np.ndarray, frame: int, box: int) -> None:
-        h = self.mean[3]
-        noise = np.diag(np.array([POSITION * h, POSITION * h, 1e-1, POSITION * h]) ** 2)
+        noise = np.diag(_deviation(self.mean, POSITION, 0)[:4] ** 2)
         gain = self.spread[:, :4] @ np.linalg.inv(self.spread[:4, :4] + noise)
         self.mean = self.mean + gain @ (measured - self.mean[:4])
         self.spread = self.spread - gain @ self.spread[:4]
         self.seen, self.lost, self.confirmed, self.box = frame, False, True, box
 
     def corners(self) -> np.ndarray:
-        x, y, aspect, h = self.mean[:4]
-        return np.array([x - aspect * h / 2, y - h / 2, x + aspect * h / 2, y + h / 2])
+        centre, half = self.mean[:2], self.mean[2:4] / 2
+        return np.concatenate([centre - half, centre + half])
+
+
+def _deviation(mean: np.ndarray, position: float, velocity: float) -> np.ndarray:
+    size = np.tile(mean[2:4], 4)
+    return size * np.repeat([position, velocity], 4)
 
 
 def measured(corners: np.ndarray) -> np.ndarray:
-    w, h = corners[2] - corners[0], max(corners[3] - corners[1], 1e-6)
-    return np.array([(corners[0] + corners[2]) / 2, (corners[1] + corners[3]) / 2, w / h, h])
+    return np.concatenate([(corners[:2] + corners[2:]) / 2, corners[2:] - corners[:2]])
 
 
 def follow(frames: list[tuple[int, np.ndarray, np.ndarray, np.ndarray]], s: Settings, first: int = 1) -> list[tuple[int, int, int]]:
-    """(frame, box, track) of frames given as (frame, box numbers, corners, scores). A frame without boxes only moves
-    the tracks on; lost ones do not age in it."""
+    """(frame, box, track) of frames given as (frame, box numbers, corners, scores). A frame without boxes changes nothing."""
     tracks: list[Track] = []
     number, out, clock = first, [], 0
 
     def place(m: np.ndarray, frame: int, box: int) -> Track:
         nonlocal number
-        h = m[3]
-        sd = np.array([2 * POSITION * h, 2 * POSITION * h, 1e-2, 2 * POSITION * h, 10 * VELOCITY * h, 10 * VELOCITY * h, 1e-5, 10 * VELOCITY * h])
+        sd = _deviation(m, 2 * POSITION, 10 * VELOCITY)
         number += 1
         return Track(number - 1, np.concatenate([m, np.zeros(4)]), np.diag(sd**2), clock, clock, clock == 1, box=box)
 
     for frame, boxes, corners, scores in frames:
-        for t in tracks:
-            t.predict()
         if not len(boxes):
             continue
         clock += 1
+        for t in tracks:
+            if t.confirmed:
+                t.predict()
 
-        def stage(own: list[Track], at: list[int], limit: float, fused: bool = True):
+        def stage(own: list[Track], at: list[int], limit: float):
             cost = iou_cost(np.array([t.corners() for t in own]).reshape(-1, 4), corners[at])
-            if fused and len(at):
+            if len(at):
                 cost = 1 - (1 - cost) * scores[at][None]
             pairs = assign(cost, limit)
             for i, j in pairs:
@@ -139,10 +140,10 @@ def follow(frames: list[tuple[int, np.ndarray, np.ndarray, np.ndarray]], s: Sett
             hit, used = {i for i, _ in pairs}, {j for _, j in pairs}
             return [t for i, t in enumerate(own) if i not in hit], [b for j, b in enumerate(at) if j not in used]
 
-        strong = [k for k in range(len(boxes)) if scores[k] > s.high]
-        weak = [k for k in range(len(boxes)) if s.low < scores[k] <= s.high]
+        strong = [k for k in range(len(boxes)) if scores[k] >= s.high]
+        weak = [k for k in range(len(boxes)) if s.low < scores[k] < s.high]
         rest, free = stage([t for t in tracks if t.confirmed], strong, s.match)
-        rest, _ = stage([t for t in rest if not t.lost], weak, s.second, False)
+        rest, _ = stage([t for t in rest if not t.lost], weak, s.second)
         for t in rest:
             t.lost = True
         gone, free = stage([t for t in tracks if not t.confirmed], free, s.unconfirmed)

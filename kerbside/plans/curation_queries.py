@@ -29,8 +29,8 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-#: Pictures in which boxes can overlap: rows of ten frames count as one, 150 vehicles share three cameras.
-BOXES = f"""WITH RECURSIVE {D.DET_SQL}, boxes AS (SELECT track_id // 150 * 3 + channel_id AS channel_id, frame // 10 AS pic, det_ord AS box, x % 200 AS x1, y % 150 AS y1, x % 200 + w AS x2, y % 150 + h AS y2,
+#: Pictures in which boxes can overlap: rows of ten frames count as one.
+BOXES = f"""WITH RECURSIVE {D.DET_SQL}, boxes AS (SELECT channel_id, frame // 10 AS pic, det_ord AS box, x % 200 AS x1, y % 150 AS y1, x % 200 + w AS x2, y % 150 + h AS y2,
     confidence AS score FROM det WHERE x >= 0 AND y >= 0)"""
 
 
@@ -38,7 +38,7 @@ def scenes(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = det(spark, sf_dir).where("x >= 0 and y >= 0")
     x, y = F.col("x") % 200, F.col("y") % 150
     return rows.select(
-        (F.floor(F.col("track_id") / 150) * 3 + F.col("channel_id")).alias("channel_id"), F.floor(F.col("frame") / 10).alias("pic"), F.col("det_ord").alias("box"), x.alias("x1"), y.alias("y1"),
+        "channel_id", F.floor(F.col("frame") / 10).alias("pic"), F.col("det_ord").alias("box"), x.alias("x1"), y.alias("y1"),
         (x + F.col("w")).alias("x2"), (y + F.col("h")).alias("y2"), F.col("confidence").alias("score"),
     ).withColumns({c: F.col(c).cast("double") for c in ("x1", "y1", "x2", "y2")})
 
@@ -78,17 +78,47 @@ def two_models(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
     return own, moved
 
 
-@query()
+MATCHED = (
+    f"{BOXES}, other AS (SELECT channel_id, pic, box, x1 + box % 9 AS x1, y1, x2 + box % 9 AS x2, y2 FROM boxes WHERE box % 5 <> 0),"
+    f" near AS (SELECT a.channel_id, a.pic, a.box AS box_a, b.box AS box_b, {IOU} AS iou FROM boxes a JOIN other b ON a.channel_id = b.channel_id AND a.pic = b.pic),"
+    " r AS (SELECT *, row_number() OVER (PARTITION BY channel_id, pic ORDER BY iou DESC, box_a DESC, box_b DESC) AS k FROM near WHERE iou >= 0.5),"
+    " kept AS (SELECT channel_id, pic, k, [k] AS keep, [box_a] AS a, [box_b] AS b FROM r WHERE k = 1 UNION ALL SELECT s.channel_id, s.pic, n.k,"
+    " CASE WHEN list_contains(s.a, n.box_a) OR list_contains(s.b, n.box_b) THEN s.keep ELSE list_append(s.keep, n.k) END,"
+    " CASE WHEN list_contains(s.a, n.box_a) OR list_contains(s.b, n.box_b) THEN s.a ELSE list_append(s.a, n.box_a) END,"
+    " CASE WHEN list_contains(s.a, n.box_a) OR list_contains(s.b, n.box_b) THEN s.b ELSE list_append(s.b, n.box_b) END"
+    " FROM kept s JOIN r n ON n.channel_id = s.channel_id AND n.pic = s.pic AND n.k = s.k + 1),"
+    " final AS (SELECT channel_id, pic, max_by(keep, k) AS keep FROM kept GROUP BY ALL),"
+    " matches AS (SELECT r.channel_id, r.pic, r.box_a, r.box_b, round(r.iou, 9) AS iou FROM r JOIN final USING (channel_id, pic) WHERE list_contains(keep, r.k))"
+)
+
+
+@query(f"{MATCHED} SELECT * FROM matches")
 def agreement(spark: SparkSession, sf_dir: str) -> DataFrame:
     return boxes.agreement(*two_models(spark, sf_dir), ["channel_id", "pic"]).withColumn("iou", F.round("iou", 9))
 
 
-@query()
+@query(
+    f"{MATCHED}, n AS (SELECT channel_id, count(*) AS total FROM boxes GROUP BY ALL), m AS (SELECT channel_id, count(*) AS matched FROM matches GROUP BY ALL)"
+    " SELECT channel_id, total, coalesce(matched, 0) AS matched, round(coalesce(matched, 0) / greatest(total, 1), 3) AS rate FROM n LEFT JOIN m USING (channel_id)"
+)
 def agreement_rates(spark: SparkSession, sf_dir: str) -> DataFrame:
     left, right = two_models(spark, sf_dir)
     return boxes.agreement_rate(boxes.agreement(left, right, ["channel_id", "pic"]), left, ["channel_id", "pic"])
 
 
+UNMATCHED = (
+    "SELECT channel_id, pic, box, 'a' AS model FROM boxes WHERE (channel_id, pic, box) NOT IN (SELECT channel_id, pic, box_a FROM matches) UNION ALL"
+    " SELECT channel_id, pic, box, 'b' FROM other WHERE (channel_id, pic, box) NOT IN (SELECT channel_id, pic, box_b FROM matches)"
+)
+
+
+@query(f"{MATCHED} {UNMATCHED}")
+def unmatched_boxes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    left, right = two_models(spark, sf_dir)
+    keys = ["channel_id", "pic"]
+    return boxes.unmatched(boxes.agreement(left, right, keys), left, right, keys)
+
+
 @query(
     f"{BOXES}, n AS (SELECT box, greatest(0.0, least(1.0, x1 / 150.0)) AS l, greatest(0.0, least(1.0, x2 / 150.0)) AS r, greatest(0.0, least(1.0, y1 / 100.0)) AS t,"
     " greatest(0.0, least(1.0, y2 / 100.0)) AS b FROM boxes) SELECT box, round((l + r) / 2, 6) AS ncx, round((t + b) / 2, 6) AS ncy, round(r - l, 6) AS nw,"

@@ -23,7 +23,8 @@ def read_events(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def detections(events: DataFrame, frame_ms: int = FRAME_MS, piece: int = 0) -> DataFrame:
-    """One row for each event: the user is a vehicle that moves by a fixed step. With ``piece``, its track breaks after
+    """One row for each event: the user is a vehicle that moves by a fixed step. Three cameras see 150 vehicles, so that
+    more vehicles are more channels, as with more sites. With ``piece``, its track breaks after
     so many rows and goes on under a new id, some frames later."""
     n = F.row_number().over(Window.partitionBy("user_id").orderBy("ts", "event_id")).cast("long")
     user = F.col("user_id")
@@ -34,7 +35,7 @@ def detections(events: DataFrame, frame_ms: int = FRAME_MS, piece: int = 0) -> D
     part = F.floor((F.col("n") - 1) / piece) if piece else F.lit(0).cast("long")
     frame = F.col("n") + user % 40 + part * (1 + user % 90)
     df = df.select(
-        (user % 3).alias("channel_id"), frame.alias("frame"), (frame * frame_ms).alias("pts_ms"),
+        (F.floor(user / 150) * 3 + user % 3).alias("channel_id"), frame.alias("frame"), (frame * frame_ms).alias("pts_ms"),
         (user * 10 + part if piece else user).alias("track_id"), F.col("event_type").alias("class_name"),
         (200 + (user * 53) % 1500 + vx * (F.col("n") - 1)).alias("cx"), (150 + (user * 29) % 700 + vy * (F.col("n") - 1)).alias("cy"),
         (40 + (user % 5) * 20).alias("w"), (30 + (F.col("event_id") % 7) * 5).alias("h"),
@@ -54,7 +55,7 @@ moving AS (
     SELECT *, CASE WHEN user_id % 10 = 0 THEN 0 ELSE (user_id * 7) % 31 - 15 END AS vx,
         CASE WHEN user_id % 10 = 0 THEN 0 ELSE (user_id * 11) % 23 - 11 END AS vy FROM numbered),
 det AS (
-    SELECT user_id % 3 AS channel_id, n + user_id % 40 AS frame, (n + user_id % 40) * 33 AS pts_ms, user_id AS track_id,
+    SELECT user_id // 150 * 3 + user_id % 3 AS channel_id, n + user_id % 40 AS frame, (n + user_id % 40) * 33 AS pts_ms, user_id AS track_id,
         event_type AS class_name, 200 + (user_id * 53) % 1500 + vx * (n - 1) - (40 + (user_id % 5) * 20) // 2 AS x,
         150 + (user_id * 29) % 700 + vy * (n - 1) - (30 + (event_id % 7) * 5) // 2 AS y,
         40 + (user_id % 5) * 20 AS w, 30 + (event_id % 7) * 5 AS h, least(0.99::DOUBLE, 0.25::DOUBLE + value / 600) AS confidence,
@@ -64,7 +65,7 @@ det AS (
 FRAGMENTED_SQL = """numbered AS (
     SELECT *, row_number() OVER (PARTITION BY user_id ORDER BY ts, event_id) AS n FROM events),
 det AS (
-    SELECT user_id % 3 AS channel_id, n + user_id % 40 + (n - 1) // 30 * (1 + user_id % 90) AS frame,
+    SELECT user_id // 150 * 3 + user_id % 3 AS channel_id, n + user_id % 40 + (n - 1) // 30 * (1 + user_id % 90) AS frame,
         user_id * 10 + (n - 1) // 30 AS track_id,
         200 + (user_id * 53) % 1500 + (CASE WHEN user_id % 10 = 0 THEN 0 ELSE (user_id * 7) % 31 - 15 END) * (n - 1) AS cx,
         150 + (user_id * 29) % 700 + (CASE WHEN user_id % 10 = 0 THEN 0 ELSE (user_id * 11) % 23 - 11 END) * (n - 1) AS cy
