@@ -117,6 +117,23 @@ def contain_fit(px: Column, py: Column, image: tuple[Column, Column], shown: tup
     return F.when(inside, x), F.when(inside, y)
 
 
+def contain_fit_back(x: Column, y: Column, image: tuple[Column, Column], shown: tuple[Column, Column]) -> tuple[Column, Column]:
+    """Image coordinates to display coordinates."""
+    scale = F.least(shown[0] / image[0], shown[1] / image[1])
+    return x * scale + (shown[0] - image[0] * scale) / 2, y * scale + (shown[1] - image[1] * scale) / 2
+
+
+def closes(x: Column, y: Column, first_x: Column, first_y: Column, corners: Column, pixels: float) -> Column:
+    """Does a click near the first of three corners or more close the polygon?"""
+    return (corners >= 3) & (distance(x, y, first_x, first_y) < pixels)
+
+
+def centroid(polygon: Column) -> tuple[Column, Column]:
+    """The mean of an array of corners (x, y); null if there is none."""
+    mean = lambda c: F.try_divide(F.aggregate(polygon, F.lit(0.0), lambda s, p: s + p[c]), F.size(polygon))
+    return mean("x"), mean("y")
+
+
 def cosine(a: Column, b: Column) -> Column:
     """Cosine distance of two arrays, at least 0."""
     dot = lambda p, q: F.aggregate(F.zip_with(p, q, lambda x, y: x.cast("double") * y), F.lit(0.0), lambda s, v: s + v)

@@ -50,6 +50,45 @@ def read(alerts: DataFrame, limit: int = 50, type: str | None = None, channel: i
     return summaries(alerts).orderBy(F.desc("seq")).limit(limit)
 
 
+def by_ids(alerts: DataFrame, wanted: DataFrame) -> DataFrame:
+    """Whole alerts of the ids in ``wanted``; an id that is not there has no row."""
+    return alerts.join(wanted.select("alert_id").distinct(), "alert_id", "left_semi")
+
+
+def of_channel(alerts: DataFrame, channel: int) -> DataFrame:
+    """All of a channel's alerts with their heavy columns, as replays and exports need them."""
+    return alerts.where(F.col("channel") == channel)
+
+
+def tabs(alerts: DataFrame) -> DataFrame:
+    """How many alerts each tab of a list shows."""
+    of = lambda name: F.count_if(F.col("type") == name).alias(name)
+    return alerts.agg(F.count(F.lit(1)).alias("all"), of("transit"), of("stagnant"))
+
+
+def direction_text(kind: Column, entry: Column, exit_: Column) -> Column:
+    """``N ↣ S`` of a transit's arms, ``?`` for one that is not known."""
+    first = lambda arm: F.upper(F.substring(F.coalesce(F.nullif(arm, F.lit("")), F.lit("?")), 1, 1))
+    return F.when(kind == "transit", F.concat(first(entry), F.lit(" \u21a3 "), first(exit_))).otherwise("Stagnant")
+
+
+def duration_text(kind: Column, frames: Column, ms: Column, still_frames: Column, still_ms: Column) -> Column:
+    """By frames if they are known, else by the clock; of stagnations, how long they stood; nothing if that is 0 or null."""
+    # to one place by the exact value of the number, as browsers round; an exact tie goes up
+    tie = lambda x: F.when(F.pmod(x * 4, F.lit(2)) == 1, F.floor(x * 10 + 0.5) / 10).otherwise(x)
+    tenths = lambda x: F.when(x != 0, F.concat(F.translate(F.format_number(tie(x), 1), ",", ""), F.lit("s")))
+    whole = lambda x: F.when(x != 0, F.concat(F.floor(x + 0.5).cast("string"), F.lit("s")))
+    moved, stood = tenths(ms / 1000), F.coalesce(whole(still_frames / 30.0), whole(still_ms / 1000))
+    return F.coalesce(tenths(frames / 30.0), F.when(kind == "transit", moved).otherwise(stood), F.lit(""))
+
+
+def with_channel_state(alerts: DataFrame, states: DataFrame) -> DataFrame:
+    """Alerts with the ``phase`` and ``source`` of their channel; those that come when it is under review have their
+    clip cut at once, and those of unknown channels wait. ``states`` has a row for each channel."""
+    both = alerts.join(states, "channel", "left")
+    return both.withColumn("clip", F.when(F.col("phase") == "review", "now").when(F.col("phase").isNull(), "waits").otherwise("at the end"))
+
+
 def without_channel(alerts: DataFrame, channel: int) -> DataFrame:
     return alerts.where(~F.col("channel").eqNullSafe(channel))
 

@@ -104,3 +104,28 @@ def parse_label_line(line: Column) -> Column:
     """The five numbers of a line, or null if it has not five parts."""
     parts = F.split(F.trim(line), r"\s+")
     return F.when(F.size(parts) == 5, F.transform(parts, lambda x: x.try_cast("double")))
+
+
+def peaks(samples: DataFrame, key: str, value: str) -> DataFrame:
+    """Mean and peak of each resource, to one place."""
+    return samples.groupBy(key).agg(F.round(F.avg(value), 1).alias("mean"), F.round(F.max(value), 1).alias("peak"))
+
+
+def summed_arrays(rows: DataFrame, array: str, *keys: str) -> DataFrame:
+    """Arrays of counts added place by place; of unequal lengths, the longest counts."""
+    flat = rows.select(*keys, F.posexplode(array).alias("k", "v")).groupBy(*keys, "k").agg(F.sum("v").alias("v"))
+    one = F.sort_array(F.collect_list(F.struct("k", "v")))
+    return flat.groupBy(*keys).agg(F.transform(one, lambda x: x["v"]).alias(array))
+
+
+def smoothed(rows: DataFrame, keys: list[str], order: str, feature: str, alpha: float = 0.9) -> DataFrame:
+    """The running appearance of each track: features of unit length, of which the old weighs ``alpha`` against each new
+    one, made unit length again. A fold over the sightings of one track."""
+    length = lambda x: F.sqrt(F.aggregate(x, F.lit(0.0), lambda s, v: s + v * v))
+    unit = lambda x: F.transform(F.array(F.struct(x.alias("x"), length(x).alias("n"))), lambda h: F.transform(h["x"], lambda v: v / h["n"]))[0]
+    seen = F.sort_array(F.collect_list(F.struct(F.col(order).alias("at"), F.col(feature).cast("array<double>").alias("f"))))
+    by = rows.groupBy(*keys).agg(seen.alias("seen"))
+    first = unit(F.get("seen", F.lit(0))["f"])
+    rest = F.slice("seen", 2, F.greatest(F.size("seen") - 1, F.lit(0)))
+    mixed = lambda acc, x: unit(F.zip_with(acc, unit(x["f"]), lambda a, b: a * alpha + b * (1 - alpha)))
+    return by.select(*keys, F.aggregate(rest, first, mixed).alias(feature))

@@ -18,6 +18,21 @@ def with_roi(det: DataFrame, polygon: list[tuple[float, float]] | None) -> DataF
     return det.withColumn("in_roi", inside)
 
 
+def of_classes(det: DataFrame, classes: list[str]) -> DataFrame:
+    """Detections of these classes alone."""
+    return det.where(F.col("class_name").isin(classes))
+
+
+def dispatched(frames: DataFrame, sources: DataFrame) -> DataFrame:
+    """Frames of a batch by the channel of their ``source_id``; those of unknown sources go. A row for each source."""
+    return frames.join(sources, "source_id").drop("source_id")
+
+
+def above_thresholds(det: DataFrame, settings: DataFrame, least: float = 0.25) -> DataFrame:
+    """Detections above the ``threshold`` of their channel, ``least`` where it has none. A row for each channel."""
+    return det.join(settings, "channel_id", "left").where(F.col("confidence") > F.coalesce("threshold", F.lit(least))).drop("threshold")
+
+
 def with_segments(det: DataFrame) -> DataFrame:
     """Adds ``seg_id``: a track that misses a frame starts anew."""
     own = Window.partitionBy(*KEYS).orderBy("frame", "det_ord")

@@ -163,15 +163,20 @@ def rate_cap(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 @query(
-    f"WITH {D.DET_SQL}, f AS (SELECT c.channel_id, r.range AS frame, r.range % 50 < 40 AS empty FROM (SELECT DISTINCT channel_id FROM det) c, range(300) r),"
+    f"WITH {D.DET_SQL}, ends AS (SELECT channel_id, min(frame * 3) AS a, max(frame * 3) AS b FROM det GROUP BY ALL), seen AS (SELECT DISTINCT channel_id, frame * 3 AS frame FROM det WHERE track_id % 50 = 1),"
+    " f AS (SELECT e.channel_id, r.frame, s.frame IS NULL AS empty FROM ends e, unnest(range(a, b + 1)) AS r(frame) LEFT JOIN seen s ON s.channel_id = e.channel_id AND s.frame = r.frame),"
     " g AS (SELECT *, sum(CASE WHEN empty THEN 0 ELSE 1 END) OVER (PARTITION BY channel_id ORDER BY frame ROWS UNBOUNDED PRECEDING) AS k FROM f),"
     " s AS (SELECT *, CASE WHEN empty THEN sum(CASE WHEN empty THEN 1 ELSE 0 END) OVER (PARTITION BY channel_id, k ORDER BY frame ROWS UNBOUNDED PRECEDING) ELSE 0 END AS streak FROM g)"
     " SELECT channel_id, frame, streak > 30 AS idle, CASE WHEN streak > 30 THEN 15 ELSE 1 END AS every FROM s"
 )
 def idle_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
-    channels = det(spark, sf_dir).select("channel_id").distinct()
-    frames = channels.select("channel_id", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(299).cast("long"))).alias("frame"))
-    return sequences.idle(frames.withColumn("empty", F.col("frame") % 50 < 40)).select("channel_id", "frame", "idle", "every")
+    """All frames of each channel at three times the rate, those without a vehicle of a few being empty."""
+    rows = det(spark, sf_dir).withColumn("frame", F.col("frame") * 3)
+    ends = rows.groupBy("channel_id").agg(F.min("frame").alias("a"), F.max("frame").alias("b"))
+    frames = ends.select("channel_id", F.explode(F.sequence("a", "b")).alias("frame"))
+    seen = rows.where("track_id % 50 = 1").select("channel_id", "frame", F.lit(False).alias("empty")).distinct()
+    frames = frames.join(seen, ["channel_id", "frame"], "left").withColumn("empty", F.coalesce("empty", F.lit(True)))
+    return sequences.idle(frames).select("channel_id", "frame", "idle", "every")
 
 
 @query(
@@ -203,6 +208,10 @@ def newest_first_numbers(spark: SparkSession, sf_dir: str) -> DataFrame:
     return base(spark, sf_dir).select("alert_id", "seq", F.row_number().over(newest).cast("long").alias("number"))
 
 
-@query()
+@query(
+    f"WITH {D.DET_SQL}, f AS (SELECT channel_id, frame, max(pts_ms) AS pts_ms, list({{'id': CAST(track_id AS VARCHAR), 'class': class_name, 'bbox': [x, y, w, h], 'confidence': round(confidence, 3),"
+    " 'centroid': [cx, cy]} ORDER BY CAST(track_id AS VARCHAR)) AS tracks FROM det GROUP BY ALL) SELECT channel_id, frame,"
+    " to_json({'type': 'frame_data', 'channel': channel_id, 'frame': frame, 'pts_ms': pts_ms, 'tracks': tracks})::VARCHAR AS message FROM f"
+)
 def frame_messages(spark: SparkSession, sf_dir: str) -> DataFrame:
     return alerts.frame_messages(det(spark, sf_dir))

@@ -30,13 +30,13 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 #: Pictures in which boxes can overlap: rows of ten frames count as one.
-BOXES = f"""WITH RECURSIVE {D.DET_SQL}, boxes AS (SELECT channel_id, frame // 10 AS pic, det_ord AS box, x % 200 AS x1, y % 150 AS y1, x % 200 + w AS x2, y % 150 + h AS y2,
-    confidence AS score FROM det WHERE x >= 0 AND y >= 0)"""
+BOXES = f"""WITH RECURSIVE {D.DET_SQL}, boxes AS (SELECT channel_id, frame // 10 AS pic, det_ord AS box, (x + 20000) % 200 AS x1, (y + 15000) % 150 AS y1, (x + 20000) % 200 + w AS x2, (y + 15000) % 150 + h AS y2,
+    confidence AS score FROM det)"""
 
 
 def scenes(spark: SparkSession, sf_dir: str) -> DataFrame:
-    rows = det(spark, sf_dir).where("x >= 0 and y >= 0")
-    x, y = F.col("x") % 200, F.col("y") % 150
+    rows = det(spark, sf_dir)
+    x, y = (F.col("x") + 20000) % 200, (F.col("y") + 15000) % 150
     return rows.select(
         "channel_id", F.floor(F.col("frame") / 10).alias("pic"), F.col("det_ord").alias("box"), x.alias("x1"), y.alias("y1"),
         (x + F.col("w")).alias("x2"), (y + F.col("h")).alias("y2"), F.col("confidence").alias("score"),
@@ -212,15 +212,16 @@ def forced_sample(spark: SparkSession, sf_dir: str) -> DataFrame:
     return curation.sample(docs, "source", "doc_id", 5, "7", F.col("doc_id") % 37 == 0)
 
 
-#: A hash of 64 bits by the signs of an embedding's values; every other bit is that of the label, so that some are near.
-SIGNS = """WITH h AS (SELECT label, vec_id, list_sum(list_transform(range(0, 62), lambda k: CASE WHEN k % 16 <> 0 THEN ((label * 7919 + k * 31) % 97 > 48)::BIGINT * (1::BIGINT << k)
+#: A hash of 62 bits: every third is the sign of an embedding's value, the others are of a group of four vectors, so that
+#: near ones are few.
+SIGNS = """WITH h AS (SELECT label, vec_id, list_sum(list_transform(range(0, 62), lambda k: CASE WHEN k % 3 <> 0 THEN ((vec_id // 40 * 7919 + k * (31 + vec_id // 40)) % 97 > 48)::BIGINT * (1::BIGINT << k)
     ELSE (embedding[k + 1] > 0)::BIGINT * (1::BIGINT << k) END))::BIGINT AS phash FROM embeddings)"""
 
 
 def hashes(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = table(spark, sf_dir, "embeddings")
     bits = [
-        F.when((F.col("label") * 7919 + k * 31) % 97 > 48 if k % 16 else F.get("embedding", F.lit(k)) > 0, F.lit(1 << k)).otherwise(F.lit(0)).cast("long")
+        F.when((F.expr("vec_id div 40") * 7919 + k * (31 + F.expr("vec_id div 40"))) % 97 > 48 if k % 3 else F.get("embedding", F.lit(k)) > 0, F.lit(1 << k)).otherwise(F.lit(0)).cast("long")
         for k in range(62)
     ]
     total = bits[0]
@@ -229,14 +230,14 @@ def hashes(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rows.select("label", "vec_id", total.alias("phash"))
 
 
-@query(f"{SIGNS} SELECT a.label, a.vec_id AS a, b.vec_id AS b FROM h a JOIN h b ON a.label = b.label AND a.vec_id < b.vec_id AND bit_count(xor(a.phash, b.phash)) <= 1")
+@query(f"{SIGNS} SELECT a.label, a.vec_id AS a, b.vec_id AS b FROM h a JOIN h b ON a.label = b.label AND a.vec_id < b.vec_id AND bit_count(xor(a.phash, b.phash)) <= 5")
 def hamming_pairs(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return curation.near_hashes(hashes(spark, sf_dir), "label", "vec_id", "phash", 1)
+    return curation.near_hashes(hashes(spark, sf_dir), "label", "vec_id", "phash")
 
 
 @query(
     f"{SIGNS.replace('WITH', 'WITH RECURSIVE', 1)}, p AS (SELECT a.label, a.vec_id AS a, b.vec_id AS b FROM h a JOIN h b ON a.label = b.label AND a.vec_id <> b.vec_id"
-    " AND bit_count(xor(a.phash, b.phash)) <= 1), w AS (SELECT label, a AS node, a AS root FROM p UNION SELECT p.label, p.b, w.root FROM w JOIN p ON p.label = w.label AND p.a = w.node)"
+    " AND bit_count(xor(a.phash, b.phash)) <= 5), w AS (SELECT label, a AS node, a AS root FROM p UNION SELECT p.label, p.b, w.root FROM w JOIN p ON p.label = w.label AND p.a = w.node)"
     " SELECT label, node, min(root) AS root FROM w GROUP BY ALL"
 )
 def dup_components(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -219,10 +219,11 @@ def detection_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 @query(
-    f"WITH {D.DET_SQL} SELECT channel_id, frame, count(*) AS n, count(DISTINCT track_id) AS tracks FROM det WHERE frame % 10 = 0 GROUP BY ALL"
+    f"WITH {D.DET_SQL} SELECT channel_id, frame, count(*) AS n, count(DISTINCT track_id) AS tracks FROM det WHERE frame % 100 = 0 GROUP BY ALL"
 )
 def progress_report(spark: SparkSession, sf_dir: str) -> DataFrame:
-    every = det(spark, sf_dir).where("frame % 10 = 0")
+    """A line of figures at every hundredth frame."""
+    every = det(spark, sf_dir).where("frame % 100 = 0")
     return every.groupBy("channel_id", "frame").agg(F.count(F.lit(1)).alias("n"), F.countDistinct("track_id").alias("tracks"))
 
 

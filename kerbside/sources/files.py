@@ -58,12 +58,26 @@ def read_frames(spark: SparkSession, root: str, pattern: str = "*.jpg") -> DataF
 
 def read_labels(spark: SparkSession, root: str) -> DataFrame:
     """Boxes of label texts, one folder a site; lines that have not five numbers go."""
-    lines = spark.read.text(f"{root}/*/*.txt").select(F.col("_metadata.file_path").alias("path"), "value")
+    return _labels(spark.read.text(f"{root}/*/*.txt"))
+
+
+def read_written_labels(spark: SparkSession, path: str, bin_: str) -> DataFrame:
+    """What ``write_labels`` wrote of one bin."""
+    rows = spark.read.text(f"{path}/bin={bin_}")
+    parts = rows.select("site", "stem", curation.parse_label_line(F.col("value")).alias("p")).where("p is not null")
+    return parts.select(F.col("site").cast("string").alias("site"), F.col("stem").cast("string").alias("stem"), *_five())
+
+
+def _five() -> list:
+    return [F.get("p", F.lit(0)).cast("int").alias("class_id"), *[F.get("p", F.lit(k)).alias(c) for k, c in enumerate(("cx", "cy", "w", "h"), 1)]]
+
+
+def _labels(lines: DataFrame) -> DataFrame:
+    lines = lines.select(F.col("_metadata.file_path").alias("path"), "value")
     parts = lines.select("path", curation.parse_label_line(F.col("value")).alias("p")).where("p is not null")
     return parts.select(
-        F.regexp_extract("path", r"([^/]+)/[^/]+$", 1).alias("site"), urls.stem(F.col("path")).alias("stem"),
-        F.get("p", F.lit(0)).cast("int").alias("class_id"), *[F.get("p", F.lit(k)).alias(c) for k, c in enumerate(("cx", "cy", "w", "h"), 1)],
-    )
+        F.regexp_extract("path", r"([^/]+)/[^/]+$", 1).alias("site"), urls.stem(F.col("path")).alias("stem"), *_five()
+    )
 
 
 def write_labels(boxes: DataFrame, path: str) -> None:
@@ -90,7 +104,50 @@ def missing_files(catalog: DataFrame, files: DataFrame) -> DataFrame:
 
 
 def write_manifest(figures: DataFrame, path: str) -> None:
-    figures.withColumn("generated_at", F.current_timestamp()).coalesce(1).write.json(path)
+    """Figures as JSON lines, each with the time of writing first."""
+    figures.select(F.current_timestamp().alias("generated_at"), "*").write.json(path)
+
+
+def write_predictions(boxes: DataFrame, path: str) -> None:
+    """``teacher, site, stem, box, cx, cy, w, h, confidence, class_id`` rows as one JSON line a frame, in folders by
+    teacher and site; a null box is a frame without any."""
+    one = F.when(F.col("box").isNotNull(), F.struct("box", F.array("cx", "cy", "w", "h").alias("xywh"), "confidence", "class_id"))
+    frames = boxes.groupBy("teacher", "site", "stem").agg(F.sort_array(F.collect_list(one)).alias("b"))
+    of = lambda name: F.transform("b", lambda x: x[name])
+    rows = frames.select("teacher", "site", "stem", of("xywh").alias("boxes_xywhn"), of("confidence").alias("confs"), of("class_id").alias("class_ids"))
+    rows.write.partitionBy("teacher", "site").json(path)
+
+
+def with_predictions(plan: DataFrame, boxes: DataFrame) -> DataFrame:
+    """Each planned frame ``site, stem`` with its number of boxes; null where no prediction was made."""
+    found = boxes.groupBy("site", "stem").agg(F.count("box").alias("n"))
+    return plan.join(found, ["site", "stem"], "left")
+
+
+def write_site(spark: SparkSession, folder: str, site_id: str, polygon: list[tuple[float, float]], lines: dict[str, dict]) -> str:
+    """One site's document under its name. It is one small file, written by the driver through the file system of Spark."""
+    import json
+
+    path = site_path(folder, site_id)
+    body = json.dumps({"site_id": site_id, "roi_polygon": [list(p) for p in polygon], "entry_exit_lines": lines}, indent=2).encode()
+    where = spark._jvm.org.apache.hadoop.fs.Path(path)
+    out = where.getFileSystem(spark._jsc.hadoopConfiguration()).create(where, True)
+    try:
+        out.write(bytearray(body))
+    finally:
+        out.close()
+    return path
+
+
+def write_split(frames: DataFrame, path: str) -> None:
+    """The frames of a split, in folders by split and site."""
+    frames.write.partitionBy("split", "site").parquet(path)
+
+
+def label_counts(accepted: DataFrame, flagged: DataFrame) -> DataFrame:
+    """Boxes and frames of each site, counted from the label texts of both bins."""
+    both = accepted.unionByName(flagged)
+    return both.groupBy("site").agg(F.count(F.lit(1)).alias("boxes"), F.countDistinct("stem").alias("frames"))
 
 
 def read_class_names(spark: SparkSession, path: str) -> DataFrame:

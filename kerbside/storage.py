@@ -15,16 +15,24 @@ def shared_folder(spark: SparkSession) -> str:
     """The folder that every executor can read: the cluster's, or one of our own where none is set (tests)."""
     found = spark.conf.get("spark.checkpoint.dir", None)
     if not found:
+        if not spark.sparkContext.master.startswith("local[") and spark.sparkContext.master != "local":
+            raise ValueError("executors share no folder of this machine: set spark.checkpoint.dir")
         found = "file://" + tempfile.mkdtemp(prefix="kerbside-")
         spark.conf.set("spark.checkpoint.dir", found)
     return found.rstrip("/")
 
 
+def fresh_folder(spark: SparkSession, name: str) -> str:
+    """A new path in the shared folder, removed when the session's process ends."""
+    path = f"{shared_folder(spark)}/{name}-{uuid.uuid4().hex}"
+    _folders.append((spark, path))
+    return path
+
+
 def materialize(df: DataFrame, name: str) -> DataFrame:
     """Writes ``df`` to the shared folder and reads it back, which cuts its lineage and outlives executors."""
     spark = df.sparkSession
-    path = f"{shared_folder(spark)}/{name}-{uuid.uuid4().hex}"
-    _folders.append((spark, path))
+    path = fresh_folder(spark, name)
     df.write.parquet(path)
     return spark.read.schema(df.schema).parquet(path)
 
