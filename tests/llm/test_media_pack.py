@@ -55,7 +55,6 @@ def test_plain_decoder_agrees_and_takes_components():
 
 def brute_pieces(rows, capacity):
     t = Tokenizer.from_file(public_tokenizers.path("byte_bpe_50k.json"))
-    t.encode_special_tokens = True
     out = []
     for i, text in rows:
         ids = [*t.encode(text or "", add_special_tokens=False).ids, 0]
@@ -90,6 +89,24 @@ def test_pieces_and_places(make, odd):
     assert check_packing(pack.pack(odd, 64).collect(), 64) and pack.pack(make([])).count() == 0
 
 
+def test_ids_equal_the_other_library_around_odd_characters():
+    t = Tokenizer.from_file(public_tokenizers.path("byte_bpe_50k.json"))
+    ids_of = pack.encoder(public_tokenizers.path("byte_bpe_50k.tiktoken"), public_tokenizers.PATTERN, tuple(pack.SPECIAL.items()))
+    points = [*range(1, 0x3100), *range(0xA600, 0xAC00), *range(0xF900, 0x10000), *range(0x1D400, 0x1D800), *range(0x1F300, 0x1FB00)]
+    for at in range(0, len(points), 50):
+        text = "".join(f"a{c}1 {c} {c}{c}\n{c}'s<|endoftext|>{c}" for c in map(chr, points[at : at + 50]))
+        assert ids_of.encode(text, allowed_special="all") == t.encode(text, add_special_tokens=False).ids
+
+
+def test_ranks_over_many_buckets(make, monkeypatch):
+    monkeypatch.setattr(pack, "BUCKET_PIECES", 2)
+    monkeypatch.setattr(pack, "RUN", 3)
+    rows = [(i, ("word " * (i % 3 + 1)).strip()) for i in range(200)]
+    got = pack.pack(make(rows), 64).collect()
+    assert sorted(((r.doc_id, r.piece, r.start, r.length, r.ids_crc32) for r in got), key=str) == brute_pieces(rows, 64)
+    assert len({(r.sequence_id, r.offset) for r in got}) == 200 and check_packing(got, 64) <= -(-sum(r.length for r in got) // 64) + 1
+
+
 def test_queries_take_special_tokens_as_tokenizers_does(spark, tmp_path, make):
     from kerbside.llm import queries
 
