@@ -11,15 +11,16 @@ factor of 100 / percent at most, so they are in one band or in adjacent ones. An
 shingles last that very many documents have, by counts of all shingles in a table of fixed size; so a passage in a large
 part of the corpus makes no tile of all those documents.
 
-Links are found in two rounds. The first only takes the tiles of the FEW rarest shingles of each class, and compares
-every class of a tile with the one of the tile that shares most tiles with others; that joins most groups of copies with
+Links are found in two rounds. The first only takes the tiles of the FEW shingles of each class that have the least
+hashes, of which similar sets share most, and compares every class of a tile with the one of the tile that shares most tiles with others; that joins most groups of copies with
 as many comparisons as they have members. The second takes all tiles, with ``EXTRA`` percent more shingles of each class
 than are needed. Of two linked sets, the one whose shingles end first in the order shares all but so many of them with
 the other that 1 + EXTRA percent of its size lie in both lists; so a class that meets others in fewer tiles than that,
 counted for the smallest size that may link with it, has no further links and goes, and with it the tiles that only
 it kept open. This count, made twice, leaves out what shares a passage but is not similar. Tiles whose classes are by now
 in one component need no comparison; in the others, all pairs from different components are compared by signatures,
-in blocks of bounded size, and only the pairs that may link are listed. So pairs inside a linked group are not listed,
+in blocks of bounded size, and only the pairs that may link are listed. Of tiles with the same classes one is taken, and
+of a pair's tiles one that both classes name, if there is one. So pairs inside a linked group are not listed,
 and every pair that can be a link is compared or already connected.
 
 Defined cases: a document without words has an empty set and is its own component; with fewer words than a shingle,
@@ -47,6 +48,8 @@ PERCENT = 75
 SLOTS, CHUNK = 1 << 17, 1 << 12
 #: Shingles of a class whose tiles the first round takes; percent of a set that the second takes beyond what is needed.
 FEW, EXTRA = 8, 8
+#: Tiles of a class that are named with it, so that a pair that shares one of them is compared there alone.
+NAMED = 4
 #: Bits of a signature to a shingle, at least; powers of two from LEAST_BITS on, so that signatures fold onto shorter ones.
 LEAST_BITS = 128
 REMEMBERED = 400_000
@@ -110,6 +113,12 @@ def crowding(counts: np.ndarray) -> np.ndarray:
     return np.where(excess < 1, 0, 1 + np.floor(np.log2(np.maximum(excess, 1)))).astype(np.uint8)
 
 
+def commonness(counts: np.ndarray) -> np.ndarray:
+    """For each counter, how far it is fuller than chance would have it, from 0 to 1."""
+    mean = max(1.0, float(counts.mean()))
+    return np.clip((counts - mean) / (4 * np.sqrt(mean)), 0, 1).astype(np.float32)
+
+
 def counted(docs: DataFrame) -> np.ndarray:
     """How often the shingles of each counter occur in all documents: SLOTS numbers, whatever the corpus."""
 
@@ -166,12 +175,13 @@ def may_link(a: bytes, b: bytes, size_a: int, size_b: int, percent: int) -> bool
 
 
 def sketches(docs: DataFrame, percent: int = PERCENT) -> DataFrame:
-    """``doc_id, n, low, high, keys, sparse, bitmap``: size and digest of each document's set, its first shingles, of which
-    ``sparse`` are not crowded, and its signature."""
-    level = docs.sparkSession.sparkContext.broadcast(crowding(counted(docs)))
+    """``doc_id, n, low, high, keys, sparse, least, bitmap``: size and digest of each document's set, its first shingles, of
+    which ``sparse`` are not crowded, the FEW of least hash, how common its shingles are, and its signature."""
+    counts = counted(docs)
+    level, common = (docs.sparkSession.sparkContext.broadcast(f(counts)) for f in (crowding, commonness))
 
     def sketch(batch: pa.RecordBatch) -> pa.RecordBatch:
-        n, low, high, keys, sparse, bitmaps = [], [], [], [], [], []
+        n, low, high, keys, sparse, least, weights, bitmaps = [], [], [], [], [], [], [], []
         for text in batch.column("text").to_pylist():
             s = shingles(text)
             digest = xxhash.xxh3_128_intdigest(s.tobytes())
@@ -181,19 +191,22 @@ def sketches(docs: DataFrame, percent: int = PERCENT) -> DataFrame:
             first, few = prefix(s, level.value, percent)
             keys.append(first)
             sparse.append(few)
+            least.append(s[:FEW].view(np.int64))
+            weights.append(float(common.value[_counter(s)].mean()) if len(s) else 0.0)
             bitmaps.append(signature(s) if len(s) else b"")
-        offsets = np.cumsum([0, *map(len, keys)])
-        flat = np.concatenate(keys) if keys else np.zeros(0, np.int64)
+        lists = []
+        for x in (keys, least):
+            flat = np.concatenate(x) if x else np.zeros(0, np.int64)
+            lists.append(pa.ListArray.from_arrays(pa.array(np.cumsum([0, *map(len, x)]), pa.int32()), pa.array(flat)))
         return pa.RecordBatch.from_arrays(
             [
                 batch.column("doc_id"), pa.array(n, pa.int64()), pa.array(low, pa.int64()), pa.array(high, pa.int64()),
-                pa.ListArray.from_arrays(pa.array(offsets, pa.int32()), pa.array(flat)),
-                pa.array(sparse, pa.int32()), pa.array(bitmaps, pa.binary()),
+                lists[0], pa.array(sparse, pa.int32()), lists[1], pa.array(weights, pa.float64()), pa.array(bitmaps, pa.binary()),
             ],
-            ["doc_id", "n", "low", "high", "keys", "sparse", "bitmap"],
+            ["doc_id", "n", "low", "high", "keys", "sparse", "least", "weight", "bitmap"],
         )
 
-    schema = "doc_id long, n long, low long, high long, keys array<long>, sparse int, bitmap binary"
+    schema = "doc_id long, n long, low long, high long, keys array<long>, sparse int, least array<long>, weight double, bitmap binary"
     return map_arrow(docs.select("doc_id", "text"), "text", schema, sketch)
 
 
@@ -249,51 +262,58 @@ def _fold(bitmap: bytes, size: int) -> bytes:
     return x.tobytes()
 
 
-def _compare(classes: list[int], parts: list[int], n: list[int], bitmaps: list[bytes], blocks: list[int], percent: int) -> list[tuple[int, int]]:
-    """Pairs of a tile's classes that may link, across components, and across blocks if there are two."""
+def _compare(
+    tile: int, classes: list[int], parts: list[int], n: list[int], bitmaps: list[bytes], blocks: list[int], named: list[list[int]], percent: int
+) -> list[tuple[int, int]]:
+    """Pairs of a tile's classes that may link, across components, and across blocks if there are two. A pair with
+    a common named tile is left to the first of these."""
     order = sorted(range(len(classes)), key=lambda i: n[i])
-    out = []
+    two, out = len(set(blocks)) > 1, []
     for bits in sorted({len(x) for x in bitmaps}):
         # sizes of one band have signatures of this length or twice it
         own = [i for i in order if len(bitmaps[i]) in (bits, 2 * bits)]
         x = np.frombuffer(b"".join(_fold(bitmaps[i], bits) for i in own), np.uint64).reshape(len(own), -1)
         size, part, block = (np.array([v[i] for i in own]) for v in (n, parts, blocks))
-        two = len(set(blocks)) > 1
+        names = np.array([named[i] for i in own]).T
         for k, i in enumerate(own):
             if len(bitmaps[i]) != bits:
                 break
             end = int(np.searchsorted(size, 100 * size[k] // percent, "right"))
             if end <= k + 1:
                 continue
-            apart = np.bitwise_count(x[k] ^ x[k + 1 : end]).sum(1, dtype=np.int64)
-            both = (size[k] + size[k + 1 : end] - apart) // 2
-            near = (100 * both >= percent * (size[k] + size[k + 1 : end] - both)) & (part[k + 1 : end] != part[k])
+            here = np.ones(end - k - 1, bool)
+            for name in names[::-1]:
+                here = np.where(name[k + 1 : end] == name[k], name[k] == tile, here)
+            here &= part[k + 1 : end] != part[k]
             if two:
-                near &= block[k + 1 : end] != block[k]
-            for j in np.flatnonzero(near):
-                y = classes[own[k + 1 + j]]
+                here &= block[k + 1 : end] != block[k]
+            at = np.flatnonzero(here) + k + 1
+            apart = np.bitwise_count(x[k] ^ x[at]).sum(1, dtype=np.int64)
+            both = (size[k] + size[at] - apart) // 2
+            for j in at[100 * both >= percent * (size[k] + size[at] - both)]:
+                y = classes[own[j]]
                 out.append((min(classes[i], y), max(classes[i], y)))
     return out
 
 
 def across(tiles: DataFrame, percent: int) -> DataFrame:
-    """``(a, b)``: pairs of ``tile, class, component, n, bitmap, members`` rows that may link, once each."""
+    """``(a, b)``: pairs of ``tile, class, component, n, bitmap, members, named`` rows that may link, once each."""
     count = F.ceil(F.col("members") / BLOCK).cast("int")
     block = F.pmod(F.hash("class"), count)
     other = F.explode(F.sequence(F.lit(0), count - 1))
     dealt = tiles.withColumn("block", block).select("*", other.alias("other"))
     dealt = dealt.select(
-        "tile", F.least("block", "other").alias("low"), F.greatest("block", "other").alias("high"), "class", "component", "n", "bitmap", "block"
+        "tile", F.least("block", "other").alias("low"), F.greatest("block", "other").alias("high"), "class", "component", "n", "bitmap", "block", "named"
     )
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held: list[list] = [[] for _ in range(5)]
+        held: list[list] = [[] for _ in range(6)]
         key, out = None, []
 
         def flush() -> None:
             nonlocal out
             if len(set(held[1])) > 1:
-                out += _compare(*held, percent)
+                out += _compare(key[0], *held, percent)
             for x in held:
                 x.clear()
 
@@ -361,16 +381,13 @@ def link(docs: DataFrame, percent: int = PERCENT) -> DataFrame:
     number = materialize(number.where("class is not null"), "classes")
     first = number.select(F.col("class").alias("doc_id"), F.col("low").alias("l"), F.col("high").alias("h"))
     own = some.join(first, "doc_id").where("low = l and high = h").dropDuplicates(["doc_id"])
-    own = materialize(own.select(F.col("doc_id").alias("class"), "n", "keys", "sparse", "bitmap"), "sets")
+    own = materialize(own.select(F.col("doc_id").alias("class"), "n", "keys", "sparse", "least", "weight", "bitmap"), "sets")
     classes, keys = own.select("class", "n", "bitmap"), own.select("class", "n", "sparse", "keys")
     texts = docs.select(F.col("doc_id").alias("class"), "text").where("doc_id is not null")
 
-    met = banded(keys.select("class", "n", F.explode(F.slice("keys", 1, FEW)).alias("shingle")), percent).drop("n", "shingle")
-    sizes = met.groupBy("tile").agg(F.count(F.lit(1)).alias("members")).where("members > 1")
-    met = materialize(met.join(sizes, "tile"), "tiles")
-    # compared first with what shares most tiles, as the original of many copies does
-    weight = met.groupBy("class").agg(F.sum(F.col("members") - 1).alias("weight"))
-    centre = met.join(weight, "class").groupBy("tile").agg(F.max_by("class", F.struct("weight", "class")).alias("centre"))
+    met = banded(own.select("class", "n", "weight", F.explode("least").alias("shingle")), percent).drop("n", "shingle")
+    centre = met.groupBy("tile").agg(F.max_by("class", F.struct("weight", -F.col("class"))).alias("centre"), F.count(F.lit(1)).alias("members"))
+    centre = centre.where("members > 1").select("tile", "centre")
     stars = met.join(centre, "tile").where("class <> centre")
     stars = stars.select(F.least("centre", "class").alias("a"), F.greatest("centre", "class").alias("b")).distinct()
     links = verified(bounded(stars, classes, percent), texts, percent)
@@ -383,7 +400,13 @@ def link(docs: DataFrame, percent: int = PERCENT) -> DataFrame:
     now = meeting(now.select("shingle", (F.col("k") < F.col("sparse")).alias("sparse"), (F.col("k") < F.col("needed")).alias("core"), "class", "component"))
     now = materialize(now.join(keys.select("class", "n"), "class"), "met")
     now = materialize(counted_out(materialize(counted_out(now, percent), "counted1"), percent), "counted2")
-    now = opened(now.where("core"), percent).join(classes.drop("n"), "class")
+    now = materialize(opened(now.where("core"), percent), "open")
+    same = now.groupBy("tile").agg(F.count(F.lit(1)).alias("k"), *[F.bit_xor(F.xxhash64("class", F.lit(k))).alias(f"x{k}") for k in (1, 2)])
+    now = now.join(same.groupBy("k", "x1", "x2").agg(F.min("tile").alias("tile")).select("tile"), "tile", "left_semi")
+    # the same few tiles for classes that share most of theirs
+    names = [F.min_by("tile", F.xxhash64("tile", F.lit(k))) for k in range(NAMED)]
+    named = now.groupBy("class").agg(F.array(*names).alias("named"))
+    now = now.join(named, "class").join(classes.drop("n"), "class")
     more = verified(materialize(across(now, percent), "pairs"), texts, percent)
     whole = components(links.unionByName(more), "round2")
     by_set = number.join(whole.withColumnRenamed("node", "class"), "class", "left").select(

@@ -132,6 +132,32 @@ def test_crowded_shingles_meet_too(spark):
     assert sorted(map(tuple, jaccard.meeting(rows).collect())) == [(5, True, 1, 1)] * 2 + [(5, True, 2, 2)] * 4
 
 
+def test_pairs_of_many_common_tiles_are_compared(spark):
+    rng = random.Random(13)
+    sets_ = {}
+    base = [rng.getrandbits(64) for _ in range(60)]
+    for i in range(120):
+        kept = [x for x in base if rng.random() > 0.12]
+        sets_[i] = np.unique(np.array(kept + [rng.getrandbits(64) for _ in range(rng.randint(0, 6))], np.uint64))
+    zero = np.zeros(jaccard.SLOTS, np.uint8)
+    keys = {i: jaccard.prefix(s, zero)[0].tolist()[: jaccard.needed(len(s), 75)] for i, s in sets_.items()}
+    tiles = {}
+    for i, own in keys.items():
+        for t in own:
+            tiles.setdefault(t, []).append(i)
+    rows = [
+        (t, i, i, len(sets_[i]), jaccard.signature(sets_[i]), len(own), [min(keys[i], key=lambda x, k=k: hash((x, k))) for k in range(3)])
+        for t, own in tiles.items() for i in own
+    ]
+    df = spark.createDataFrame(rows, "tile long, class long, component long, n long, bitmap binary, members long, named array<long>")
+    got = {tuple(r) for r in jaccard.across(df, 75).collect()}
+    want = {
+        (i, j) for i in sets_ for j in sets_ if i < j and set(keys[i]) & set(keys[j])
+        and jaccard.may_link(jaccard.signature(sets_[i]), jaccard.signature(sets_[j]), len(sets_[i]), len(sets_[j]), 75)
+    }
+    assert got == want and len(want) > 500
+
+
 def test_exact_sizes_at_the_threshold(make):
     """96 shingles of 128 shared is 0.75; one less is not."""
     words = [f"w{i}" for i in range(300)]
