@@ -1,10 +1,14 @@
 """Streams give what batches give on the same rows."""
 
+import itertools
+
+import pytest
 from pyspark.sql import functions as F
 
-from kerbside.operators import tracks
+from kerbside import schemas
+from kerbside.operators import direction, tracks
 from kerbside.sources import detections as D
-from kerbside.streaming import pipelines
+from kerbside.streaming import alerts, pipelines
 
 
 def run(spark, df, name, mode="append"):
@@ -38,3 +42,40 @@ def test_stats_and_watchdog(spark, tmp_path):
     assert {(r.event_type, r.start, r.n) for r in got.collect()} == {(r.event_type, r.start, r["count"]) for r in want.collect()}
     silent = run(spark, pipelines.watchdog(stream(), "user_id", "ts", "12 hours", "1 hour"), "silent")
     assert silent.count() > 0
+
+
+NAMES = [x.split()[0] for x in schemas.ALERTS.split(", ")]
+ARMS = [(a, x1, y1, x2, y2, s) for a, x1, y1, x2, y2, s in D.ARMS]
+
+
+@pytest.mark.parametrize("piece", [30, 7, 0])
+def test_alerts_frame_by_frame_equal_the_batch(spark, piece):
+    """One channel after the other, frame by frame in plain Python, against windows, stitching and the sorted walk."""
+    det = tracks.with_roi(D.detections(D.read_events(spark, "/root/testdata/sf0.01"), piece=piece), D.ROI).where("channel_id < 2")
+    rows = sorted((r.asDict() for r in det.collect()), key=lambda r: (r["channel_id"], r["frame"], r["det_ord"]))
+    want = []
+    for key, own in itertools.groupby(rows, key=lambda r: r["channel_id"]):
+        channel = alerts.Channel(key, ARMS, 20)
+        want += [*channel.frame(own), *channel.end()]
+    got = direction.alerts(det.drop("in_roi"), D.arms(spark), D.ROI, 20).collect()
+    assert sorted(map(str, ([r[c] for c in NAMES] for r in got))) == sorted(map(str, ([r[c] for c in NAMES] for r in want)))
+    kinds = {(r["type"], r["method"]) for r in want}
+    assert ("stagnant", None) in kinds and any(kind == "transit" for kind, _ in kinds)
+
+
+def test_alerts_of_a_stream_equal_those_of_the_plain_walk(spark, tmp_path):
+    det = tracks.with_roi(D.detections(D.read_events(spark, "/root/testdata/sf0.001"), piece=30), D.ROI)
+    rows = det.select("channel_id", "track_id", "class_name", "frame", "det_ord", "pts_ms", "cx", "cy", "in_roi")
+    for k in range(3):
+        rows.where(F.least(F.floor(F.col("frame") / 60), F.lit(2)) == k).coalesce(1).write.parquet(f"{tmp_path}/in/part={k}")
+    spark.conf.set("spark.sql.streaming.stateStore.providerClass", pipelines.STATE_STORE)
+    spark.conf.set("spark.sql.shuffle.partitions", "2")
+    stream = spark.readStream.schema(rows.schema).option("maxFilesPerTrigger", 1).parquet(f"{tmp_path}/in/part=*")
+    got = [r.asDict() for r in run(spark, alerts.alerts(stream, ARMS, 20), "alerts").collect()]
+    spark.conf.set("spark.sql.shuffle.partitions", "4")
+    order = sorted((r.asDict() for r in rows.collect()), key=lambda r: (r["channel_id"], r["frame"], r["det_ord"]))
+    want = []
+    for key, own in itertools.groupby(order, key=lambda r: r["channel_id"]):
+        want += alerts.Channel(key, ARMS, 20).frame(own)
+    text = lambda rs: sorted(str([None if r[c] != r[c] else r[c] for c in NAMES]) for r in rs)
+    assert text(got) == text(want) and want
