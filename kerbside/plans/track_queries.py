@@ -167,6 +167,29 @@ def transit_alerts(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 @query()
+def transit_report(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """For each channel, its confirmed and inferred transits, the tracks with a photo, and the merges of the stitcher."""
+    rows = det(spark, sf_dir, piece=30)
+    fates = stitch.stitch(tracks.segments(tracks.with_segments(tracks.with_roi(rows, D.ROI))))
+    found = direction.alerts(rows, D.arms(spark), D.ROI).where("type = 'transit'")
+    of = lambda how: F.count_if(F.col("method") == how).alias(how)
+    transits = found.groupBy("channel_id").agg(of("confirmed"), of("inferred"))
+    photos = tracks.best_photo(tracks.with_roi(rows, D.ROI)).groupBy("channel_id").agg(F.count(F.lit(1)).alias("photos"))
+    merges = fates.groupBy("channel_id").agg(F.count("prev_seg").alias("merges"))
+    return merges.join(photos, "channel_id", "left").join(transits, "channel_id", "left").na.fill(0)
+
+
+@query(
+    f"{BASE}, {RUNS}, late AS (SELECT *, min(frame) OVER (PARTITION BY channel_id, track_id, run) AS stopped_since FROM runs WHERE moving = 0),"
+    " hit AS (SELECT channel_id, track_id, run, min(frame) AS frame FROM late WHERE frame - stopped_since >= 20 GROUP BY ALL),"
+    " first AS (SELECT channel_id, track_id, min(frame) AS f0, min(pts_ms) AS p0, min_by(seg_id, frame) AS seg FROM seg GROUP BY ALL)"
+    " SELECT l.channel_id, CAST(f.seg AS BIGINT) AS lineage_id, CAST(l.track_id AS VARCHAR) AS track_id, 'stagnant' AS type, l.class_name, NULL::VARCHAR AS entry_arm,"
+    " NULL::VARCHAR AS exit_arm, NULL::VARCHAR AS method, TRUE AS was_stagnant, l.frame, f.f0 AS first_seen_frame, l.frame AS last_seen_frame, l.pts_ms - f.p0 AS duration_ms,"
+    " CAST(trunc((l.frame - l.stopped_since) / 30.0::DOUBLE * 1000) AS BIGINT) AS stationary_ms, l.cx AS x, l.cy AS y,"
+    " substr(sha256(l.channel_id || ':' || CAST(f.seg AS BIGINT) || ':' || l.frame || ':stagnant'), 1, 8) AS alert_id"
+    " FROM hit h JOIN late l ON l.channel_id = h.channel_id AND l.track_id = h.track_id AND l.run = h.run AND l.frame = h.frame"
+    " JOIN first f ON f.channel_id = h.channel_id AND f.track_id = h.track_id"
+)
 def stagnant_alerts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return direction.alerts(det(spark, sf_dir), D.arms(spark), D.ROI, 20).where("type = 'stagnant'")
 
