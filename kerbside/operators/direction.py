@@ -144,6 +144,21 @@ def nearest_arm(points: list[Point], arms: Sequence[Arm], start: bool) -> str |
     return arms[min((_apart(anchor, a), k) for k, a in enumerate(arms))[1]][0]
 
 
+def arms_of_paths(paths: DataFrame, arms: Sequence[Arm]) -> DataFrame:
+    """Adds ``entry_arm`` and ``exit_arm`` to rows with ``path``, an array of points (x, y) of which the last HISTORY count."""
+    own = paths.withColumn("path", F.slice("path", F.greatest(F.size("path") - HISTORY + 1, F.lit(1)), HISTORY))
+    kept = [c for c in own.columns if c != "path"]
+    schema = ", ".join([f"`{c}` {own.schema[c].dataType.simpleString()}" for c in kept] + ["entry_arm string", "exit_arm string"])
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            points = [[(p["x"], p["y"]) for p in path] for path in b.column("path").to_pylist()]
+            found = [pa.array([nearest_arm(p, arms, start) for p in points], pa.string()) for start in (True, False)]
+            yield pa.RecordBatch.from_arrays([*(b.column(c) for c in kept), *found], [*kept, "entry_arm", "exit_arm"])
+
+    return own.mapInArrow(run, schema)
+
+
 def lineage_events(det: DataFrame, arms: DataFrame, fates: DataFrame) -> DataFrame:
     """Rows of ``det`` (with ``in_roi`` and ``seg_id``) with their lineage, the crossings of each in the order of the
     arms, and whether the vehicle is slow; null where that is not looked at."""

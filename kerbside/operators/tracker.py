@@ -31,11 +31,29 @@ class Settings:
 
 
 def assign(cost: np.ndarray, limit: float) -> list[tuple[int, int]]:
-    """One-to-one pairs of least total cost, none above ``limit``: shortest augmenting paths. A pair above the limit
-    counts as the limit, so that leaving both out is never dearer."""
+    """One-to-one pairs of least total cost, none above ``limit``. Rows and columns that no possible pair connects do not
+    bear on each other: each such group, mostly one track and one box, is solved alone."""
+    possible = cost <= limit
+    left, out = set(np.flatnonzero(possible.any(1)).tolist()) if cost.size else set(), []
+    while left:
+        rows, cols = np.array([min(left)]), np.zeros(0, int)
+        while True:
+            cols = np.flatnonzero(possible[rows].any(0))
+            more = np.flatnonzero(possible[:, cols].any(1))
+            if len(more) == len(rows):
+                break
+            rows = more
+        left -= set(rows.tolist())
+        out += [(int(rows[i]), int(cols[j])) for i, j in _assign(cost[np.ix_(rows, cols)], limit)]
+    return out
+
+
+def _assign(cost: np.ndarray, limit: float) -> list[tuple[int, int]]:
+    """The same for one group, by shortest augmenting paths. A pair above the limit counts as the limit, so that leaving
+    both out is never dearer."""
     rows, cols = cost.shape
-    if not rows or not cols:
-        return []
+    if rows == cols == 1:
+        return [(0, 0)]
     n = rows + cols
     full = np.full((n, n), limit / 2)
     full[:rows, :cols] = np.where(cost <= limit, cost, 1e6)

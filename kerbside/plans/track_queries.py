@@ -166,6 +166,45 @@ def transit_alerts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return direction.alerts(det(spark, sf_dir, piece=30), D.arms(spark), D.ROI).where("type = 'transit'")
 
 
+#: Ends of each track's path: where it is taken to stand, and its heading, without what lies outside its jumps.
+PATH_ENDS = f"""WITH {D.DET_SQL}, {D.ARMS_SQL}, recent AS (
+    SELECT * FROM det QUALIFY row_number() OVER (PARTITION BY channel_id, track_id ORDER BY frame DESC, det_ord DESC) <= 300),
+paths AS (
+    SELECT channel_id, track_id, list(cx::DOUBLE ORDER BY frame, det_ord) AS xs, list(cy::DOUBLE ORDER BY frame, det_ord) AS ys FROM recent GROUP BY ALL),
+jumps AS (
+    SELECT *, list_filter(range(1, len(xs)), lambda i: sqrt((xs[i + 1] - xs[i]) ** 2 + (ys[i + 1] - ys[i]) ** 2) > 80) AS gaps FROM paths WHERE len(xs) >= 4),
+clean AS (
+    SELECT channel_id, track_id, CASE WHEN len(gaps) > 0 AND gaps[-1] - gaps[1] >= 4 THEN xs[gaps[1] + 1:gaps[-1]] ELSE xs END AS xs,
+        CASE WHEN len(gaps) > 0 AND gaps[-1] - gaps[1] >= 4 THEN ys[gaps[1] + 1:gaps[-1]] ELSE ys END AS ys FROM jumps),
+parts AS (SELECT *, len(xs) AS n, least(5, len(xs) // 2) AS m, len(xs) // 4 AS low, 3 * len(xs) // 4 AS high FROM clean),
+leaving AS (
+    SELECT *, xs[n] - xs[n - m + 1] AS hx, ys[n] - ys[n - m + 1] AS hy, xs[high + 1] - xs[low + 1] AS sx, ys[high + 1] - ys[low + 1] AS sy FROM parts),
+turned AS (
+    SELECT *, least(sqrt(hx * hx + hy * hy), sqrt(sx * sx + sy * sy)) >= 1e-9 AND degrees(acos(greatest(-1.0, least(1.0,
+        (hx * sx + hy * sy) / nullif(sqrt(hx * hx + hy * hy) * sqrt(sx * sx + sy * sy), 0))))) > 60 AS turn FROM leaving),
+ends AS (
+    SELECT channel_id, track_id, 'entry' AS side, list_avg(xs[1:m]) AS ox, list_avg(ys[1:m]) AS oy, xs[1] - xs[m] AS hx, ys[1] - ys[m] AS hy FROM parts
+    UNION ALL SELECT channel_id, track_id, 'exit', CASE WHEN turn AND m >= 2 THEN list_avg(xs[high - m + 1:high]) ELSE list_avg(xs[n - m + 1:n]) END,
+        CASE WHEN turn AND m >= 2 THEN list_avg(ys[high - m + 1:high]) ELSE list_avg(ys[n - m + 1:n]) END, CASE WHEN turn THEN sx ELSE hx END, CASE WHEN turn THEN sy ELSE hy END FROM turned)"""
+
+
+@query(
+    f"{PATH_ENDS}, lines AS (SELECT *, (x2 - x1)::DOUBLE AS dx, (y2 - y1)::DOUBLE AS dy FROM ends, arms), crossed AS (SELECT *, hx * dy - hy * dx AS across,"
+    " greatest(0.0, least(1.0, ((ox - x1) * dx + (oy - y1) * dy) / (dx * dx + dy * dy))) AS along FROM lines),"
+    " measured AS (SELECT *, CASE WHEN abs(across) >= 1e-12 AND sqrt(hx * hx + hy * hy) > 5 AND ((x1 - ox) * hy - (y1 - oy) * hx) / across BETWEEN 0 AND 1 AND"
+    " ((x1 - ox) * dy - (y1 - oy) * dx) / across >= 0 THEN ((x1 - ox) * dy - (y1 - oy) * dx) / across END AS t,"
+    " sqrt((ox - x1 - along * dx) ** 2 + (oy - y1 - along * dy) ** 2) AS apart FROM crossed),"
+    " best AS (SELECT *, row_number() OVER (PARTITION BY channel_id, track_id, side ORDER BY t NULLS LAST, CASE WHEN t IS NULL THEN apart ELSE 0 END, arm_ord) AS r FROM measured)"
+    " SELECT channel_id, track_id, max(arm_id) FILTER (side = 'entry') AS entry_arm, max(arm_id) FILTER (side = 'exit') AS exit_arm FROM best WHERE r = 1 GROUP BY ALL"
+)
+def path_arms(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Where each track seems to come from and to go to, by the headings of its ends."""
+    point = F.struct("frame", "det_ord", F.col("cx").cast("double").alias("x"), F.col("cy").cast("double").alias("y"))
+    paths = det(spark, sf_dir).groupBy("channel_id", "track_id").agg(F.sort_array(F.collect_list(point)).alias("path")).where(F.size("path") >= 4)
+    paths = paths.withColumn("path", F.transform("path", lambda p: F.struct(p["x"].alias("x"), p["y"].alias("y"))))
+    return direction.arms_of_paths(paths, [(a, float(x1), float(y1), float(x2), float(y2)) for a, x1, y1, x2, y2, _ in D.ARMS])
+
+
 @query()
 def transit_report(spark: SparkSession, sf_dir: str) -> DataFrame:
     """For each channel, its confirmed and inferred transits, the tracks with a photo, and the merges of the stitcher."""
