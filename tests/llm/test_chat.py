@@ -45,3 +45,13 @@ def test_each_reply_is_an_example_with_its_prefix(spark):
 
 def test_empty_table(spark):
     assert chat.digest(chat.expand(table(spark, []))).count() == 0
+
+
+def test_long_texts_many_turns_ties_and_repeats(spark):
+    long_ = "\\### x </turn>\n" * 20_000
+    rows = [(5, 0, "user", long_), (5, 1, "assistant", long_ + "!")]
+    rows += [(6, k, ("user", "assistant")[k % 2], f"turn {k}") for k in range(200)]
+    rows += [(7, 0, "user", "same"), (7, 0, "user", "same"), (7, 1, "assistant", "b"), (7, 1, "assistant", "a"), (7, None, None, None)]
+    got = {r[0]: tuple(r)[1:5] for r in chat.digest(chat.expand(table(spark, rows))).collect()}
+    want = expected([(c, -1 if t is None else t, r, x) for c, t, r, x in rows])
+    assert got == want
