@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from kerbside.functions import geometry as G
@@ -142,6 +142,6 @@ def parsed_lists(spark: SparkSession, sf_dir: str) -> DataFrame:
 def change_against_first(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Figures of several runs against those of the first; one row a run."""
     n = spark.read.parquet(f"{sf_dir}/documents.parquet").groupBy("source").agg(F.count(F.lit(1)).alias("n"))
-    first = F.first("n").over(Window.partitionBy(F.lit(0)).orderBy("source"))
-    found = n.withColumn("first_n", first)
+    first = n.agg(F.min_by("n", "source").alias("first_n"))
+    found = n.join(F.broadcast(first))
     return found.withColumn("change", F.round((F.col("n") - F.col("first_n")) / F.col("first_n"), 4))
