@@ -79,3 +79,17 @@ def test_alerts_of_a_stream_equal_those_of_the_plain_walk(spark, tmp_path):
         want += alerts.Channel(key, ARMS, 20).frame(own)
     text = lambda rs: sorted(str([None if r[c] != r[c] else r[c] for c in NAMES]) for r in rs)
     assert text(got) == text(want) and want
+
+
+def test_settings_take_effect_between_batches_and_reach_all_sinks(spark):
+    det = spark.createDataFrame([(1, 0.4), (1, 0.6), (2, 0.3), (2, 0.2), (3, 0.9)], "channel_id long, confidence double")
+    settings = {"now": [(1, 0.5)]}
+    seen: dict[str, list] = {"a": [], "b": []}
+    sinks = {k: (lambda df, k=k: seen[k].append(sorted(map(tuple, df.collect())))) for k in seen}
+    write = pipelines.with_settings(
+        det, lambda: spark.createDataFrame(settings["now"], "channel_id long, threshold double"), lambda df: pipelines.fan_out(sinks)(df, 0)
+    )
+    write(det, 0)
+    settings["now"] = [(1, 0.3), (3, 0.95)]
+    write(det, 1)
+    assert seen["a"] == seen["b"] == [[(1, 0.6), (2, 0.3), (3, 0.9)], [(1, 0.4), (1, 0.6), (2, 0.3)]]
