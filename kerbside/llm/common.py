@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 from kerbside.operators.graph import components
 from kerbside.storage import materialize, shared_folder
 
-__all__ = ["components", "map_arrow", "materialize", "shared_folder", "slices", "table", "whole_rows"]
+__all__ = ["components", "map_arrow", "materialize", "shared_folder", "slices", "table", "whole_rows", "with_words"]
 
 #: Rows of one slice of an Arrow batch are taken up to this many text bytes, so that memory in a
 #: Python worker follows neither the number of rows in a batch nor the length of most texts.
@@ -28,6 +28,18 @@ def whole_rows(docs: DataFrame, **named: str | Column) -> DataFrame:
     return docs.select(F.struct(*[docs[f"`{c}`"] for c in docs.columns]).alias("row"), *[(docs[c] if isinstance(c, str) else c).alias(k) for k, c in named.items()])
 
 
+#: White space between words, as the contracts of the word operators have it.
+SPACES = r"[\x20\x09-\x0D]+"
+
+
+def with_words(df: DataFrame, text: str = "text") -> DataFrame:
+    """Adds ``words``: the runs of anything but white space, in order. ``text`` must not be null."""
+    df = df.withColumn("_parts", F.split(text, SPACES))
+    first = F.when(F.get("_parts", F.lit(0)) == "", 1).otherwise(0)
+    last = F.when((F.size("_parts") > 1) & (F.get("_parts", F.size("_parts") - 1) == ""), 1).otherwise(0)
+    return df.withColumn("words", F.slice("_parts", first + 1, F.greatest(F.size("_parts") - first - last, F.lit(0)))).drop("_parts")
+
+
 def slices(batches: Iterator[pa.RecordBatch], text: str) -> Iterator[pa.RecordBatch]:
     """The batches again, cut so that each holds about SLICE_BYTES of the column ``text``, or one row."""
     for batch in batches:

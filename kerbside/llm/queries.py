@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from kerbside.llm import chat, decontaminate, extract, jaccard, jpeg, langid, merkle, pack, repeats, secrets
+from kerbside.llm import audit, chat, decontaminate, extract, jaccard, jpeg, langid, manifest, merkle, pack, quality, repeats, secrets
 from kerbside.llm.common import table
 from kerbside.llm.oracles import ORACLES
 
@@ -85,11 +85,24 @@ def op10_suffix_repeats(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", "n_bytes", "n_removed", "n_spans", F.sha2("kept", 256).alias("kept_sha256"))
 
 
+def op11_filter_audit(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return audit.interactions(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
+def op12_dataset_manifest(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return manifest.manifest(table(spark, sf_dir, "documents"))
+
+
+def op13_host_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = quality.judge(table(spark, sf_dir, "documents"))
+    return found.select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept")
+
+
 QUERIES = {
     f.__name__: f
     for f in (
         op1_chat_format, op2_decontaminate, op3_secrets, op4_language_id, op5_ngram_jaccard, op6_merkle_audit,
-        op7_url_differencing, op8_baseline_jpeg, op9_best_fit_packing, op10_suffix_repeats,
+        op7_url_differencing, op8_baseline_jpeg, op9_best_fit_packing, op10_suffix_repeats, op11_filter_audit, op12_dataset_manifest, op13_host_quality,
     )
 }
 
