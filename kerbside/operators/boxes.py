@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -9,7 +12,7 @@ from kerbside.functions import geometry as G
 
 
 def frame_pairs(left: DataFrame, right: DataFrame, keys: list[str]) -> DataFrame:
-    """Boxes of the same frame side by side; a frame holds tens of boxes, so that its pairs are bounded."""
+    """All pairs of boxes of the same frame: with b boxes in it, b squared. ``near_pairs`` has those alone that overlap by half."""
     a = left.select(*keys, *[F.col(c).alias(f"{c}_a") for c in left.columns if c not in keys])
     b = right.select(*keys, *[F.col(c).alias(f"{c}_b") for c in right.columns if c not in keys])
     return a.join(b, keys)
@@ -21,6 +24,25 @@ def overlap(pairs: DataFrame, eps: float = 1e-9, floor: bool = True) -> DataFram
     return pairs.withColumn("iou", G.iou(*corners, eps, floor))
 
 
+#: Pixels of a side of the cells that boxes are dealt to.
+CELL = 64
+
+
+def near_pairs(left: DataFrame, right: DataFrame, keys: list[str], least: float = 0.5, cell: int = CELL) -> DataFrame:
+    """Pairs of the same frame with ``iou`` of ``least`` or more, which must be at least one half.
+
+    Of two such boxes, each holds the centre of the other. So a left box goes to the cell of its centre and a right one to all
+    cells that it covers, and each pair meets once."""
+    if least < 0.5:
+        raise ValueError("boxes that overlap by less than half can lie apart from each other's centre")
+    at = lambda c: F.floor(c / cell)
+    a = left.select(*keys, at((F.col("x1") + F.col("x2")) / 2).alias("_u"), at((F.col("y1") + F.col("y2")) / 2).alias("_v"), *[F.col(c).alias(f"{c}_a") for c in left.columns if c not in keys])
+    b = right.select("*", F.explode(F.sequence(at(F.col("x1")), at(F.greatest("x1", "x2")))).alias("_u"))
+    b = b.select("*", F.explode(F.sequence(at(F.col("y1")), at(F.greatest("y1", "y2")))).alias("_v"))
+    b = b.select(*keys, "_u", "_v", *[F.col(c).alias(f"{c}_b") for c in right.columns if c not in keys])
+    return overlap(a.join(b, [*keys, "_u", "_v"])).where(F.col("iou") >= least).drop("_u", "_v")
+
+
 def nms(boxes: DataFrame, keys: list[str], limit: float = 0.45, least_score: float = 0.25) -> DataFrame:
     """Greedy suppression in each frame: by score, then number, a box goes if a kept one overlaps it by more than
     ``limit``. A fold over the frame's sorted boxes, inside the JVM."""
@@ -35,16 +57,26 @@ def nms(boxes: DataFrame, keys: list[str], limit: float = 0.45, least_score: flo
 
 
 def agreement(left: DataFrame, right: DataFrame, keys: list[str], least: float = 0.5) -> DataFrame:
-    """Greedy one-to-one matches of two models' boxes in each frame: by overlap, then by the larger numbers. A fold over
-    the frame's sorted pairs, inside the JVM."""
-    near = overlap(frame_pairs(left, right, keys)).where(F.col("iou") >= least)
-    one = F.struct("iou", "box_a", "box_b")
-    frames = near.groupBy(*keys).agg(F.sort_array(F.collect_list(one), asc=False).alias("all"))
-    kept = F.aggregate(
-        "all", F.slice("all", 1, 0),
-        lambda acc, p: F.when(F.exists(acc, lambda k: (k["box_a"] == p["box_a"]) | (k["box_b"] == p["box_b"])), acc).otherwise(F.concat(acc, F.array(p))),
-    )
-    return frames.select(*keys, F.inline(kept)).select(*keys, "box_a", "box_b", "iou")
+    """Greedy one-to-one matches of two models' boxes in each frame: by overlap, then by the larger numbers. Pairs lie side
+    by side by frame, and a task walks through them once with the numbers that the frame has taken."""
+    near = near_pairs(left, right, keys, least).select(*keys, "box_a", "box_b", "iou")
+    beside = near.repartition(*keys).sortWithinPartitions(*keys, F.desc("iou"), F.desc("box_a"), F.desc("box_b"))
+
+    def walk(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        now, a, b = None, set(), set()
+        for batch in batches:
+            keep = []
+            for *frame, box_a, box_b in zip(*(batch.column(c).to_pylist() for c in (*keys, "box_a", "box_b"))):
+                if frame != now:
+                    now, a, b = frame, set(), set()
+                free = box_a not in a and box_b not in b
+                if free:
+                    a.add(box_a)
+                    b.add(box_b)
+                keep.append(free)
+            yield batch.filter(pa.array(keep, pa.bool_()))
+
+    return beside.mapInArrow(walk, beside.schema)
 
 
 def unmatched(matches: DataFrame, left: DataFrame, right: DataFrame, keys: list[str]) -> DataFrame:
