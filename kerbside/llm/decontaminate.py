@@ -18,7 +18,8 @@ from pyspark.sql import functions as F
 from kerbside.llm.common import whole_rows
 
 WINDOW = 10
-#: Benchmark windows are broadcast up to this many (about 200 bytes each); beyond, the join shuffles.
+#: Benchmark windows are broadcast up to this many (about 200 bytes each); beyond, the join shuffles the documents' windows,
+#: each with its own words, about WINDOW times the text. Either way gives the same rows.
 BROADCAST_WINDOWS = 500_000
 
 SEPARATORS = r"[\x00-\x2F\x3A-\x60\x7B-\x7F]+"
@@ -58,15 +59,14 @@ def _probe(docs: DataFrame, windows: DataFrame, n: int, window: int, small: bool
     padding = [F.lit(None).cast("string")] * (window - n)
     at = at.withColumn("at_key", F.xxhash64(*[F.get("words", F.col("i") + k) for k in range(n)], *padding))
     own = windows.where(F.col("n") == n).select("key", "words_text", "item_id")
-    same = (
-        (F.col("at_key") == F.col("key"))
-        & (F.col("i") >= 0)
-        & (F.array_join(F.slice("words", F.greatest(F.col("i"), F.lit(0)) + 1, n), " ") == F.col("words_text"))
-    )
+    held = F.array_join(F.slice("words", F.greatest(F.col("i"), F.lit(0)) + 1, n), " ")
+    n_words = F.size("words").cast("long").alias("n_words")
+    if not small:  # what is dealt out is the window's own words, not those of its document
+        at = at.select("doc_id", "text_key", n_words, "i", "at_key", F.when(F.col("i") >= 0, held).alias("held"))
+        held, n_words = F.col("held"), F.col("n_words")
+    same = (F.col("at_key") == F.col("key")) & (F.col("i") >= 0) & (held == F.col("words_text"))
     found = at.join(F.broadcast(own) if small else own, same, "left").where("i < 0 or item_id is not null")
-    return found.select(
-        "doc_id", "text_key", F.size("words").cast("long").alias("n_words"), "i", F.lit(n).alias("n"), "item_id"
-    )
+    return found.select("doc_id", "text_key", n_words, "i", F.lit(n).alias("n"), "item_id")
 
 
 def hits(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW) -> DataFrame:

@@ -68,6 +68,47 @@ def test_documents_and_spans_are_removed(spark, make):
     assert cut == {1: "before after", 2: "clean text", 3: ""}
 
 
+def shuffled_bytes(df):
+    """Bytes that the exchanges of the plan as it ran took in."""
+    df.write.format("noop").mode("overwrite").save()
+    total, nodes = 0, [df._jdf.queryExecution().executedPlan()]
+    df._jdf.queryExecution().toRdd().count()
+    while nodes:
+        node = nodes.pop()
+        if node.nodeName().startswith("Exchange"):
+            total += node.metrics().apply("dataSize").value()
+        children = node.children()
+        nodes += [children.apply(k) for k in range(children.size())]
+    return total
+
+
+def test_large_benchmarks_are_joined_by_shuffling_windows(spark, make, monkeypatch):
+    monkeypatch.setattr(decontaminate, "BROADCAST_WINDOWS", 0)
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    spark.conf.set("spark.sql.adaptive.enabled", "false")
+    try:
+        test_hits_equal_brute_force(spark, make)
+        bench = spark.createDataFrame([(1, " ".join(f"w{k}" for k in range(30)))], "item_id long, text string")
+        windows = decontaminate.benchmark_windows(bench)
+        sizes = []
+        for n in (1000, 2000, 4000):
+            docs = decontaminate.with_words(make([(k, " ".join(f"w{j % 977}" for j in range(n))) for k in range(8)]).selectExpr("doc_id", "xxhash64(text) text_key", "text")).drop("text")
+            sizes.append(shuffled_bytes(decontaminate._probe(docs, windows, 10, 10, False)))
+        assert 1.6 < sizes[1] / sizes[0] < 2.4 and 1.6 < sizes[2] / sizes[1] < 2.4, sizes
+    finally:
+        spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
+        spark.conf.unset("spark.sql.adaptive.enabled")
+
+
+def test_hits_in_very_long_texts(spark, make):
+    passage = "alpha beta gamma delta epsilon zeta eta theta iota kappa"
+    filler = "x1 y2 z3 " * 100_000
+    rows = [(1, filler + passage), (2, passage + " " + filler), (3, filler)]
+    bench = spark.createDataFrame([(7, passage)], "item_id long, text string")
+    got = {r.doc_id: (r.n_words, r.n_hit) for r in decontaminate.hits(make(rows), bench).collect()}
+    assert got == {1: (300_010, 10), 2: (300_010, 10), 3: (300_000, 0)}
+
+
 def brute_base(text):
     text = text or ""
     found = []
