@@ -24,7 +24,8 @@ of a pair's tiles one that both classes name, if there is one. So pairs inside a
 and every pair that can be a link is compared or already connected.
 
 Defined cases: a document without words has an empty set and is its own component; with fewer words than a shingle,
-the whole sequence is its only one; null texts have no words; repeated rows give one row each; documents with a
+the whole sequence is its only one; null texts have no words; repeated rows give one row each; rows of one id with
+different texts are documents of their own, which may be in different components, and ``keep_one`` judges each by itself; documents with a
 null id join their class but are not its smallest id, and ``keep_one`` keeps them; extra columns, whatever their names,
 are ignored by ``link`` and kept by ``keep_one``; ties of size or weight change no component; a text of any length
 is one set in memory; empty tables give empty results.
@@ -41,6 +42,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from kerbside.llm.common import components, map_arrow, materialize, slices, whole_rows
+from kerbside.operators.ranges import running
 
 SHINGLE = 5
 PERCENT = 75
@@ -175,7 +177,7 @@ def may_link(a: bytes, b: bytes, size_a: int, size_b: int, percent: int) -> bool
 
 
 def sketches(docs: DataFrame, percent: int = PERCENT) -> DataFrame:
-    """``doc_id, n, low, high, keys, sparse, least, bitmap``: size and digest of each document's set, its first shingles, of
+    """``doc_id, text_key, n, low, high, keys, sparse, least, bitmap``: size and digest of each document's set, its first shingles, of
     which ``sparse`` are not crowded, the FEW of least hash, how common its shingles are, and its signature."""
     counts = counted(docs)
     level, common = (docs.sparkSession.sparkContext.broadcast(f(counts)) for f in (crowding, commonness))
@@ -200,14 +202,21 @@ def sketches(docs: DataFrame, percent: int = PERCENT) -> DataFrame:
             lists.append(pa.ListArray.from_arrays(pa.array(np.cumsum([0, *map(len, x)]), pa.int32()), pa.array(flat)))
         return pa.RecordBatch.from_arrays(
             [
-                batch.column("doc_id"), pa.array(n, pa.int64()), pa.array(low, pa.int64()), pa.array(high, pa.int64()),
+                batch.column("doc_id"), batch.column("text_key"), pa.array(n, pa.int64()), pa.array(low, pa.int64()), pa.array(high, pa.int64()),
                 lists[0], pa.array(sparse, pa.int32()), lists[1], pa.array(weights, pa.float64()), pa.array(bitmaps, pa.binary()),
             ],
-            ["doc_id", "n", "low", "high", "keys", "sparse", "least", "weight", "bitmap"],
+            ["doc_id", "text_key", "n", "low", "high", "keys", "sparse", "least", "weight", "bitmap"],
         )
 
-    schema = "doc_id long, n long, low long, high long, keys array<long>, sparse int, least array<long>, weight double, bitmap binary"
-    return map_arrow(docs.select("doc_id", "text"), "text", schema, sketch)
+    schema = "doc_id long, text_key long, n long, low long, high long, keys array<long>, sparse int, least array<long>, weight double, bitmap binary"
+    return map_arrow(docs.select("doc_id", F.xxhash64("text").alias("text_key"), "text"), "text", schema, sketch)
+
+
+def numbered(some: DataFrame) -> DataFrame:
+    """``low, high, least, key, class``: a number for every set that a document with an id has, in the order of their smallest
+    ids, with that id and the key of a text of it. Two sets of one id have two numbers."""
+    sets = some.where("doc_id is not null").groupBy("low", "high").agg(F.min("doc_id").alias("least"), F.min_by("text_key", "doc_id").alias("key"))
+    return materialize(running(sets, [], ["least", "low", "high"], {"class": F.lit(1).cast("long")}), "classes")
 
 
 def banded(rows: DataFrame, percent: int) -> DataFrame:
@@ -338,8 +347,8 @@ def across(tiles: DataFrame, percent: int) -> DataFrame:
     return own.mapInArrow(run, "a long, b long").distinct()
 
 
-def verified(pairs: DataFrame, texts: DataFrame, percent: int) -> DataFrame:
-    """The pairs ``(a, b)`` of classes whose sets are similar enough."""
+def verified(pairs: DataFrame, texts: tuple[DataFrame, DataFrame], percent: int) -> DataFrame:
+    """The pairs ``(a, b)`` of classes whose sets are similar enough. ``texts``: the documents, and each class's id and text key."""
 
     def exact(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in (s for x in batches for s in slices(iter([x]), "xs")):
@@ -352,7 +361,11 @@ def verified(pairs: DataFrame, texts: DataFrame, percent: int) -> DataFrame:
 
     # the sets of those that are left are made again from their texts, rather than kept for all
     needed = pairs.select(F.col("a").alias("class")).union(pairs.select("b")).distinct()
-    members = materialize(map_arrow(texts.join(needed, "class", "left_semi"), "text", "class long, members binary", _sets), "sets")
+    docs, number = texts
+    asked = number.join(needed, "class")
+    own = docs.select("doc_id", F.xxhash64("text").alias("text_key"), "text")
+    own = own.join(asked, (F.col("doc_id") == F.col("least")) & (F.col("text_key") == F.col("key"))).select("class", "text")
+    members = materialize(map_arrow(own, "text", "class long, members binary", _sets).dropDuplicates(["class"]), "sets")
     both = pairs.join(members.select(F.col("class").alias("a"), F.col("members").alias("xs")), "a")
     both = both.join(members.select(F.col("class").alias("b"), F.col("members").alias("ys")), "b")
     return materialize(both.select("a", "b", "xs", "ys").mapInArrow(exact, "a long, b long"), "links")
@@ -372,18 +385,17 @@ def bounded(pairs: DataFrame, classes: DataFrame, percent: int) -> DataFrame:
     return materialize(signed.mapInArrow(bound, "a long, b long"), "pairs")
 
 
-def link(docs: DataFrame, percent: int = PERCENT) -> DataFrame:
-    """``doc_id, n_shingles, component_id`` of every document; links are by ``percent`` of the union at least."""
+def linked(docs: DataFrame, percent: int = PERCENT) -> DataFrame:
+    """What ``link`` returns, with the ``text_key`` of each row."""
     held = materialize(sketches(docs, percent), "sketches")
-    some = held.where("n > 0")
-    # a class is a set; its number is its smallest document
-    number = some.groupBy("low", "high").agg(F.min("doc_id").alias("class"))
-    number = materialize(number.where("class is not null"), "classes")
-    first = number.select(F.col("class").alias("doc_id"), F.col("low").alias("l"), F.col("high").alias("h"))
-    own = some.join(first, "doc_id").where("low = l and high = h").dropDuplicates(["doc_id"])
-    own = materialize(own.select(F.col("doc_id").alias("class"), "n", "keys", "sparse", "least", "weight", "bitmap"), "sets")
+    some = held.where("n > 0").withColumnRenamed("least", "least_hashes")
+    number = numbered(some)
+    first = number.select(F.col("low").alias("l"), F.col("high").alias("h"), "least", "key", "class")
+    same = (F.col("low") == F.col("l")) & (F.col("high") == F.col("h")) & (F.col("doc_id") == F.col("least")) & (F.col("text_key") == F.col("key"))
+    own = some.join(first, same).dropDuplicates(["class"])
+    own = materialize(own.select("class", "n", "keys", "sparse", F.col("least_hashes").alias("least"), "weight", "bitmap"), "sets")
     classes, keys = own.select("class", "n", "bitmap"), own.select("class", "n", "sparse", "keys")
-    texts = docs.select(F.col("doc_id").alias("class"), "text").where("doc_id is not null")
+    texts = (docs, number.select("class", "least", "key"))
 
     met = banded(own.select("class", "n", "weight", F.explode("least").alias("shingle")), percent).drop("n", "shingle")
     centre = met.groupBy("tile").agg(F.max_by("class", F.struct("weight", -F.col("class"))).alias("centre"), F.count(F.lit(1)).alias("members"))
@@ -409,16 +421,22 @@ def link(docs: DataFrame, percent: int = PERCENT) -> DataFrame:
     now = now.join(named, "class").join(classes.drop("n"), "class")
     more = verified(materialize(across(now, percent), "pairs"), texts, percent)
     whole = components(links.unionByName(more), "round2")
-    by_set = number.join(whole.withColumnRenamed("node", "class"), "class", "left").select(
-        F.col("low").alias("l"), F.col("high").alias("h"), F.coalesce("component", "class").alias("component")
-    )
+    name = number.select(F.col("class").alias("component"), F.col("least").alias("component_id"))
+    by_set = number.select("low", "high", "class").join(whole.withColumnRenamed("node", "class"), "class", "left")
+    by_set = by_set.withColumn("component", F.coalesce("component", "class")).join(name, "component")
+    by_set = by_set.select(F.col("low").alias("l"), F.col("high").alias("h"), "component_id")
     return held.join(by_set, (F.col("low") == F.col("l")) & (F.col("high") == F.col("h")) & (F.col("n") > 0), "left").select(
-        "doc_id", F.col("n").alias("n_shingles"), F.coalesce("component", "doc_id").alias("component_id")
+        "doc_id", "text_key", F.col("n").alias("n_shingles"), F.coalesce("component_id", "doc_id").alias("component_id")
     )
 
 
+def link(docs: DataFrame, percent: int = PERCENT) -> DataFrame:
+    """``doc_id, n_shingles, component_id`` of every document; links are by ``percent`` of the union at least."""
+    return linked(docs, percent).drop("text_key")
+
+
 def keep_one(docs: DataFrame, percent: int = PERCENT) -> DataFrame:
     """The documents that are the smallest of their component, with their own columns."""
-    first = link(docs, percent).where("component_id = doc_id or doc_id is null").select(F.col("doc_id").alias("id")).distinct()
-    rows = whole_rows(docs, id="doc_id").withColumnRenamed("id", "own")
-    return rows.join(first, F.col("own").eqNullSafe(F.col("id")), "left_semi").select("row.*")
+    first = linked(docs, percent).where("component_id = doc_id or doc_id is null").select(F.col("doc_id").alias("id"), F.col("text_key").alias("key")).distinct()
+    rows = whole_rows(docs, own="doc_id", own_key=F.xxhash64(docs["text"]))
+    return rows.join(first, F.col("own").eqNullSafe(F.col("id")) & (F.col("own_key") == F.col("key")), "left_semi").select("row.*")

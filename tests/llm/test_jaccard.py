@@ -171,3 +171,23 @@ def test_clashing_columns(spark):
     docs = spark.createDataFrame(rows, "doc_id long, text string, lang string, source string, _first long, own long, id long, row long")
     kept = jaccard.keep_one(docs)
     assert kept.columns == docs.columns and [r.doc_id for r in kept.collect()] == [1]
+
+
+def test_rows_of_one_id_with_different_texts(make):
+    """Whatever the order of the rows: each text links by itself, and the component's name is the smallest id in it."""
+    rng = random.Random(11)
+    word = lambda: "".join(rng.choice("abcdefgh") for _ in range(5))
+    a, b, c = ([word() for _ in range(80)] for _ in range(3))
+    near = lambda x, k: " ".join([*x[:k], word(), *x[k + 1 :]])
+    one, two, three = " ".join(a), " ".join(b), " ".join(c)
+    rows = [(1, one), (1, two), (2, near(b, 79)), (3, near(a, 0)), (5, three), (5, two), (0, near(c, 79)), (9, three), (7, two)]
+    want = {(1, one): 1, (1, two): 1, (2, rows[2][1]): 1, (3, rows[3][1]): 1, (5, three): 0, (5, two): 1, (0, rows[6][1]): 0, (9, three): 0, (7, two): 1}
+    for seed in range(3):
+        random.Random(seed).shuffle(rows)
+        for parts in (1, 5):
+            docs = make(rows, parts)
+            keys = {(r.doc_id, r.k): r.text for r in docs.selectExpr("doc_id", "text", "xxhash64(text) k").collect()}
+            got = {(r.doc_id, keys[r.doc_id, r.text_key]): r.component_id for r in jaccard.linked(docs).collect()}
+            assert got == want
+    kept = sorted((r.doc_id, r.text) for r in jaccard.keep_one(make(rows)).collect())
+    assert kept == sorted(k for k in want if k[0] < 2)
