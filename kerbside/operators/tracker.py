@@ -2,7 +2,7 @@
 
 A track moves with constant velocity under a Kalman filter over centre, width and height. Boxes are assigned in three
 stages: confident boxes to tracked and lost tracks, the others to what is still tracked, and what is left to tracks
-seen only once. Overlaps count times the box's score. A channel is cut wherever its frames are interrupted for longer than a lost track is remembered, so
+seen only once. Overlaps count times the box's score. In a frame without boxes, tracked ones move on by their filters. A channel is cut wherever its frames are interrupted for longer than a lost track is remembered, so
 that one task's rows are bounded by a stretch of uninterrupted video."""
 
 from __future__ import annotations
@@ -129,21 +129,30 @@ def measured(corners: np.ndarray) -> np.ndarray:
     return np.concatenate([(corners[:2] + corners[2:]) / 2, corners[2:] - corners[:2]])
 
 
-def follow(frames: list[tuple[int, np.ndarray, np.ndarray, np.ndarray]], s: Settings, first: int = 1) -> list[tuple[int, int, int]]:
-    """(frame, box, track) of frames given as (frame, box numbers, corners, scores). A frame without boxes changes nothing."""
-    tracks: list[Track] = []
-    number, out, clock = first, [], 0
+class Tracker:
+    """All tracks of a channel. ``frame`` takes one frame's boxes and returns the numbers of those that are tracks.
+
+    In a frame without boxes, what is tracked moves on by its filter, and nothing gets older: no track is lost for it."""
+
+    def __init__(self, settings: Settings, first: int = 1) -> None:
+        self.settings, self.number, self.clock = settings, first, 0
+        self.tracks: list[Track] = []
 
-    def place(m: np.ndarray, frame: int, box: int) -> Track:
-        nonlocal number
+    def _place(self, m: np.ndarray, box: int) -> Track:
         sd = _deviation(m, 2 * POSITION, 10 * VELOCITY)
-        number += 1
-        return Track(number - 1, np.concatenate([m, np.zeros(4)]), np.diag(sd**2), clock, clock, clock == 1, box=box)
+        self.number += 1
+        return Track(self.number - 1, np.concatenate([m, np.zeros(4)]), np.diag(sd**2), self.clock, self.clock, self.clock == 1, box=box)
 
-    for frame, boxes, corners, scores in frames:
+    def frame(self, boxes: np.ndarray, corners: np.ndarray, scores: np.ndarray) -> list[tuple[int, int]]:
+        """(box, track) of one frame."""
+        s = self.settings
         if not len(boxes):
-            continue
-        clock += 1
+            for t in self.tracks:
+                if not t.lost:
+                    t.predict()
+            return []
+        self.clock += 1
+        clock, tracks = self.clock, self.tracks
         for t in tracks:
             if t.confirmed:
                 t.predict()
@@ -166,32 +175,55 @@ def follow(frames: list[tuple[int, np.ndarray, np.ndarray, np.ndarray]], s: Sett
             t.lost = True
         gone, free = stage([t for t in tracks if not t.confirmed], free, s.unconfirmed)
         tracks = [t for t in tracks if t not in gone and not (t.lost and clock - t.seen > s.buffer)]
-        tracks += [place(measured(corners[k]), frame, int(boxes[k])) for k in free if scores[k] >= s.new]
+        tracks += [self._place(measured(corners[k]), int(boxes[k])) for k in free if scores[k] >= s.new]
         # of two tracks in one place, one of them lost, the longer-lived stays
         now, lost = [t for t in tracks if not t.lost], [t for t in tracks if t.lost]
         twice = np.argwhere(iou_cost(np.array([t.corners() for t in now]).reshape(-1, 4), np.array([t.corners() for t in lost]).reshape(-1, 4)) < 0.15)
         drop = {id(lost[j] if now[i].seen - now[i].start > lost[j].seen - lost[j].start else now[i]) for i, j in twice}
-        tracks = [t for t in tracks if id(t) not in drop]
-        out += [(frame, t.box, t.number) for t in tracks if not t.lost and t.confirmed and t.seen == clock]
+        self.tracks = [t for t in tracks if id(t) not in drop]
+        return [(t.box, t.number) for t in self.tracks if not t.lost and t.confirmed and t.seen == clock]
+
+
+def follow(frames: list[tuple[int, np.ndarray, np.ndarray, np.ndarray]], s: Settings, first: int = 1) -> list[tuple[int, int, int]]:
+    """(frame, box, track) of frames given as (frame, box numbers, corners, scores), with or without boxes."""
+    tracker = Tracker(s, first)
+    return [(frame, *found) for frame, *boxes in frames for found in tracker.frame(*boxes)]
+
+
+def frames_of(part: pd.DataFrame) -> list[tuple[int, np.ndarray, np.ndarray, np.ndarray]]:
+    """The frames of rows ``frame, box, x1, y1, x2, y2, score`` in order; a row without ``box`` says that its frame was there."""
+    part = part.sort_values(["frame", "box"])
+    out = []
+    for frame, g in part.groupby("frame"):
+        g = g[g["box"].notna()]
+        out.append((int(frame), g["box"].to_numpy().astype(np.int64), g[["x1", "y1", "x2", "y2"]].to_numpy(float), g["score"].to_numpy(float)))
     return out
 
 
-def track(boxes: DataFrame, settings: Settings | None = None) -> DataFrame:
-    """``channel_id, frame, box, track_id`` from ``channel_id, frame, box, x1, y1, x2, y2, score``. Numbers are unique in
-    a channel: those of a stretch start at its first frame times a million."""
+def clock(boxes: DataFrame) -> DataFrame:
+    """``channel_id, frame``: every frame from the first to the last of each channel."""
+    ends = boxes.groupBy("channel_id").agg(F.min("frame").alias("a"), F.max("frame").alias("b"))
+    return ends.select("channel_id", F.explode(F.sequence("a", "b")).alias("frame"))
+
+
+def track(boxes: DataFrame, settings: Settings | None = None, frames: DataFrame | None = None) -> DataFrame:
+    """``channel_id, frame, box, track_id`` from ``channel_id, frame, box, x1, y1, x2, y2, score``.
+
+    ``frames``: the frames that there were, ``channel_id, frame``, without which a frame without boxes isn't known. Numbers are
+    unique in a channel: those of a stretch start at its first frame times a million."""
     s = settings or Settings()
     order = Window.partitionBy("channel_id").orderBy("frame")
-    frames = boxes.select("channel_id", "frame").distinct()
+    seen = boxes.select("channel_id", "frame")
+    every = (seen.unionByName(frames.select("channel_id", "frame")) if frames is not None else seen).distinct()
     fresh = F.when(F.col("frame") - F.lag("frame").over(order) > s.buffer, 1).otherwise(0)
-    frames = frames.withColumn("_new", fresh)
-    frames = frames.select("channel_id", "frame", F.sum("_new").over(order.rowsBetween(Window.unboundedPreceding, 0)).alias("stretch"))
+    every = every.withColumn("_new", fresh)
+    every = every.select("channel_id", "frame", F.sum("_new").over(order.rowsBetween(Window.unboundedPreceding, 0)).alias("stretch"))
     names = [x.split()[0] for x in TRACKS.split(", ")]
 
     def run(part: pd.DataFrame) -> pd.DataFrame:
-        part = part.sort_values(["frame", "box"])
-        rows = [(int(f), g["box"].to_numpy(), g[["x1", "y1", "x2", "y2"]].to_numpy(float), g["score"].to_numpy(float)) for f, g in part.groupby("frame")]
+        rows = frames_of(part)
         found = follow(rows, s, rows[0][0] * 1_000_000 + 1)
         return pd.DataFrame([(int(part["channel_id"].iloc[0]), *r) for r in found], columns=names)
 
-    both = boxes.join(frames, ["channel_id", "frame"])
+    both = every.join(boxes, ["channel_id", "frame"], "left")
     return both.groupBy("channel_id", "stretch").applyInPandas(run, TRACKS)

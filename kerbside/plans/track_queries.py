@@ -314,7 +314,7 @@ def latest_boxes(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query()
 def tracker(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Boxes without their ids, tracked anew."""
+    """Boxes without their ids, tracked anew, over all frames from the first to the last of a channel."""
     from kerbside.operators import tracker as T
 
     rows = det(spark, sf_dir)
@@ -323,4 +323,4 @@ def tracker(spark: SparkSession, sf_dir: str) -> DataFrame:
         "channel_id", "frame", F.col("det_ord").alias("box"), F.col("x").alias("x1"), F.col("y").alias("y1"), right.alias("x2"), low.alias("y2"),
         F.col("confidence").alias("score"),
     )
-    return T.track(own)
+    return T.track(own, frames=T.clock(own))

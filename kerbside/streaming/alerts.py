@@ -1,9 +1,11 @@
 """The alert pipeline as one stateful stream: tracks of a channel become segments, are stitched, cross arms, stop, get
 lost and are given up, frame by frame, with the alerts that the batch form gives.
 
-The state of a channel is its active tracks and its lost ones, each with the machine and the last points of its vehicle;
-a camera sees a bounded number of vehicles at a time, and a lost one is kept for ``MAX_AGE`` frames. Rows of a channel
-must come in the order of their frames; rows of frames that are over are dropped."""
+The state of a channel is two maps by track, of the active ones and of the lost ones, each with the machine and the last
+points of its vehicle; a batch writes the tracks that it changed and no others. A camera sees a bounded number of vehicles
+at a time, and a lost one is kept for ``MAX_AGE`` frames. Rows of a channel must come in the order of their frames; rows of
+frames that are over are dropped. With a watermark, a timer gives up the vehicles of a channel that has fallen silent: frames
+that the watermark has passed are over, with rows or without."""
 
 from __future__ import annotations
 
@@ -20,6 +22,8 @@ from kerbside import schemas
 from kerbside.operators import tracks
 from kerbside.operators.direction import FPS, STAGNANT_SECONDS, Vehicle
 from kerbside.operators.stitch import MAX_AGE, MAX_PREDICTED, MAX_PX
+from kerbside.sources.detections import FRAME_MS
+from kerbside.streaming.pipelines import FIRST_MS, on_clock
 
 #: (arm, x1, y1, x2, y2, junction side), in the order in which arms are tried.
 Arms = list[tuple[str, float, float, float, float, str]]
@@ -27,6 +31,14 @@ Arms = list[tuple[str, float, float, float, float, str]]
 REMEMBERED = 1_000_000
 
 
+class Numbers(dict):
+    """The last number and frame of each track id."""
+
+    def forget(self, before: int) -> None:
+        for track in [t for t, (_, frame) in self.items() if frame <= before]:
+            del self[track]
+
+
 class _Segment:
     """A track as long as no frame misses it. ``points``: its last two, or those of the track that it continues."""
 
@@ -45,7 +57,7 @@ class Channel:
         self.plain = [a[:5] for a in arms]
         self.active: dict[int, _Segment] = {}
         self.lost: dict[int, _Segment] = {}
-        self.numbers: dict[int, tuple[int, int]] = {}
+        self.numbers = Numbers()
         self.now = -1
 
     def _give_up(self, s: _Segment, frame: int) -> Iterator[dict]:
@@ -124,7 +136,19 @@ class Channel:
             s.in_roi, s.rows = row["in_roi"], s.rows + 1
             lineage = s.vehicle.first["lineage_id"]
             yield from s.vehicle.see({**row, "lineage_id": lineage, "hits": hits, "slow": slow, "final_frame": None})
-        self.numbers = {t: v for t, v in self.numbers.items() if self.now - v[1] < REMEMBERED}
+        self.numbers.forget(self.now - REMEMBERED)
+
+    def pass_(self, frame: int) -> Iterator[dict]:
+        """Frames up to this one are over; those after the last one seen had no rows."""
+        if frame > self.now:
+            yield from self._advance(frame + 1)
+            self.now = frame
+
+    def due(self) -> int | None:
+        """The first frame in which something happens even if no row comes."""
+        ends = [s.lost_frame + MAX_AGE + 1 for s in self.lost.values()]
+        ends += [s.points[-1][0] + MAX_AGE + 2 for s in self.active.values()]
+        return min(ends, default=None)
 
     def end(self) -> Iterator[dict]:
         """What is lost when the channel ends is given up then; what is still there has no alert."""
@@ -134,27 +158,101 @@ class Channel:
         self.lost.clear()
 
 
+class _StoredNumbers:
+    """Numbers in a map state, read and written track by track; old ones are cleared out when the channel is silent."""
+
+    def __init__(self, state) -> None:
+        self.state = state
+
+    def get(self, track: int, default: tuple[int, int]) -> tuple[int, int]:
+        return tuple(self.state.getValue((track,))) if self.state.containsKey((track,)) else default
+
+    def __setitem__(self, track: int, value: tuple[int, int]) -> None:
+        self.state.updateValue((track,), value)
+
+    def forget(self, before: int) -> None:
+        pass
+
+    def clear_out(self, before: int) -> None:
+        for key in [k for k, (_, frame) in self.state.iterator() if frame <= before]:
+            self.state.removeKey(key)
+
+
 class AlertProcessor(StatefulProcessor):
-    def __init__(self, arms: Arms, limit: int) -> None:
-        self.arms, self.limit = arms, limit
+    """``frame_ms``: milliseconds of a frame, by which the watermark tells which frames are over; None: no timers."""
+
+    def __init__(self, arms: Arms, limit: int, frame_ms: int | None = None) -> None:
+        self.arms, self.limit, self.frame_ms = arms, limit, frame_ms
 
     def init(self, handle: StatefulProcessorHandle) -> None:
-        self.channel = handle.getValueState("channel", "body binary")
+        self.handle = handle
+        self.clock = handle.getValueState("clock", "now long, timer long")
+        self.active = handle.getMapState("active", "track long", "body binary")
+        self.lost = handle.getMapState("lost", "track long", "body binary")
+        self.numbers = handle.getMapState("numbers", "track long", "number long, frame long")
+
+    def _open(self, channel_id: int) -> tuple[Channel, int | None]:
+        channel, timer = Channel(channel_id, self.arms, self.limit), None
+        channel.numbers = _StoredNumbers(self.numbers)
+        if self.clock.exists():
+            channel.now, timer = self.clock.get()
+        for of, state in ((channel.active, self.active), (channel.lost, self.lost)):
+            of.update((k[0], pickle.loads(bytes(v[0]))) for k, v in state.iterator())
+        return channel, timer
+
+    def _close(self, channel: Channel, before: tuple[dict, dict], seen: set[int], timer: int | None) -> None:
+        """Writes what changed: tracks with rows, tracks that are new on their side, and those that left it."""
+        for state, was, now in ((self.active, before[0], channel.active), (self.lost, before[1], channel.lost)):
+            for track in was.keys() - now.keys():
+                state.removeKey((track,))
+            for track, s in now.items():
+                if was.get(track) is not s or (track in seen and now is channel.active):
+                    state.updateValue((track,), (pickle.dumps(s),))
+        due = channel.due() if self.frame_ms else None
+        at = None if due is None else due * self.frame_ms + FIRST_MS
+        if at != timer:
+            if timer is not None:
+                self.handle.deleteTimer(timer)
+            if at is not None:
+                self.handle.registerTimer(at)
+        self.clock.update((channel.now, at))
+
+    @staticmethod
+    def _rows(found: list[dict]) -> pd.DataFrame:
+        return pd.DataFrame(found, columns=[x.split()[0] for x in schemas.ALERTS.split(", ")])
 
     def handleInputRows(self, key: tuple, rows: Iterator[pd.DataFrame], timerValues) -> Iterator[pd.DataFrame]:
         part = pd.concat(list(rows)).sort_values(["frame", "det_ord"])
-        channel = pickle.loads(bytes(self.channel.get()[0])) if self.channel.exists() else Channel(int(key[0]), self.arms, self.limit)
+        channel, timer = self._open(int(key[0]))
+        before = dict(channel.active), dict(channel.lost)
         names = ("channel_id", "track_id", "class_name", "frame", "det_ord", "pts_ms", "cx", "cy", "in_roi")
         found = list(channel.frame(dict(zip(names, r)) for r in zip(*(part[c].tolist() for c in names))))
-        self.channel.update((pickle.dumps(channel),))
-        yield pd.DataFrame(found, columns=[x.split()[0] for x in schemas.ALERTS.split(", ")])
+        self._close(channel, before, set(part["track_id"].tolist()), timer)
+        yield self._rows(found)
+
+    def handleExpiredTimer(self, key: tuple, timerValues, expiredTimerInfo) -> Iterator[pd.DataFrame]:
+        channel, timer = self._open(int(key[0]))
+        before = dict(channel.active), dict(channel.lost)
+        found = list(channel.pass_((timerValues.getCurrentWatermarkInMs() - FIRST_MS) // self.frame_ms))
+        channel.numbers.clear_out(channel.now - REMEMBERED)
+        # the timer that rang is gone
+        self._close(channel, before, set(), None if timer == expiredTimerInfo.getExpiryTimeInMs() else timer)
+        yield self._rows(found)
 
     def close(self) -> None:
         pass
 
 
-def alerts(det: DataFrame, arms: Arms, stagnant_frames: int = int(STAGNANT_SECONDS * FPS)) -> DataFrame:
-    """Alerts of a stream of detections with ``in_roi``, as they arise. The channel is the key."""
+def alerts(
+    det: DataFrame, arms: Arms, stagnant_frames: int = int(STAGNANT_SECONDS * FPS), lateness: str | None = None, frame_ms: int = FRAME_MS
+) -> DataFrame:
+    """Alerts of a stream of detections with ``in_roi``, as they arise. The channel is the key.
+
+    ``lateness``: of the watermark on the clock of the video (``pts_ms``), which must be one for all channels; with it, the
+    vehicles of a channel without further rows are given up when they are due. Without it they wait for its next row."""
+    if lateness:
+        det = on_clock(det, lateness)
     return det.groupBy("channel_id").transformWithStateInPandas(
-        statefulProcessor=AlertProcessor(arms, stagnant_frames), outputStructType=schemas.ALERTS, outputMode="Append", timeMode="None"
-    )
+        statefulProcessor=AlertProcessor(arms, stagnant_frames, frame_ms if lateness else None), outputStructType=schemas.ALERTS,
+        outputMode="Append", timeMode="EventTime" if lateness else "None",
+    )

@@ -15,6 +15,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle
 
 from kerbside.operators.control import ADD, ANALYTICS, REMOVE, REVIEW, SETUP
+from kerbside.streaming.pipelines import FIRST_MS, on_clock
 
 COMMANDS = "channel_id long, pts_ms long, command_id long, action string"
 PHASED = "channel_id long, pts_ms long, det_ord long, phase string, epoch long, epoch_ms long, old_phase string"
@@ -54,12 +55,12 @@ class PhaseProcessor(StatefulProcessor):
                 self.waiting.updateValue((at, kind, number), (action,))
                 last = at if last is None else max(last, at)
         if last is not None:
-            self.handle.registerTimer(last + 1)
+            self.handle.registerTimer(last + FIRST_MS)
         return iter(())
 
     def handleExpiredTimer(self, key: tuple, timerValues, expiredTimerInfo) -> Iterator[pd.DataFrame]:
         until = timerValues.getCurrentWatermarkInMs()
-        due = sorted((k, v[0]) for k, v in self.waiting.iterator() if k[0] <= until)
+        due = sorted((k, v[0]) for k, v in self.waiting.iterator() if k[0] + FIRST_MS <= until)
         channel, found = int(key[0]), []
         machine = Phases(*self.machine.get()) if self.machine.exists() else Phases()
         for (at, kind, number), action in due:
@@ -84,7 +85,7 @@ def phased(rows: DataFrame, commands: DataFrame, lateness: str = "1 second") ->
     null = F.lit(None).cast("string")
     a = rows.select("channel_id", "pts_ms", F.lit(1).alias("kind"), F.col("det_ord").alias("number"), null.alias("action"))
     b = commands.select("channel_id", "pts_ms", F.lit(0).alias("kind"), F.col("command_id").alias("number"), "action")
-    both = [x.withColumn("at", F.timestamp_millis("pts_ms")).withWatermark("at", lateness) for x in (a, b)]
+    both = [on_clock(x, lateness) for x in (a, b)]
     return both[0].unionByName(both[1]).groupBy("channel_id").transformWithStateInPandas(
         statefulProcessor=PhaseProcessor(), outputStructType=PHASED, outputMode="Append", timeMode="EventTime"
     )

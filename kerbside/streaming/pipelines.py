@@ -17,6 +17,15 @@ def with_event_time(rows: DataFrame, at: str, lateness: str) -> DataFrame:
     return rows.withColumn(at, F.col(at).cast("timestamp")).withWatermark(at, lateness)
 
 
+#: A watermark starts at 0 and what is not after it is late: the clock of a video, which starts at 0 too, is set ahead by so many.
+FIRST_MS = 1
+
+
+def on_clock(rows: DataFrame, lateness: str, at: str = "pts_ms") -> DataFrame:
+    """Adds ``at``, a timestamp on the clock of the video, with a watermark."""
+    return rows.withColumn("at", F.timestamp_millis(F.col(at) + FIRST_MS)).withWatermark("at", lateness)
+
+
 def stats(rows: DataFrame, key: str, at: str, value: str, width: str = "1 second", lateness: str = "5 seconds") -> DataFrame:
     timed = with_event_time(rows, at, lateness)
     by = timed.groupBy(key, F.window(at, width).alias("w"))

@@ -5,6 +5,8 @@ import itertools
 import numpy as np
 
 from kerbside.operators import tracker as T
+from kerbside.streaming import tracking as live
+from kerbside.streaming.pipelines import STATE_STORE
 
 
 def test_assignment_is_optimal():
@@ -40,6 +42,45 @@ def test_two_vehicles_keep_their_numbers():
     assert sum(f == 25 for f, _, _ in found) == 2 and T.follow([boxes(0)], T.Settings()) == []
 
 
+def test_a_track_moves_on_through_empty_frames():
+    """A box at 12 pixels a frame, four frames without any, then back on its path."""
+    frames = [boxes(f, *([] if 20 <= f < 24 else [(100 + 12 * f, 100)])) for f in range(40)]
+    assert {t for _, _, t in T.follow(frames, T.Settings())} == {1}
+    assert {t for _, _, t in T.follow([f for f in frames if len(f[1])], T.Settings())} == {1, 2}
+
+
+def test_frames_without_boxes_reach_the_table_form(spark):
+    schema = "channel_id long, frame long, box long, x1 double, y1 double, x2 double, y2 double, score double"
+    rows = [(1, f, f, 80.0 + 12 * f, 85.0, 120.0 + 12 * f, 115.0, 0.9) for f in range(40) if not 20 <= f < 24]
+    own = spark.createDataFrame(rows, schema)
+    numbers = lambda df: len({r.track_id for r in df.collect()})
+    assert numbers(T.track(own, frames=T.clock(own))) == 1 and numbers(T.track(own)) == 2
+    assert T.track(own.limit(0), frames=T.clock(own.limit(0))).count() == 0
+
+
+def test_stream_of_boxes_equals_the_batch(spark, tmp_path):
+    rng = np.random.default_rng(4)
+    rows = []
+    for c in (1, 2):
+        for f in range(60):
+            seen = [] if f % 13 in (5, 6) else [k for k in range(3) if rng.random() > 0.1]
+            rows += [(c, f, c * 1000 + f * 10 + k, 50.0 + 90 * k + 5 * f, 80.0, 90.0 + 90 * k + 5 * f, 120.0, float(rng.choice([0.2, 0.4, 0.9]))) for k in seen]
+            rows += [] if seen else [(c, f, None, None, None, None, None, None)]
+    schema = "channel_id long, frame long, box long, x1 double, y1 double, x2 double, y2 double, score double"
+    for k in range(4):
+        spark.createDataFrame([r for r in rows if r[1] // 15 == k], schema).coalesce(1).write.parquet(f"{tmp_path}/in/part={k}")
+    spark.conf.set("spark.sql.streaming.stateStore.providerClass", STATE_STORE)
+    spark.conf.set("spark.sql.shuffle.partitions", "2")
+    stream = spark.readStream.schema(schema).option("maxFilesPerTrigger", 1).parquet(f"{tmp_path}/in/part=*")
+    query = live.tracks(stream).writeStream.format("memory").queryName("tracked").outputMode("append").trigger(availableNow=True).start()
+    query.awaitTermination(120)
+    got = spark.table("tracked").collect()
+    spark.conf.set("spark.sql.shuffle.partitions", "4")
+    whole = spark.createDataFrame([r for r in rows if r[2] is not None], schema)
+    want = T.track(whole, frames=spark.createDataFrame([r[:2] for r in rows], "channel_id long, frame long"))
+    assert sorted(map(tuple, got)) == sorted((r.channel_id, r.frame, r.box, r.track_id) for r in want.collect()) and got
+
+
 def test_tracks_by_channel(spark):
     rows = [(c, f, f * 10 + k, x - 20.0, 85.0, x + 20.0, 115.0, 0.9) for c in (1, 2) for f in [*range(30), *range(500, 520)] for k, x in enumerate((100.0 + f % 100, 400.0))]
     got = T.track(spark.createDataFrame(rows, "channel_id long, frame long, box long, x1 double, y1 double, x2 double, y2 double, score double")).collect()
@@ -77,6 +118,11 @@ def plain_follow(frames, high=0.25, low=0.1, buffer=150):
         t.update(x=t["x"] + gain @ (z - h_ @ t["x"]), P=t["P"] - gain @ s @ gain.T, seen=now, active=True, box=box)
 
     for frame, boxes, corners, scores in frames:
+        if not len(boxes):
+            for t in tracked:
+                t["P"] = f_ @ t["P"] @ f_.T + scale(t["x"], p_, v_)
+                t["x"] = f_ @ t["x"]
+            continue
         now += 1
         strong = [k for k, s in enumerate(scores) if s >= high]
         weak = [k for k, s in enumerate(scores) if low < s < high]
@@ -125,7 +171,7 @@ def test_tracks_agree_with_a_plain_tracker_at_borderline_scores():
         speed = rng.normal(0, 3, (4, 2))
         at = rng.uniform(60, 200, (4, 2))
         for f in range(30):
-            seen = [k for k in range(4) if rng.random() > 0.15] or [0]
+            seen = [] if rng.random() < 0.12 else [k for k in range(4) if rng.random() > 0.15]
             centres = at + speed * f + rng.normal(0, 2, (4, 2))
             size = rng.uniform(18, 26, (4, 2))
             corners = np.concatenate([centres - size, centres + size], 1)[seen]
