@@ -97,15 +97,35 @@ def clip_unit(x: Column) -> Column:
 
 
 def letterbox(width: Column, height: Column, target: int) -> tuple[Column, Column, Column]:
-    """Scale and the left and upper padding that fit an image into a square."""
+    """Scale and the left and upper padding, in whole pixels, that fit an image into a square."""
     scale = F.least(F.lit(float(target)) / width, F.lit(float(target)) / height)
-    return scale, (target - width * scale) / 2, (target - height * scale) / 2
-
-
-def square_crop(x: Column, y: Column, w: Column, h: Column, fill: float = 0.5) -> list[Column]:
-    """Left, top and side of the square around a box that the box fills to ``fill`` at least."""
-    side = F.ceil(F.greatest(w, h) / F.sqrt(F.lit(fill)))
-    return [F.floor(x + w / 2 - side / 2), F.floor(y + h / 2 - side / 2), side]
+    pad = lambda side: F.floor((target - F.floor(side * scale)) / 2)
+    return scale, pad(width), pad(height)
+
+
+def from_letterbox(box: list[Column], width: Column, height: Column, target: int) -> list[Column]:
+    """A box x1, y1, x2, y2 on the square as one of the image, clipped to it."""
+    scale, left, top = letterbox(width, height, target)
+    clip = lambda v, pad, most: F.least(F.greatest((v - pad) / scale, F.lit(0.0)), most.cast("double"))
+    return [clip(v, *((left, width) if k % 2 == 0 else (top, height))) for k, v in enumerate(box)]
+
+
+def snapshot_crop(x: Column, y: Column, w: Column, h: Column, width: Column, height: Column) -> dict[str, Column]:
+    """The square picture of a box: its ``side``, the part of the frame that is copied (``src_x1`` to ``src_y2``) and where to (``dst_x``, ``dst_y``).
+
+    The side is the longer one of the box. The shorter one is widened on both sides until the box fills half of the scene, or
+    the square; what then remains of the square, and what lies outside the frame, stays black. Null for an empty box; a box outside
+    the frame has an empty part."""
+    x, y, w, h = (v.cast("long") for v in (x, y, w, h))
+    side, short = F.greatest(w, h), F.least(w, h)
+    scene = F.least(short + 2 * F.ceil(short / 2), side)
+    before, after = F.floor((scene - short) / 2), F.ceil((scene - short) / 2)
+    pad, wide = F.floor((side - scene) / 2), w >= h
+    left, right = F.when(wide, x).otherwise(x - before), F.when(wide, x + w).otherwise(x + w + after)
+    top, low = F.when(wide, y - before).otherwise(y), F.when(wide, y + h + after).otherwise(y + h)
+    src = {"src_x1": F.greatest(left, F.lit(0)), "src_y1": F.greatest(top, F.lit(0)), "src_x2": F.least(right, width), "src_y2": F.least(low, height)}
+    dst = {"dst_x": F.when(wide, 0).otherwise(pad) + src["src_x1"] - left, "dst_y": F.when(wide, pad).otherwise(0) + src["src_y1"] - top}
+    return {k: F.when((w > 0) & (h > 0), v).cast("long") for k, v in {"side": side, **src, **dst}.items()}
 
 
 def contain_fit(px: Column, py: Column, image: tuple[Column, Column], shown: tuple[Column, Column]) -> tuple[Column, Column]:

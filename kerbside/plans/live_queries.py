@@ -5,10 +5,12 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from kerbside.operators import control, evaluation, heat
+from kerbside.operators import control, evaluation, heat, tracks
 from kerbside.plans.curation_queries import BOXES, scenes
+from kerbside.plans.scalar_queries import CROPS
 from kerbside.plans.track_queries import det
 from kerbside.sources import detections as D
+from kerbside.streaming import sources
 
 QUERIES: dict = {}
 ORACLES: dict[str, str] = {}
@@ -166,3 +168,42 @@ def evaluation_report(spark: SparkSession, sf_dir: str) -> DataFrame:
 )
 def motion_heat(spark: SparkSession, sf_dir: str) -> DataFrame:
     return heat.levels(heat.motion(det(spark, sf_dir)))
+
+
+@query(
+    f"{CROPS}, asked AS (SELECT *, w * h * confidence AS score, max(w * h * confidence) OVER (PARTITION BY channel_id, track_id ORDER BY frame, det_ord ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS best"
+    f" FROM cut WHERE cx BETWEEN 251 AND 1649 AND cy BETWEEN 151 AND 949),"
+    " served AS (SELECT *, 'f' || channel_id || '-' || frame AS picture FROM asked WHERE (best IS NULL OR score > best) AND frame % 4 <> 0 AND EXISTS (SELECT 1 FROM det d WHERE d.channel_id = asked.channel_id AND d.frame = asked.frame))"
+    " SELECT channel_id, track_id, frame, round(score, 6) AS score, picture, side, src_x1, src_y1, src_x2, src_y2, dst_x, dst_y FROM served"
+    " QUALIFY row_number() OVER (PARTITION BY channel_id, track_id ORDER BY score DESC, frame) = 1"
+)
+def best_crops(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The best photo of each track of those whose picture came: every fourth frame of a camera has none."""
+    rows = tracks.with_roi(det(spark, sf_dir), D.ROI)
+    inner = rows.where("cx between 251 and 1649 and cy between 151 and 949")
+    name = F.concat_ws("-", F.concat(F.lit("f"), "channel_id"), "frame")
+    pictures = rows.where("frame % 4 <> 0").groupBy("channel_id", "frame", "pts_ms").agg(F.first(name).alias("picture")).withColumns({"width": F.lit(1920), "height": F.lit(1080)})
+    return sources.best_crops(sources.crops(sources.requests(inner), pictures)).withColumn("score", F.round("score", 6))
+
+
+@query(
+    f"WITH {D.DET_SQL}, first AS (SELECT 'site' || channel_id AS site, track_id AS video, pts_ms // 1000 AS slot, min_by(frame, frame) AS frame FROM det GROUP BY ALL)"
+    " SELECT site, video, slot, frame, row_number() OVER (PARTITION BY site ORDER BY video, slot) AS number FROM first"
+)
+def sampled_frames(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """One frame a second of every video, numbered by site; each track's rows stand for a video."""
+    rows = det(spark, sf_dir).select(F.concat(F.lit("site"), "channel_id").alias("site"), F.col("track_id").alias("video"), "frame", "pts_ms")
+    return sources.numbered(sources.samples(rows))
+
+
+@query(
+    f"WITH {D.DET_SQL}, f AS (SELECT DISTINCT channel_id AS source_id, frame, pts_ms FROM det)"
+    " SELECT epoch_ms(pts_ms // 33 * 33) AS start, CAST(floor(source_id / 8) AS BIGINT) AS part, string_agg(DISTINCT source_id, ',' ORDER BY source_id) AS sources, CAST(count(*) AS INT) AS n,"
+    " string_agg(source_id || ':' || frame, ',' ORDER BY source_id, frame) AS frames FROM f GROUP BY ALL"
+)
+def source_batches(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Frames of all cameras in batches of those that came within the same 33 milliseconds."""
+    frames = det(spark, sf_dir).select(F.col("channel_id").alias("source_id"), "frame", "pts_ms").distinct()
+    found = sources.batched(frames.withColumn("arrived", F.timestamp_millis("pts_ms")))
+    listed = F.array_join(F.transform("frames", lambda x: F.concat_ws(":", x["source_id"], x["frame"])), ",")
+    return found.select(F.col("start").cast("timestamp_ntz").alias("start"), "part", F.array_join("sources", ",").alias("sources"), "n", listed.alias("frames"))

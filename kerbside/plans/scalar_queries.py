@@ -112,19 +112,33 @@ def typed_messages(spark: SparkSession, sf_dir: str) -> DataFrame:
     return alerts_.unionByName(ended).unionByName(added).groupBy("type", "channel").agg(F.count(F.lit(1)).alias("n"))
 
 
+CROPS = f"""WITH {D.DET_SQL}, g AS (
+    SELECT *, greatest(w, h) AS side, least(w, h) AS short, least(least(w, h) + 2 * CAST(ceil(least(w, h) / 2.0) AS BIGINT), greatest(w, h)) AS scene FROM det),
+e AS (
+    SELECT *, (scene - short) // 2 AS a, scene - short - (scene - short) // 2 AS b, (side - scene) // 2 AS pad FROM g),
+c AS (
+    SELECT *, CASE WHEN w >= h THEN x ELSE x - a END AS l, CASE WHEN w >= h THEN x + w ELSE x + w + b END AS r, CASE WHEN w >= h THEN y - a ELSE y END AS t,
+        CASE WHEN w >= h THEN y + h + b ELSE y + h END AS u FROM e),
+cut AS (
+    SELECT *, greatest(l, 0) AS src_x1, greatest(t, 0) AS src_y1, least(r, 1920) AS src_x2, least(u, 1080) AS src_y2,
+        CASE WHEN w >= h THEN 0 ELSE pad END + greatest(l, 0) - l AS dst_x, CASE WHEN w >= h THEN pad ELSE 0 END + greatest(t, 0) - t AS dst_y FROM c)"""
+
+
 @query(
-    f"WITH {D.DET_SQL}, g AS (SELECT det_ord, x, y, w, h, ceil(greatest(w, h) / sqrt(0.5::DOUBLE)) AS side, least(640.0::DOUBLE / 1920, 640.0::DOUBLE / 1080) AS s FROM det)"
-    " SELECT det_ord, CAST(floor(x + w / 2 - side / 2) AS BIGINT) AS crop_x, CAST(floor(y + h / 2 - side / 2) AS BIGINT) AS crop_y, CAST(side AS BIGINT) AS side,"
-    " round(x * s + (640 - 1920 * s) / 2, 6) AS boxed_x, round(y * s + (640 - 1080 * s) / 2, 6) AS boxed_y FROM g"
+    f"{CROPS}, s AS (SELECT *, 640.0::DOUBLE / 1920 AS s FROM cut), p AS (SELECT *, 140 AS pad_y, x * s AS bx, y * s + 140 AS by_, (x + w) * s AS bx2, (y + h) * s + 140 AS by2 FROM s)"
+    " SELECT det_ord, side, src_x1, src_y1, src_x2, src_y2, dst_x, dst_y, round(bx, 6) AS boxed_x, round(by_, 6) AS boxed_y, round(least(greatest(x, 0), 1920), 6)::DOUBLE AS back_x1,"
+    " round(least(greatest(y, 0), 1080), 6)::DOUBLE AS back_y1, round(least(greatest(x + w, 0), 1920), 6)::DOUBLE AS back_x2, round(least(greatest(y + h, 0), 1080), 6)::DOUBLE AS back_y2 FROM p"
 )
 def picture_geometry(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Square crops around boxes, and boxes on a letterboxed square."""
+    """Square pictures of boxes, and boxes put on a letterboxed square and taken back from it."""
     x, y, w, h = (F.col(c) for c in ("x", "y", "w", "h"))
-    left, top, side = G.square_crop(x, y, w, h)
-    scale, pad_x, pad_y = G.letterbox(F.lit(1920), F.lit(1080), 640)
+    wide, tall = F.lit(1920), F.lit(1080)
+    scale, pad_x, pad_y = G.letterbox(wide, tall, 640)
+    on = [x * scale + pad_x, y * scale + pad_y, (x + w) * scale + pad_x, (y + h) * scale + pad_y]
+    back = G.from_letterbox(on, wide, tall, 640)
     return det(spark, sf_dir).select(
-        "det_ord", left.cast("long").alias("crop_x"), top.cast("long").alias("crop_y"), side.cast("long").alias("side"),
-        F.round(x * scale + pad_x, 6).alias("boxed_x"), F.round(y * scale + pad_y, 6).alias("boxed_y"),
+        "det_ord", *[v.alias(k) for k, v in G.snapshot_crop(x, y, w, h, wide, tall).items()], F.round(on[0], 6).alias("boxed_x"), F.round(on[1], 6).alias("boxed_y"),
+        *[F.round(v, 6).alias(f"back_{k}") for k, v in zip(("x1", "y1", "x2", "y2"), back)],
     )
 
 
