@@ -359,13 +359,13 @@ def verified(pairs: DataFrame, texts: tuple[DataFrame, DataFrame], percent: int)
                 keep.append(100 * both >= percent * (len(s) + len(t) - both))
             yield batch.select(["a", "b"]).filter(pa.array(keep, pa.bool_()))
 
-    # the sets of those that are left are made again from their texts, rather than kept for all
+    # the sets of those that are left are made again from their texts, rather than kept for all; a repeated row gives its links again
     needed = pairs.select(F.col("a").alias("class")).union(pairs.select("b")).distinct()
     docs, number = texts
     asked = number.join(needed, "class")
     own = docs.select("doc_id", F.xxhash64("text").alias("text_key"), "text")
     own = own.join(asked, (F.col("doc_id") == F.col("least")) & (F.col("text_key") == F.col("key"))).select("class", "text")
-    members = materialize(map_arrow(own, "text", "class long, members binary", _sets).dropDuplicates(["class"]), "sets")
+    members = materialize(map_arrow(own, "text", "class long, members binary", _sets), "sets")
     both = pairs.join(members.select(F.col("class").alias("a"), F.col("members").alias("xs")), "a")
     both = both.join(members.select(F.col("class").alias("b"), F.col("members").alias("ys")), "b")
     return materialize(both.select("a", "b", "xs", "ys").mapInArrow(exact, "a long, b long"), "links")
