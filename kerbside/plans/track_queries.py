@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from kerbside.operators import direction, stitch, tracks
+from kerbside.plans.stitch_sql import STITCHED, TRANSITS
 from kerbside.sources import detections as D
 
 QUERIES: dict = {}
@@ -150,18 +151,18 @@ def segments(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("channel_id", "track_id", "seg_id", "first_frame", "last_frame", "last_cx", "last_cy", "roi_at_end", "n_rows")
 
 
-@query()
+@query(f"{STITCHED} SELECT channel_id, prev_seg, seg_id, round(distance, 6) AS distance, gap_frames FROM fates WHERE prev_seg IS NOT NULL")
 def stitch_edges(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = stitch.stitch(tracks.segments(roi(spark, sf_dir, piece=30)))
     return found.where("prev_seg is not null").select("channel_id", "prev_seg", "seg_id", F.round("distance", 6).alias("distance"), "gap_frames")
 
 
-@query()
+@query(f"{STITCHED} SELECT f.channel_id, f.seg_id, r.lineage_id, f.lost_frame, f.final_frame FROM fates f JOIN roots r ON r.channel_id = f.channel_id AND r.seg_id = f.seg_id")
 def lineage(spark: SparkSession, sf_dir: str) -> DataFrame:
     return stitch.stitch(tracks.segments(roi(spark, sf_dir, piece=30))).select("channel_id", "seg_id", "lineage_id", "lost_frame", "final_frame")
 
 
-@query()
+@query(f"{TRANSITS} SELECT * FROM transits")
 def transit_alerts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return direction.alerts(det(spark, sf_dir, piece=30), D.arms(spark), D.ROI).where("type = 'transit'")
 
@@ -205,7 +206,12 @@ def path_arms(spark: SparkSession, sf_dir: str) -> DataFrame:
     return direction.arms_of_paths(paths, [(a, float(x1), float(y1), float(x2), float(y2)) for a, x1, y1, x2, y2, _ in D.ARMS])
 
 
-@query()
+@query(
+    f"{TRANSITS}, photos AS (SELECT channel_id, count(DISTINCT track_id) AS photos FROM det WHERE {IN_ROI} GROUP BY ALL),"
+    " ways AS (SELECT channel_id, count(*) FILTER (method = 'confirmed') AS confirmed, count(*) FILTER (method = 'inferred') AS inferred FROM transits GROUP BY ALL)"
+    " SELECT f.channel_id, count(f.prev_seg) AS merges, coalesce(any_value(photos), 0) AS photos, coalesce(any_value(confirmed), 0) AS confirmed, coalesce(any_value(inferred), 0) AS inferred"
+    " FROM fates f LEFT JOIN photos USING (channel_id) LEFT JOIN ways USING (channel_id) GROUP BY f.channel_id"
+)
 def transit_report(spark: SparkSession, sf_dir: str) -> DataFrame:
     """For each channel, its confirmed and inferred transits, the tracks with a photo, and the merges of the stitcher."""
     rows = det(spark, sf_dir, piece=30)

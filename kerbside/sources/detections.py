@@ -66,9 +66,9 @@ FRAGMENTED_SQL = """numbered AS (
     SELECT *, row_number() OVER (PARTITION BY user_id ORDER BY ts, event_id) AS n FROM events),
 det AS (
     SELECT user_id // 150 * 3 + user_id % 3 AS channel_id, n + user_id % 40 + (n - 1) // 30 * (1 + user_id % 90) AS frame,
-        user_id * 10 + (n - 1) // 30 AS track_id,
+        (n + user_id % 40 + (n - 1) // 30 * (1 + user_id % 90)) * 33 AS pts_ms, user_id * 10 + (n - 1) // 30 AS track_id, event_type AS class_name,
         200 + (user_id * 53) % 1500 + (CASE WHEN user_id % 10 = 0 THEN 0 ELSE (user_id * 7) % 31 - 15 END) * (n - 1) AS cx,
-        150 + (user_id * 29) % 700 + (CASE WHEN user_id % 10 = 0 THEN 0 ELSE (user_id * 11) % 23 - 11 END) * (n - 1) AS cy
+        150 + (user_id * 29) % 700 + (CASE WHEN user_id % 10 = 0 THEN 0 ELSE (user_id * 11) % 23 - 11 END) * (n - 1) AS cy, event_id AS det_ord
     FROM numbered)"""
 
 ARMS_SQL = "arms(arm_id, arm_ord, x1, y1, x2, y2, junction_side) AS (VALUES " + ", ".join(
