@@ -392,7 +392,8 @@ def linked(docs: DataFrame, percent: int = PERCENT) -> DataFrame:
     number = numbered(some)
     first = number.select(F.col("low").alias("l"), F.col("high").alias("h"), "least", "key", "class")
     same = (F.col("low") == F.col("l")) & (F.col("high") == F.col("h")) & (F.col("doc_id") == F.col("least")) & (F.col("text_key") == F.col("key"))
-    own = some.join(first, same).dropDuplicates(["class"])
+    # by the keys of the join, so that nothing is dealt out again
+    own = some.join(first, same).dropDuplicates(["low", "high", "doc_id", "text_key"])
     own = materialize(own.select("class", "n", "keys", "sparse", F.col("least_hashes").alias("least"), "weight", "bitmap"), "sets")
     classes, keys = own.select("class", "n", "bitmap"), own.select("class", "n", "sparse", "keys")
     texts = (docs, number.select("class", "least", "key"))
