@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Iterator
 
+import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
@@ -43,24 +44,64 @@ def breaker(rows: DataFrame, key: str, at: str, seconds: int, most: int) -> Data
     return rows.withColumn("_t", micros).withColumn("tripped", F.count(F.lit(1)).over(recent) >= most).drop("_t")
 
 
-def rate_cap(frames: DataFrame, key: str, at: str, fps: float) -> DataFrame:
-    """Frames of which each comes late enough after the last one kept. That depends on what was kept, not on the row
-    before: keys are sorted side by side, and a task walks through its rows once and holds one number."""
-    least = 1000.0 / fps - 1
-    schema = frames.schema
+#: Milliseconds of a key that one task thins out at a time.
+SLICE_MS = 60_000
+
+
+def _kept(times: np.ndarray, first: int, least: float) -> np.ndarray:
+    """Places that are kept if ``first`` is: each the first one late enough after the one before."""
+    out, at = [], first
+    while at < len(times):
+        out.append(at)
+        at = max(at + 1, int(np.searchsorted(times, times[at] + least, "left")))
+    return np.array(out, int)
 
-    def walk(parts: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        now, last = object(), 0.0
+
+def rate_cap(frames: DataFrame, keys: str | list[str], at: str, fps: float, slice_ms: int = SLICE_MS) -> DataFrame:
+    """Frames of which each comes late enough after the last one kept. That depends on what was kept, not on the row before.
+
+    A key (a channel, or a channel and its epoch) is cut into slices of time. Whatever was kept before a slice, its first kept
+    frame is one of the few at its start; so each slice says what it would keep last after each of these, a short walk over the
+    slices of a key tells which of them it is, and all slices are then thinned out side by side."""
+    keys = [keys] if isinstance(keys, str) else keys
+    least = 1000.0 / fps - 1
+    types = {f.name: f.dataType.simpleString() for f in frames.schema.fields}
+    own = ", ".join(f"`{k}` {types[k]}" for k in keys)
+    names, schema = frames.columns, frames.schema
+    rows = frames.withColumn("_slice", F.floor(F.col(at) / slice_ms))
+
+    def ends(part: pd.DataFrame) -> pd.DataFrame:
+        times = np.sort(part[at].to_numpy(float))
+        firsts = range(min(int(np.searchsorted(times, times[0] + least, "left")) + 1, len(times)))
+        lasts = [float(times[_kept(times, k, least)[-1]]) for k in firsts]
+        return pd.DataFrame([{**{k: part[k].iloc[0] for k in keys}, "_slice": part["_slice"].iloc[0], "_first": [float(times[k]) for k in firsts], "_last": lasts}])
+
+    def entries(parts: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        now, last = object(), -np.inf
         for part in parts:
-            keep = []
-            for k, t in zip(part[key], part[at]):
-                fresh = k != now or t - last >= least
-                if fresh:
-                    now, last = k, t
-                keep.append(fresh)
-            yield part[keep]
-
-    return frames.repartition(key).sortWithinPartitions(key, at).mapInPandas(walk, schema)
+            held = []
+            for key, firsts, lasts in zip(part[keys].itertuples(index=False, name=None), part["_first"], part["_last"]):
+                key = tuple(None if pd.isna(v) else v for v in key)
+                if key != now:
+                    now, last = key, -np.inf
+                held.append(last)
+                place = int(np.searchsorted(np.asarray(firsts), last + least, "left"))
+                last = lasts[place] if place < len(lasts) else last
+            yield part[[*keys, "_slice"]].assign(_before=held)
+
+    def thin(part: pd.DataFrame) -> pd.DataFrame:
+        part = part.sort_values(at, kind="stable")
+        times = part[at].to_numpy(float)
+        first = int(np.searchsorted(times, part["_before"].iloc[0] + least, "left"))
+        return part.iloc[_kept(times, first, least)][names]
+
+    found = rows.groupBy(*keys, "_slice").applyInPandas(ends, f"{own}, _slice long, _first array<double>, _last array<double>")
+    walked = found.repartition(*keys).sortWithinPartitions(*keys, "_slice").mapInPandas(entries, f"{own}, _slice long, _before double")
+    same = F.col("_slice") == F.col("_s")
+    for k in keys:
+        same = same & F.col(k).eqNullSafe(F.col(f"_k_{k}"))
+    met = rows.join(walked.select(F.col("_slice").alias("_s"), "_before", *[F.col(k).alias(f"_k_{k}") for k in keys]), same)
+    return met.select(*frames.columns, "_slice", "_before").groupBy(*keys, "_slice").applyInPandas(thin, schema)
 
 
 def idle(frames: DataFrame, after: int = 30, interval: int = 15) -> DataFrame:
