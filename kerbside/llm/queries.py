@@ -69,7 +69,7 @@ def op6_merkle_audit(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def op7_url_differencing(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = extract.extract(table(spark, sf_dir, "pages"))
-    return found.select("page_id", "url", "text", F.length("text").cast("long").alias("n_chars"))
+    return found.select("page_id", "url", "text", F.length("text").cast("long").alias("n_chars"), "n_differenced", "n_marked")
 
 
 def op8_baseline_jpeg(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -65,7 +65,7 @@ def test_lines_beside_an_article_are_differenced():
 
 
 def plain_extract(rows):
-    """The same, one page at a time: neighbours by a sort of all pages, shared lines by the full table."""
+    """The same, one page at a time: NEAR keys on either side by a sort of all pages."""
     keyed = []
     for i, url, html in rows:
         bare = "" if url is None else url
@@ -73,18 +73,20 @@ def plain_extract(rows):
         path = ("/" + path if "://" in bare else bare).split("#")[0]
         keyed.append((host.lower(), path, (i is not None, i or 0), url or "", html or "", (i, url, html)))
     keyed.sort(key=lambda x: x[:5])
+    keys = sorted({x[:3] for x in keyed})
     out = []
-    for k, x in enumerate(keyed):
-        own = extract.lines(x[4])
-        sides = [next((y for y in keyed[k::-1] if y[:3] != x[:3]), None), next((y for y in keyed[k:] if y[:3] != x[:3]), None)]
-        sides = [y for y in sides if y and y[0] == x[0] and y[5][0] != x[5][0]]
+    for x in keyed:
+        k = keys.index(x[:3])
+        versions = lambda key: [y for y in keyed if y[:3] == key]
+        near = [versions(key)[-1] for key in reversed(keys[max(0, k - extract.NEAR) : k])] + [versions(key)[0] for key in keys[k + 1 : k + 1 + extract.NEAR]]
+        near = [y for y in near if y[0] == x[0] and y[5][0] != x[5][0]]
         common = lambda y: next((n for n, (p, q) in enumerate(zip(x[1], y[1])) if p != q), min(len(x[1]), len(y[1])))
-        if sides:
-            other = [t for t, _ in extract.lines(max(sides, key=common)[4])]
-            beside = [t for t, article in own if not article]
-            out.append((x[5][0], x[5][1], len(beside) - lcs(beside, other), [t for t, a in own if a]))
-        else:
-            out.append((x[5][0], x[5][1], sum(not a for _, a in own), [t for t, a in own if a]))
+        own = extract.marked(x[4])
+        left = [n for n, (_, article, chrome) in enumerate(own) if not article or chrome]
+        for y in sorted(near, key=lambda y: -common(y)):
+            gone = extract.shared([hash(own[n][0]) for n in left], [hash(t[0]) for t in extract.marked(y[4])])
+            left = [n for k, n in enumerate(left) if k not in gone]
+        out.append((str(x[5][0]), str(x[5][1]), "\n".join(t for n, (t, article, chrome) in enumerate(own) if not chrome and (article or n in left))))
     return out
 
 
@@ -106,9 +108,16 @@ def test_texts_agree_with_one_page_at_a_time_in_any_parts(spark):
         spark.conf.set("spark.sql.shuffle.partitions", before)
     assert len(got[1]) == len(rows) and sum("Menu" in t for _, _, t in got[1]) < 5
     assert got[4] == got[1] and got[23] == got[1] and got[90] == got[1]
-    count = lambda text: [sum(not x.startswith("A ") for x in text.split("\n") if x), [x for x in text.split("\n") if x.startswith("A ")]]
-    plain = sorted((str(i), str(u), n, a) for i, u, n, a in plain_extract(rows))
-    assert sorted((i, u, *count(t)) for i, u, t in got[1]) == plain
+    assert got[1] == sorted(plain_extract(rows))
+
+
+def test_each_means_counts_the_lines_it_took(spark):
+    """Menus that near pages share go by differencing, though markup names them; markup takes what is on one page alone."""
+    rows = [(i, f"http://h.example/{i:02d}", f"<nav><p>Home<p>News {i}</nav><article><p>Story {i}</article><div class=ad>Buy {i}</div><p>Rights") for i in range(12)]
+    got = {r.page_id: (r.text, r.n_differenced, r.n_marked) for r in extract.extract(pages(spark, rows)).collect()}
+    assert got == {i: (f"Story {i}", 2, 2) for i in range(12)}
+    lone = extract.extract(pages(spark, rows[:1])).first()
+    assert (lone.text, lone.n_differenced, lone.n_marked) == ("Story 0\nRights", 0, 3)
 
 
 def test_differencing_decides_beside_articles(spark):
