@@ -97,7 +97,8 @@ def keyword_class(label: Column, words: dict[str, tuple[str, ...]] = KEYWORDS) -
 
 
 def label_line(class_id: Column, cx: Column, cy: Column, w: Column, h: Column) -> Column:
-    return F.format_string("%d %.6f %.6f %.6f %.6f", class_id, cx, cy, w, h)
+    """Six places, rounded by the exact value of the double: ``format_string`` rounds its shortest decimals, which differ at halves."""
+    return F.concat_ws(" ", class_id.cast("string"), *[F.call_function("format_number", v.cast("double"), F.lit("0.000000")) for v in (cx, cy, w, h)])
 
 
 def parse_label_line(line: Column) -> Column:

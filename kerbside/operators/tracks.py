@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from kerbside.functions import geometry as G
+from kerbside.operators.ranges import running
 
 #: Entries, not frames, over which displacement is measured; pixels below which a vehicle is slow.
 ENTRIES, SLOW_PX = 30, 15.0
@@ -141,3 +142,11 @@ def jumps(det: DataFrame, pixels: float) -> DataFrame:
     """How often a track moves further than ``pixels`` from one row to the next."""
     far = G.distance(F.col("prev_cx").cast("double"), F.col("prev_cy").cast("double"), F.col("cx"), F.col("cy")) > pixels
     return steps(det).groupBy(*KEYS).agg(F.count_if(far).alias("n_jumps"))
+
+
+def progress(det: DataFrame, every: int = 100) -> DataFrame:
+    """At every so many frames of a channel: its boxes and tracks, and the frames and boxes so far, and boxes a frame."""
+    frames = det.groupBy("channel_id", "frame").agg(F.count(F.lit(1)).alias("n"), F.countDistinct("track_id").alias("tracks"))
+    so_far = running(frames, ["channel_id"], ["frame"], {"frames": F.lit(1).cast("long"), "total": F.col("n")})
+    mean = F.round(F.col("total") / F.col("frames"), 1)
+    return so_far.where(F.col("frames") % every == 0).select("channel_id", "frame", "frames", "n", "tracks", "total", mean.alias("mean"))

@@ -138,14 +138,10 @@ def session_watchdog(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 @query(
-    "SELECT user_id, event_id, count(*) OVER (PARTITION BY user_id ORDER BY ts RANGE BETWEEN INTERVAL 86399999999 MICROSECONDS PRECEDING AND CURRENT ROW) >= 3 AS tripped"
-    " FROM events WHERE event_type = 'purchase' OR event_type = (SELECT min(event_type) FROM events)"
+    "SELECT user_id, event_id, count(*) OVER (PARTITION BY user_id ORDER BY ts RANGE BETWEEN INTERVAL 86399999999 MICROSECONDS PRECEDING AND CURRENT ROW) >= 3 AS tripped FROM events"
 )
 def breaker_window(spark: SparkSession, sf_dir: str) -> DataFrame:
-    events = D.read_events(spark, sf_dir)
-    least = events.agg(F.min("event_type").alias("least"))
-    kept = events.join(F.broadcast(least)).where("event_type = 'purchase' or event_type = least")
-    return sequences.breaker(kept, "user_id", "ts", 86400, 3).select("user_id", "event_id", "tripped")
+    return sequences.breaker(D.read_events(spark, sf_dir), "user_id", "ts", 86400, 3).select("user_id", "event_id", "tripped")
 
 
 FRAMES = f"""WITH RECURSIVE {D.DET_SQL}, own AS (SELECT channel_id, frame, frame * 16 AS pts, row_number() OVER (PARTITION BY channel_id ORDER BY frame) AS n
@@ -163,20 +159,18 @@ def rate_cap(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 @query(
-    f"WITH {D.DET_SQL}, ends AS (SELECT channel_id, min(frame * 3) AS a, max(frame * 3) AS b FROM det GROUP BY ALL), seen AS (SELECT DISTINCT channel_id, frame * 3 AS frame FROM det WHERE track_id % 50 = 1),"
+    f"WITH {D.FRAGMENTED_SQL}, seen AS (SELECT DISTINCT track_id // 10 AS channel_id, frame FROM det), ends AS (SELECT channel_id, min(frame) AS a, max(frame) AS b FROM seen GROUP BY ALL),"
     " f AS (SELECT e.channel_id, r.frame, s.frame IS NULL AS empty FROM ends e, unnest(range(a, b + 1)) AS r(frame) LEFT JOIN seen s ON s.channel_id = e.channel_id AND s.frame = r.frame),"
     " g AS (SELECT *, sum(CASE WHEN empty THEN 0 ELSE 1 END) OVER (PARTITION BY channel_id ORDER BY frame ROWS UNBOUNDED PRECEDING) AS k FROM f),"
     " s AS (SELECT *, CASE WHEN empty THEN sum(CASE WHEN empty THEN 1 ELSE 0 END) OVER (PARTITION BY channel_id, k ORDER BY frame ROWS UNBOUNDED PRECEDING) ELSE 0 END AS streak FROM g)"
     " SELECT channel_id, frame, streak > 30 AS idle, CASE WHEN streak > 30 THEN 15 ELSE 1 END AS every FROM s"
 )
 def idle_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """All frames of each channel at three times the rate, those without a vehicle of a few being empty."""
-    rows = det(spark, sf_dir).withColumn("frame", F.col("frame") * 3)
-    ends = rows.groupBy("channel_id").agg(F.min("frame").alias("a"), F.max("frame").alias("b"))
-    frames = ends.select("channel_id", F.explode(F.sequence("a", "b")).alias("frame"))
-    seen = rows.where("track_id % 50 = 1").select("channel_id", "frame", F.lit(False).alias("empty")).distinct()
-    frames = frames.join(seen, ["channel_id", "frame"], "left").withColumn("empty", F.coalesce("empty", F.lit(True)))
-    return sequences.idle(frames).select("channel_id", "frame", "idle", "every")
+    """All frames of cameras that see one vehicle each, in fragments: the frames between these are empty."""
+    seen = det(spark, sf_dir, piece=30).select(F.expr("track_id div 10").alias("channel_id"), "frame", F.lit(False).alias("empty")).distinct()
+    ends = seen.groupBy("channel_id").agg(F.min("frame").alias("a"), F.max("frame").alias("b"))
+    frames = ends.select("channel_id", F.explode(F.sequence("a", "b")).alias("frame")).join(seen, ["channel_id", "frame"], "left")
+    return sequences.idle(frames.withColumn("empty", F.coalesce("empty", F.lit(True)))).select("channel_id", "frame", "idle", "every")
 
 
 @query(

@@ -245,16 +245,17 @@ def dup_components(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 @query(
-    "WITH a AS (SELECT event_type AS k, count(*) AS v FROM events WHERE value < 250 GROUP BY ALL), b AS (SELECT event_type AS k, count(*) AS v FROM events WHERE value >= 200 AND"
-    " event_type <> (SELECT min(event_type) FROM events) GROUP BY ALL) SELECT k AS site, coalesce(a.v, 0) AS old, coalesce(b.v, 0) AS new, coalesce(b.v, 0) - coalesce(a.v, 0) AS delta,"
+    "WITH a AS (SELECT source AS k, count(*) AS v FROM documents GROUP BY ALL), b AS (SELECT CASE WHEN l.doc_id IS NULL THEN d.lang || '/unlabelled' ELSE d.source END AS k, count(*) AS v"
+    " FROM documents d LEFT JOIN labels l USING (doc_id) GROUP BY ALL) SELECT k AS site, coalesce(a.v, 0) AS old, coalesce(b.v, 0) AS new, coalesce(b.v, 0) - coalesce(a.v, 0) AS delta,"
     " round((coalesce(b.v, 0) - coalesce(a.v, 0))::DOUBLE / greatest(coalesce(a.v, 0), 1) * 100, 1) AS pct FROM a FULL JOIN b USING (k)"
 )
 def manifest_diff(spark: SparkSession, sf_dir: str) -> DataFrame:
-    events = D.read_events(spark, sf_dir)
-    least = events.agg(F.min("event_type").alias("least"))
-    old = events.where("value < 250").groupBy(F.col("event_type").alias("site")).agg(F.count(F.lit(1)).alias("v"))
-    new = events.join(F.broadcast(least)).where("value >= 200 and event_type <> least").groupBy(F.col("event_type").alias("site"))
-    return curation.manifest_diff(old, new.agg(F.count(F.lit(1)).alias("v")), "site", "v")
+    """All documents by source, against labelled ones by source and the others by language."""
+    docs, labels = (table(spark, sf_dir, t) for t in ("documents", "labels"))
+    old = docs.groupBy(F.col("source").alias("site")).agg(F.count(F.lit(1)).alias("v"))
+    both = docs.select("doc_id", "source", "lang").join(labels.select("doc_id", F.lit(True).alias("labelled")), "doc_id", "left")
+    site = F.when(F.col("labelled").isNull(), F.concat("lang", F.lit("/unlabelled"))).otherwise(F.col("source"))
+    return curation.manifest_diff(old, both.groupBy(site.alias("site")).agg(F.count(F.lit(1)).alias("v")), "site", "v")
 
 
 @query(

@@ -47,14 +47,18 @@ def label_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     return files.label_counts(*[files.read_written_labels(spark, path, b) for b in ("accepted", "flagged")])
 
 
-@query(f"{NORMALISED} SELECT 'site' || channel_id AS site, 'f' || pic AS stem, round(sum(round(ncx, 6)), 5) AS cx, round(sum(round(nw, 6)), 5) AS w FROM b WHERE confidence >= 0.5 GROUP BY ALL")
+@query(
+    f"{NORMALISED} SELECT 'site' || channel_id AS site, 'f' || pic AS stem, CASE WHEN confidence >= 0.5 THEN 'accepted' ELSE 'flagged' END AS bin, count(*) AS boxes,"
+    " sum(CAST(printf('%.6f', ncx) AS DECIMAL(18, 6)))::DOUBLE AS cx, sum(CAST(printf('%.6f', nw) AS DECIMAL(18, 6)))::DOUBLE AS w FROM b GROUP BY ALL"
+)
 def label_values(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """What label texts keep of their boxes: six places."""
+    """What label texts keep of their boxes: six places, added up as decimals, so that no order of adding shows."""
     path = fresh_folder(spark, "labels")
-    kept = _normalised(spark, sf_dir).where("confidence >= 0.5").withColumn("bin", F.lit("accepted"))
-    files.write_labels(kept, path)
-    found = files.read_written_labels(spark, path, "accepted")
-    return found.groupBy("site", "stem").agg(F.round(F.sum("cx"), 5).alias("cx"), F.round(F.sum("w"), 5).alias("w"))
+    bin_ = F.when(F.col("confidence") >= 0.5, "accepted").otherwise("flagged")
+    files.write_labels(_normalised(spark, sf_dir).withColumn("bin", bin_), path)
+    sides = [files.read_written_labels(spark, path, b).withColumn("bin", F.lit(b)) for b in ("accepted", "flagged")]
+    total = lambda c: F.sum(F.col(c).cast("decimal(18,6)")).cast("double").alias(c)
+    return sides[0].unionByName(sides[1]).groupBy("site", "stem", "bin").agg(F.count(F.lit(1)).alias("boxes"), total("cx"), total("w"))
 
 
 @query(
@@ -80,15 +84,21 @@ def prediction_files(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 @query(
-    "WITH " + D.ARMS_SQL + " SELECT 'site' || s.range AS site_id, 4 AS corners, arm_id, CAST(arm_ord AS INT) AS arm_ord, x1::DOUBLE AS x1, y2::DOUBLE AS y2, junction_side FROM arms, range(3) s"
+    "WITH " + D.ARMS_SQL + " SELECT 's' || s_suppkey AS site_id, CAST(CASE WHEN s_suppkey % 7 = 0 THEN 2 ELSE 4 END AS INT) AS corners, arm_id, CAST(arm_ord AS INT) AS arm_ord, x1::DOUBLE + s_nationkey AS x1,"
+    " y2::DOUBLE AS y2, junction_side FROM arms, supplier WHERE s_suppkey % 7 <> 0"
 )
 def site_files(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Site documents written, listed, and read again: their regions and their arms in order."""
+    """A document for each supplier's site written, listed, and read again: the regions of sound ones and their arms in order."""
     folder = fresh_folder(spark, "sites")
-    lines = {arm: {"label": arm.title(), "start": [x1, y1], "end": [x2, y2], "junction_side": side} for arm, x1, y1, x2, y2, side in D.ARMS}
-    for k in range(3):
-        files.write_site(spark, folder, f"site{k}", D.ROI, lines)
-    listed, sites, arms = files.list_sites(spark, folder), files.read_sites(spark, folder), files.read_arms(spark, folder)
+    own = spark.read.parquet(f"{sf_dir}/supplier.parquet").select(F.concat(F.lit("s"), "s_suppkey").alias("site_id"), "s_suppkey", "s_nationkey")
+    corners = F.array(*[F.array(F.lit(float(x)), F.lit(float(y))) for x, y in D.ROI])
+    own = own.withColumn("roi", F.when(F.col("s_suppkey") % 7 == 0, F.slice(corners, 1, 2)).otherwise(corners))
+    shift = F.col("s_nationkey").cast("double")
+    line = lambda arm, x1, y1, x2, y2, side: F.struct(
+        F.lit(arm.title()).alias("label"), F.array(x1 + shift, F.lit(float(y1))).alias("start"), F.array(x2 + shift, F.lit(float(y2))).alias("end"), F.lit(side).alias("junction_side"))
+    lines = F.create_map(*[x for a in D.ARMS for x in (F.lit(a[0]), line(*a))])
+    files.write_sites(own.select("site_id", "roi", lines.alias("lines")), folder)
+    listed, sites, arms = (f(spark, folder, files.WRITTEN) for f in (files.list_sites, files.read_sites, files.read_arms))
     bad = files.invalid_sites(sites, arms).select("site_id").distinct()
     sound = sites.join(listed, "site_id").join(bad, "site_id", "left_anti").select("site_id", F.size("roi").alias("corners"))
     return arms.join(sound, "site_id").select("site_id", "corners", "arm_id", "arm_ord", "x1", "y2", "junction_side")
@@ -124,13 +134,10 @@ def class_name_file(spark: SparkSession, sf_dir: str) -> DataFrame:
     return files.read_class_names(spark, f"{path}/*.txt")
 
 
-@query("SELECT page_id, md5(coalesce(html, '')) AS digest FROM pages WHERE page_id % 25 = 0")
+@query("SELECT page_id // 25 AS part, md5(string_agg(coalesce(html, '') || chr(10), '' ORDER BY page_id)) AS digest FROM pages GROUP BY ALL")
 def file_digests(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Digests of files by their bytes, as caches key them: every twenty-fifth page is a file here."""
+    """Digests of files by their bytes, as caches key them: all pages, 25 in a file, in order."""
     path = fresh_folder(spark, "files")
-    pages = spark.read.parquet(f"{sf_dir}/pages.parquet").where("page_id % 25 = 0")
-    pages.select("page_id", F.coalesce("html", F.lit("")).alias("value")).write.option("lineSep", "\x00").partitionBy("page_id").text(path)
-    found = spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(path).select("path", "content")
-    page = F.regexp_extract("path", r"page_id=(\d+)", 1).cast("long")
-    # the writer ends each text with a mark
-    return found.select(page.alias("page_id"), F.md5(F.expr("substring(content, 1, length(content) - 1)")).alias("digest"))
+    pages = spark.read.parquet(f"{sf_dir}/pages.parquet").select(F.expr("page_id div 25").alias("part"), "page_id", F.coalesce("html", F.lit("")).alias("value"))
+    pages.repartition("part").sortWithinPartitions("part", "page_id").drop("page_id").write.partitionBy("part").text(path)
+    return files.digests(spark, path).select(F.regexp_extract("path", r"part=(\d+)", 1).cast("long").alias("part"), "digest")

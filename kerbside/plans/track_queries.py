@@ -200,8 +200,10 @@ ends AS (
 )
 def path_arms(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Where each track seems to come from and to go to, by the headings of its ends."""
+    recent = Window.partitionBy("channel_id", "track_id").orderBy(F.desc("frame"), F.desc("det_ord"))
+    rows = det(spark, sf_dir).withColumn("back", F.row_number().over(recent)).where(F.col("back") <= direction.HISTORY)
     point = F.struct("frame", "det_ord", F.col("cx").cast("double").alias("x"), F.col("cy").cast("double").alias("y"))
-    paths = det(spark, sf_dir).groupBy("channel_id", "track_id").agg(F.sort_array(F.collect_list(point)).alias("path")).where(F.size("path") >= 4)
+    paths = rows.groupBy("channel_id", "track_id").agg(F.sort_array(F.collect_list(point)).alias("path")).where(F.size("path") >= 4)
     paths = paths.withColumn("path", F.transform("path", lambda p: F.struct(p["x"].alias("x"), p["y"].alias("y"))))
     return direction.arms_of_paths(paths, [(a, float(x1), float(y1), float(x2), float(y2)) for a, x1, y1, x2, y2, _ in D.ARMS])
 
@@ -287,12 +289,13 @@ def detection_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 @query(
-    f"WITH {D.DET_SQL} SELECT channel_id, frame, count(*) AS n, count(DISTINCT track_id) AS tracks FROM det WHERE frame % 100 = 0 GROUP BY ALL"
+    f"WITH {D.DET_SQL}, f AS (SELECT channel_id, frame, count(*) AS n, count(DISTINCT track_id) AS tracks FROM det GROUP BY ALL), r AS (SELECT *, row_number() OVER w AS frames,"
+    " sum(n) OVER w AS total FROM f WINDOW w AS (PARTITION BY channel_id ORDER BY frame ROWS UNBOUNDED PRECEDING))"
+    " SELECT channel_id, frame, frames, n, tracks, CAST(total AS BIGINT) AS total, round(total / frames, 1) AS mean FROM r WHERE frames % 25 = 0"
 )
 def progress_report(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """A line of figures at every hundredth frame."""
-    every = det(spark, sf_dir).where("frame % 100 = 0")
-    return every.groupBy("channel_id", "frame").agg(F.count(F.lit(1)).alias("n"), F.countDistinct("track_id").alias("tracks"))
+    """At every 25th frame of a channel: its boxes and tracks, and the boxes seen so far, in all and a frame."""
+    return tracks.progress(det(spark, sf_dir), 25)
 
 
 @query(

@@ -10,16 +10,20 @@ from kerbside.functions import urls
 from kerbside.operators import curation
 
 
-def read_sites(spark: SparkSession, folder: str) -> DataFrame:
+#: Where ``write_sites`` puts documents: a folder for each site.
+WRITTEN = "site=*/*.txt"
+
+
+def read_sites(spark: SparkSession, folder: str, pattern: str = "*.json") -> DataFrame:
     """``site_id, roi`` of every site document in a folder."""
-    docs = spark.read.schema(schemas.SITE_DOCUMENT).json(f"{folder}/*.json", multiLine=True)
+    docs = spark.read.schema(schemas.SITE_DOCUMENT).json(f"{folder}/{pattern}", multiLine=True)
     point = lambda p: F.struct(p[0].alias("x"), p[1].alias("y"))
     return docs.select("site_id", F.transform("roi_polygon", point).alias("roi"))
 
 
-def read_arms(spark: SparkSession, folder: str) -> DataFrame:
+def read_arms(spark: SparkSession, folder: str, pattern: str = "*.json") -> DataFrame:
     """The arms of every site document, in their order there."""
-    docs = spark.read.schema(schemas.SITE_DOCUMENT).json(f"{folder}/*.json", multiLine=True)
+    docs = spark.read.schema(schemas.SITE_DOCUMENT).json(f"{folder}/{pattern}", multiLine=True)
     rows = docs.select("site_id", F.posexplode(F.map_entries("entry_exit_lines")).alias("arm_ord", "e"))
     line = F.col("e.value")
     return rows.select(
@@ -38,9 +42,15 @@ def site_path(folder: str, site_id: str) -> str:
     return f"{folder}/{site_id}.json"
 
 
-def list_sites(spark: SparkSession, folder: str) -> DataFrame:
-    files = spark.read.format("binaryFile").load(f"{folder}/*.json").select("path")
-    return files.select(urls.stem(F.col("path")).alias("site_id")).orderBy("site_id")
+def list_sites(spark: SparkSession, folder: str, pattern: str = "*.json") -> DataFrame:
+    files = spark.read.format("binaryFile").load(f"{folder}/{pattern}").select("path")
+    named = F.regexp_extract("path", r"/site=([^/]+)/", 1)
+    return files.select(F.when(named != "", named).otherwise(urls.stem(F.col("path"))).alias("site_id")).orderBy("site_id")
+
+
+def digests(spark: SparkSession, folder: str) -> DataFrame:
+    """``path, digest`` of every file below a folder, by its bytes."""
+    return spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(folder).select("path", F.md5("content").alias("digest"))
 
 
 def invalid_sites(sites: DataFrame, arms: DataFrame) -> DataFrame:
@@ -139,6 +149,13 @@ def write_site(spark: SparkSession, folder: str, site_id: str, polygon: list[tup
     return path
 
 
+def write_sites(sites: DataFrame, folder: str) -> None:
+    """``site_id, roi, lines`` rows as documents, each in a folder of its site; ids that could leave it are refused by the reader of one."""
+    sound = sites.where(F.col("site_id").rlike(urls.SITE_ID))
+    body = F.to_json(F.struct("site_id", F.col("roi").alias("roi_polygon"), F.col("lines").alias("entry_exit_lines")))
+    sound.select(F.col("site_id").alias("site"), body.alias("value")).write.partitionBy("site").text(folder)
+
+
 def write_split(frames: DataFrame, path: str) -> None:
     """The frames of a split, in folders by split and site."""
     frames.write.partitionBy("split", "site").parquet(path)

@@ -65,3 +65,15 @@ def test_box_round_trip_and_agreement_ties(spark):
 def test_histogram_bounds(spark):
     rows = spark.createDataFrame([(-1.0,), (0.0,), (50.0,), (490.0,), (491.0,)], "v double")
     assert [r.n for r in curation.histogram(rows, "v").orderBy("bucket").collect()] == [1, 1, 0, 0, 0, 1]
+
+
+def test_label_values_round_as_six_places_of_the_exact_value(spark):
+    import random
+
+    rng = random.Random(1)
+    values = [3 / 1920, 0.0000005, 0.1234565, 0.9999995, 1.0, 0.0, *[k / 1920 for k in range(0, 1920, 3)], *[rng.random() for _ in range(500)]]
+    df = spark.createDataFrame([(v,) for v in values], "v double")
+    from kerbside.operators import curation
+
+    got = [r.line for r in df.select(curation.label_line(F.lit(2), *[F.col("v")] * 4).alias("line")).collect()]
+    assert got == ["2 " + " ".join([f"{v:.6f}"] * 4) for v in values]
