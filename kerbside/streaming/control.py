@@ -49,18 +49,22 @@ class PhaseProcessor(StatefulProcessor):
         self.waiting = handle.getMapState("waiting", "pts_ms long, kind int, number long", "action string")
 
     def handleInputRows(self, key: tuple, rows: Iterator[pd.DataFrame], timerValues) -> Iterator[pd.DataFrame]:
-        last = None
+        first = None
         for part in rows:
             for at, kind, number, action in zip(part["pts_ms"].tolist(), part["kind"].tolist(), part["number"].tolist(), part["action"].tolist()):
                 self.waiting.updateValue((at, kind, number), (action,))
-                last = at if last is None else max(last, at)
-        if last is not None:
-            self.handle.registerTimer(last + FIRST_MS)
+                first = at if first is None else min(first, at)
+        if first is not None:
+            self.handle.registerTimer(first + FIRST_MS)
         return iter(())
 
     def handleExpiredTimer(self, key: tuple, timerValues, expiredTimerInfo) -> Iterator[pd.DataFrame]:
         until = timerValues.getCurrentWatermarkInMs()
-        due = sorted((k, v[0]) for k, v in self.waiting.iterator() if k[0] + FIRST_MS <= until)
+        held = [(k, v[0]) for k, v in self.waiting.iterator()]
+        due = sorted((x for x in held if x[0][0] + FIRST_MS <= until), key=lambda x: x[0])
+        later = [k[0] for k, _ in held if k[0] + FIRST_MS > until]
+        if later:
+            self.handle.registerTimer(min(later) + FIRST_MS)
         channel, found = int(key[0]), []
         machine = Phases(*self.machine.get()) if self.machine.exists() else Phases()
         for (at, kind, number), action in due:

@@ -7,10 +7,10 @@ import os
 import duckdb
 import pytest
 
-from kerbside.plans import alert_queries, curation_queries, file_queries, live_queries, scalar_queries, service_queries, track_queries
+from kerbside.plans import alert_queries, api_queries, curation_queries, file_queries, live_queries, scalar_queries, service_queries, track_queries
 
 FOLDER = "/root/testdata/sf0.001"
-MODULES = (track_queries, alert_queries, curation_queries, scalar_queries, service_queries, file_queries, live_queries)
+MODULES = (track_queries, alert_queries, curation_queries, scalar_queries, service_queries, file_queries, live_queries, api_queries)
 QUERIES = {k: f for m in MODULES for k, f in m.QUERIES.items()}
 ORACLES = {k: f for m in MODULES for k, f in m.ORACLES.items()}
 
