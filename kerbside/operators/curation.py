@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from kerbside.functions import geometry as G
 from kerbside.operators import graph
+from kerbside.storage import materialize
 
 BOUNDS = (0.0, 50.0, 100.0, 200.0, 300.0, 400.0, 490.0)
 TRAIN, VALID = 0.7, 0.15
@@ -61,15 +62,32 @@ def sample(rows: DataFrame, by: str, name: str, n: int, seed: str, forced: Colum
     return ranked(rows, by, name, [*first, md5_order(seed, name)]).where(F.col("rank") <= n).drop("rank", "total")
 
 
-def near_hashes(rows: DataFrame, by: str, name: str, hash_: str, near: int = NEAR_BITS) -> DataFrame:
+#: Rows of a band that meet as they are; those of a larger one meet by a second band of the other bits as well.
+CROWDED = 1000
+
+
+def _bands(rest: Column, bits: int, bands: int) -> Column:
+    """``k, v`` of each of so many bands of the lowest ``bits`` bits."""
+    width = -(-bits // bands)
+    return F.array(*[F.struct(F.lit(k).alias("k"), F.shiftrightunsigned(rest, k * width).bitwiseAND((1 << width) - 1).alias("v")) for k in range(bands)])
+
+
+def near_hashes(rows: DataFrame, by: str, name: str, hash_: str, near: int = NEAR_BITS, crowded: int = CROWDED) -> DataFrame:
     """Pairs of the same group whose hashes differ in ``near`` bits at most. Of ``near`` + 1 bands of the hash one must
-    be equal, so that pairs are looked for in bands alone."""
+    be equal, so that pairs are looked for in bands alone. Of the bits beside an equal band, ``near`` + 1 bands have an equal one again:
+    rows of bands with more than ``crowded`` are dealt out once more by these, and no pair is lost."""
     bands = near + 1
     width = -(-HASH_BITS // bands)
-    cut = F.array(*[F.struct(F.lit(k).alias("k"), F.shiftrightunsigned(hash_, k * width).bitwiseAND((1 << width) - 1).alias("v")) for k in range(bands)])
-    dealt = rows.select(by, name, hash_, F.inline(cut))
+    dealt = rows.select(by, name, hash_, F.inline(_bands(F.col(hash_), HASH_BITS, bands)))
+    full = dealt.groupBy(F.col(by).alias("_by"), F.col("k").alias("_k"), F.col("v").alias("_v")).agg(F.count(F.lit(1)).alias("_n")).where(F.col("_n") > crowded)
+    met = dealt.join(full, F.col(by).eqNullSafe(F.col("_by")) & (F.col("k") == F.col("_k")) & (F.col("v") == F.col("_v")), "left")
+    # the bits below the band, and those above it moved down onto them
+    low = F.expr(f"`{hash_}` & (shiftleft(1L, k * {width}) - 1)")
+    high = F.expr(f"IF((k + 1) * {width} >= {HASH_BITS}, 0L, shiftleft(shiftrightunsigned(`{hash_}`, (k + 1) * {width}), k * {width}))")
+    again = F.when(F.col("_n").isNull(), F.array(F.struct(F.lit(-1).alias("k"), F.lit(0).cast("long").alias("v")))).otherwise(_bands(low.bitwiseOR(high), HASH_BITS - width, bands))
+    dealt = met.select(by, name, hash_, "k", "v", F.explode(again).alias("second"))
     a, b = (dealt.select([F.col(c).alias(f"{c}_{s}") for c in dealt.columns]) for s in "ab")
-    same = (F.col(f"{by}_a") == F.col(f"{by}_b")) & (F.col("k_a") == F.col("k_b")) & (F.col("v_a") == F.col("v_b"))
+    same = (F.col(f"{by}_a") == F.col(f"{by}_b")) & (F.col("k_a") == F.col("k_b")) & (F.col("v_a") == F.col("v_b")) & (F.col("second_a") == F.col("second_b"))
     found = a.join(b, same & (F.col(f"{name}_a") < F.col(f"{name}_b")) & (G.hamming(F.col(f"{hash_}_a"), F.col(f"{hash_}_b")) <= near))
     return found.select(F.col(f"{by}_a").alias(by), F.col(f"{name}_a").alias("a"), F.col(f"{name}_b").alias("b")).distinct()
 
@@ -81,6 +99,15 @@ def duplicate_groups(pairs: DataFrame, by: str) -> DataFrame:
     return found.select(F.col("node.g").alias(by), F.col("node.x").alias("node"), F.col("component.x").alias("root"))
 
 
+def duplicates(rows: DataFrame, by: str, name: str, hash_: str, near: int = NEAR_BITS) -> DataFrame:
+    """``by, node, root`` of all rows that have a duplicate in their group: equal hashes are told from their smallest row, and only those meet."""
+    first = materialize(rows.groupBy(by, hash_).agg(F.min(name).alias("a"), F.count(F.lit(1)).alias("n")), "hashes")
+    pairs = near_hashes(first.withColumnRenamed("a", name), by, name, hash_, near)
+    copies = first.where("n > 1").select(F.col(by).alias("_by"), F.col(hash_).alias("_hash"), "a")
+    same = rows.join(copies, (F.col(by) == F.col("_by")) & (F.col(hash_) == F.col("_hash")) & (F.col(name) != F.col("a")))
+    return duplicate_groups(pairs.unionByName(same.select(by, "a", F.col(name).alias("b"))), by)
+
+
 def manifest_diff(old: DataFrame, new: DataFrame, key: str, value: str) -> DataFrame:
     """Old and new figures side by side, what is missing as 0, with the change in percent of the old."""
     a, b = old.select(key, F.col(value).alias("old")), new.select(key, F.col(value).alias("new"))

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from kerbside.functions import geometry as G
 from kerbside.functions import urls
-from kerbside.operators import boxes, curation
+from kerbside.operators import boxes, curation, vectors
 from kerbside.plans.track_queries import det
 from kerbside.sources import detections as D
 
@@ -241,7 +241,7 @@ def hamming_pairs(spark: SparkSession, sf_dir: str) -> DataFrame:
     " SELECT label, node, min(root) AS root FROM w GROUP BY ALL"
 )
 def dup_components(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return curation.duplicate_groups(hamming_pairs(spark, sf_dir), "label")
+    return curation.duplicates(hashes(spark, sf_dir), "label", "vec_id", "phash")
 
 
 @query(
@@ -292,15 +292,10 @@ def label_precedence(spark: SparkSession, sf_dir: str) -> DataFrame:
     " SELECT query_id, vec_id, CAST(k AS INT) AS k, round(d, 6) AS distance FROM r WHERE k <= 5"
 )
 def cosine_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The stated query set, every fiftieth vector, against all rows; a partial top list goes into each shuffle."""
-    from pyspark.sql import Window
-
-    rows = table(spark, sf_dir, "embeddings")
-    asked = rows.where("vec_id % 50 = 0").select(F.col("vec_id").alias("query_id"), F.col("embedding").alias("q"))
-    pairs = rows.join(asked, F.col("vec_id") != F.col("query_id"))
-    near = pairs.select("query_id", "vec_id", G.cosine(F.col("q"), F.col("embedding")).alias("d"))
-    order = Window.partitionBy("query_id").orderBy(F.round("d", 9), "vec_id")
-    return near.withColumn("k", F.row_number().over(order)).where("k <= 5").select("query_id", "vec_id", "k", F.round("d", 6).alias("distance"))
+    """The stated query set, every fiftieth vector, against all rows, block by block."""
+    rows = table(spark, sf_dir, "embeddings").select("vec_id", F.col("embedding").alias("vec"))
+    asked = rows.where("vec_id % 50 = 0").withColumnRenamed("vec_id", "query_id")
+    return vectors.nearest(rows, asked, 5).select("query_id", "vec_id", "k", F.round("d", 6).alias("distance"))
 
 
 @query(
