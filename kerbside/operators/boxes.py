@@ -9,6 +9,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from kerbside.functions import geometry as G
+from kerbside.storage import materialize
 
 
 def frame_pairs(left: DataFrame, right: DataFrame, keys: list[str]) -> DataFrame:
@@ -24,6 +25,20 @@ def overlap(pairs: DataFrame, eps: float = 1e-9, floor: bool = True) -> DataFram
     return pairs.withColumn("iou", G.iou(*corners, eps, floor))
 
 
+def pair_figures(own: DataFrame, by: str, keys: list[str]) -> DataFrame:
+    """By ``by`` (one of the keys of a frame): the pairs of boxes of the same frame, those that overlap by half, and the largest overlap.
+
+    Pairs are counted, not made, but for those that overlap by half; all are made only where ``by`` has none of these."""
+    sizes = own.groupBy(*keys).agg(F.count(F.lit(1)).alias("b"))
+    pairs = sizes.groupBy(by).agg(F.sum(F.expr("b * (b - 1) div 2")).alias("pairs")).where("pairs > 0")
+    near = near_pairs(own, own, keys).where("box_a < box_b").groupBy(by).agg(F.count(F.lit(1)).alias("near"), F.max("iou").alias("most"))
+    near = materialize(near, "near")
+    rest = own.join(near.select(by), by, "left_anti")
+    far = overlap(frame_pairs(rest, rest, keys).where("box_a < box_b")).groupBy(by).agg(F.max("iou").alias("less"))
+    met = pairs.join(near, by, "left").join(far, by, "left")
+    return met.select(by, "pairs", F.coalesce("near", F.lit(0).cast("long")).alias("near"), F.coalesce("most", "less").alias("most"))
+
+
 #: Pixels of a side of the cells that boxes are dealt to.
 CELL = 64
 

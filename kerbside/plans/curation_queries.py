@@ -53,11 +53,8 @@ IOU = f"({WIDE})::DOUBLE / greatest({AREAS} - ({WIDE}), 1e-9)"
     " SELECT channel_id, count(*) AS pairs, count(*) FILTER (iou >= 0.5) AS near, round(max(iou), 6) AS most FROM p GROUP BY ALL"
 )
 def iou_matrix(spark: SparkSession, sf_dir: str) -> DataFrame:
-    own = scenes(spark, sf_dir)
-    pairs = boxes.overlap(boxes.frame_pairs(own, own, ["channel_id", "pic"]).where("box_a < box_b"))
-    return pairs.groupBy("channel_id").agg(
-        F.count(F.lit(1)).alias("pairs"), F.count_if(F.col("iou") >= 0.5).alias("near"), F.round(F.max("iou"), 6).alias("most")
-    )
+    found = boxes.pair_figures(scenes(spark, sf_dir), "channel_id", ["channel_id", "pic"])
+    return found.withColumn("most", F.round("most", 6))
 
 
 @query(

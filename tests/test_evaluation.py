@@ -122,3 +122,15 @@ def test_heat_equals_painting(spark):
         last[r[0], r[1]] = r
     assert got == dict(want) and got
     assert heat.levels(heat.motion(df.limit(0))).count() == 0
+
+
+def test_pair_figures_equal_all_pairs(spark):
+    _, truth = scene(7, 80)
+    rows = [(*r[:4], *map(float, r[4:8])) for r in truth] + [(5, 1, "car", 900, 0.0, 0.0, 10.0, 10.0), (5, 1, "car", 901, 8.0, 0.0, 18.0, 10.0), (6, 1, "car", 902, 0.0, 0.0, 1.0, 1.0)]
+    got = {r.channel_id: (r.pairs, r.near, round(r.most, 9)) for r in boxes.pair_figures(spark.createDataFrame(rows, BOXES), "channel_id", ["channel_id", "pic"]).collect()}
+    want = {}
+    for c in {r[0] for r in rows}:
+        all_ = [iou(a[4:], b[4:]) for a in rows for b in rows if a[:2] == b[:2] == (c, a[1]) and a[3] < b[3]]
+        if all_:
+            want[c] = (len(all_), sum(x >= 0.5 for x in all_), round(max(all_), 9))
+    assert got == want and got[5][1] == 0 and 6 not in got
