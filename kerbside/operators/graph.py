@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from kerbside.storage import materialize
+from kerbside.storage import discard, materialize
 
 
 #: Links of a node from which on its rows stay where they are, and at most so many nodes that count as such.
@@ -38,7 +38,8 @@ def components(edges: DataFrame, name: str) -> DataFrame:
         least = large.groupBy("u").agg(F.min("v").alias("m"))
         small = large.join(least, "u").where("v <> m").select(F.col("v").alias("u"), F.col("m").alias("v"))
         small = small.select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v"))
-        now = materialize(small.unionByName(least.select("u", F.col("m").alias("v"))).distinct(), name)
+        last, now = now, materialize(small.unionByName(least.select("u", F.col("m").alias("v"))).distinct(), name)
+        discard(last)
         seen = now.agg(F.count(F.lit(1)), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)"))).first()
         if seen == sign:
             break

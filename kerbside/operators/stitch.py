@@ -15,7 +15,7 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from kerbside.storage import materialize
+from kerbside.storage import discard, materialize
 
 #: Frames for which a lost track can be found again; pixels from its predicted place; frames that are predicted at most.
 MAX_AGE, MAX_PX, MAX_PREDICTED = 60, 100.0, 15
@@ -169,7 +169,8 @@ def stitch(segments: DataFrame, max_age: int = MAX_AGE, max_px: float = MAX_PX,
             break
         again = laid.join(wrong, ["channel_id", "slice"]).groupBy("channel_id", "slice").applyInPandas(run, FACTS)
         kept = found.join(wrong.select("channel_id", "slice"), ["channel_id", "slice"], "left_anti")
-        found = materialize(kept.unionByName(again), "matched")
+        last, found = found, materialize(kept.unionByName(again), "matched")
+        discard(last, wrong)
     facts = found.where("seg_id is not null").groupBy("channel_id", "seg_id").agg(
         *[F.max(c).alias(c) for c in ("prev_seg", "distance", "gap_frames", "lost_frame", "final_frame")])
     own = rows.where("starts").select("channel_id", "seg_id").join(facts, ["channel_id", "seg_id"], "left")

@@ -5,10 +5,13 @@ from __future__ import annotations
 import atexit
 import tempfile
 import uuid
+import weakref
 
 from pyspark.sql import DataFrame, SparkSession
 
 _folders: list[tuple[SparkSession, str]] = []
+#: Where the table of a frame lies, as long as somebody has the frame.
+_paths: weakref.WeakKeyDictionary[DataFrame, str] = weakref.WeakKeyDictionary()
 
 
 def shared_folder(spark: SparkSession) -> str:
@@ -34,14 +37,28 @@ def materialize(df: DataFrame, name: str) -> DataFrame:
     spark = df.sparkSession
     path = fresh_folder(spark, name)
     df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    kept = spark.read.schema(df.schema).parquet(path)
+    _paths[kept] = path
+    return kept
+
+
+def discard(*tables: DataFrame) -> None:
+    """Deletes what ``materialize`` has written for these. Only for tables of which everything made from them is written itself."""
+    for kept in tables:
+        path = _paths.pop(kept, None)
+        if path is not None:
+            _remove(kept.sparkSession, path)
+            _folders.remove((kept.sparkSession, path))
+
+
+def _remove(spark: SparkSession, path: str) -> None:
+    where = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    where.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(where, True)
 
 
 @atexit.register
 def _remove_folders() -> None:
     for spark, path in _folders:
-        jvm = spark.sparkContext._jvm
-        if spark.sparkContext._jsc is None or jvm is None:
+        if spark.sparkContext._jsc is None or spark.sparkContext._jvm is None:
             return
-        where = jvm.org.apache.hadoop.fs.Path(path)
-        where.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(where, True)
+        _remove(spark, path)
