@@ -10,9 +10,9 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from kerbside.operators.graph import components
-from kerbside.storage import materialize, shared_folder
+from kerbside.storage import discard, materialize, shared_folder
 
-__all__ = ["components", "map_arrow", "materialize", "shared_folder", "slices", "table", "whole_rows", "with_words"]
+__all__ = ["components", "discard", "map_arrow", "materialize", "shared_folder", "slices", "table", "whole_rows", "with_words"]
 
 #: Rows of one slice of an Arrow batch are taken up to this many text bytes, so that memory in a
 #: Python worker follows neither the number of rows in a batch nor the length of most texts.

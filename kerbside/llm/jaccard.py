@@ -41,7 +41,7 @@ import xxhash
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from kerbside.llm.common import components, map_arrow, materialize, slices, whole_rows
+from kerbside.llm.common import components, discard, map_arrow, materialize, slices, whole_rows
 from kerbside.operators.ranges import running
 
 SHINGLE = 5
@@ -368,7 +368,9 @@ def verified(pairs: DataFrame, texts: tuple[DataFrame, DataFrame], percent: int)
     members = materialize(map_arrow(own, "text", "class long, members binary", _sets), "sets")
     both = pairs.join(members.select(F.col("class").alias("a"), F.col("members").alias("xs")), "a")
     both = both.join(members.select(F.col("class").alias("b"), F.col("members").alias("ys")), "b")
-    return materialize(both.select("a", "b", "xs", "ys").mapInArrow(exact, "a long, b long"), "links")
+    links = materialize(both.select("a", "b", "xs", "ys").mapInArrow(exact, "a long, b long"), "links")
+    discard(members)
+    return links
 
 
 def bounded(pairs: DataFrame, classes: DataFrame, percent: int) -> DataFrame:
@@ -403,7 +405,9 @@ def linked(docs: DataFrame, percent: int = PERCENT) -> DataFrame:
     centre = centre.where("members > 1").select("tile", "centre")
     stars = met.join(centre, "tile").where("class <> centre")
     stars = stars.select(F.least("centre", "class").alias("a"), F.greatest("centre", "class").alias("b")).distinct()
-    links = verified(bounded(stars, classes, percent), texts, percent)
+    near = bounded(stars, classes, percent)
+    links = verified(near, texts, percent)
+    discard(near)
     joined = components(links, "round1")
 
     now = keys.join(joined.withColumnRenamed("node", "class"), "class", "left")
@@ -411,16 +415,24 @@ def linked(docs: DataFrame, percent: int = PERCENT) -> DataFrame:
     now = now.select("class", "component", "sparse", F.col("n") + F.floor(-F.col("n") * percent / 100) + 1, F.posexplode("keys").alias("k", "shingle"))
     now = now.toDF("class", "component", "sparse", "needed", "k", "shingle")
     now = meeting(now.select("shingle", (F.col("k") < F.col("sparse")).alias("sparse"), (F.col("k") < F.col("needed")).alias("core"), "class", "component"))
-    now = materialize(now.join(keys.select("class", "n"), "class"), "met")
-    now = materialize(counted_out(materialize(counted_out(now, percent), "counted1"), percent), "counted2")
-    now = materialize(opened(now.where("core"), percent), "open")
+    # each of these is a large part of the corpus, and is gone when the next one is written
+    met = materialize(now.join(keys.select("class", "n"), "class"), "met")
+    once = materialize(counted_out(met, percent), "counted1")
+    discard(met)
+    twice = materialize(counted_out(once, percent), "counted2")
+    discard(once)
+    open_ = now = materialize(opened(twice.where("core"), percent), "open")
+    discard(twice)
     same = now.groupBy("tile").agg(F.count(F.lit(1)).alias("k"), *[F.bit_xor(F.xxhash64("class", F.lit(k))).alias(f"x{k}") for k in (1, 2)])
     now = now.join(same.groupBy("k", "x1", "x2").agg(F.min("tile").alias("tile")).select("tile"), "tile", "left_semi")
     # the same few tiles for classes that share most of theirs
     names = [F.min_by("tile", F.xxhash64("tile", F.lit(k))) for k in range(NAMED)]
     named = now.groupBy("class").agg(F.array(*names).alias("named"))
     now = now.join(named, "class").join(classes.drop("n"), "class")
-    more = verified(materialize(across(now, percent), "pairs"), texts, percent)
+    pairs = materialize(across(now, percent), "pairs")
+    discard(open_, own)
+    more = verified(pairs, texts, percent)
+    discard(pairs)
     whole = components(links.unionByName(more), "round2")
     name = number.select(F.col("class").alias("component"), F.col("least").alias("component_id"))
     by_set = number.select("low", "high", "class").join(whole.withColumnRenamed("node", "class"), "class", "left")
