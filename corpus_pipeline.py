@@ -10,7 +10,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from kerbside.llm import decontaminate, jaccard, langid, pack, secrets
-from kerbside.llm.common import materialize, table
+from kerbside.llm.common import discard, materialize, table
 
 
 def language_id(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -71,5 +71,6 @@ ORACLE_SQL = None
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents")
     for name, stage in STAGES[:-1]:
-        docs = materialize(stage(spark, docs, sf_dir), f"stage-{name}")
+        last, docs = docs, materialize(stage(spark, docs, sf_dir), f"stage-{name}")
+        discard(last)
     return STAGES[-1][1](spark, docs, sf_dir)
