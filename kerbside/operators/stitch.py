@@ -23,7 +23,7 @@ MAX_AGE, MAX_PX, MAX_PREDICTED = 60, 100.0, 15
 SLICE = 9_000
 
 _PLACE = ("seg_id", "track_id", "last_frame", "last_cx", "last_cy", "before_frame", "before_cx", "before_cy")
-FACTS = "channel_id long, slice long, seg_id long, prev_seg long, distance double, gap_frames long, lost_frame long, final_frame long, entered string, state string"
+FACTS = "channel_id long, slice long, seg_id long, prev_seg long, root long, distance double, gap_frames long, lost_frame long, final_frame long, entered string, state string"
 
 
 class Matching:
@@ -40,6 +40,8 @@ class Matching:
         self.before: dict[int, list] = {s: b for s, *b in held["before"]}
         self.leaving: list[dict] = []
         self.gone = 0
+        #: The first segment, as far as this slice knows, of each that was matched in it.
+        self.root: dict[int, int] = {}
 
     def state(self) -> str:
         left = {r["seg_id"] for r in self.leaving[: self.gone]}
@@ -81,7 +83,8 @@ class Matching:
                 best, near = track, far
         if best is not None:
             e = self.lost.pop(best)
-            yield {"seg_id": r["seg_id"], "prev_seg": e["seg_id"], "distance": near, "gap_frames": now - e["lost_frame"]}
+            self.root[r["seg_id"]] = self.root.get(e["seg_id"], e["seg_id"])
+            yield {"seg_id": r["seg_id"], "prev_seg": e["seg_id"], "root": self.root[r["seg_id"]], "distance": near, "gap_frames": now - e["lost_frame"]}
             if r["before_frame"] is None:
                 self.before[r["seg_id"]] = [e["last_frame"], e["last_cx"], e["last_cy"]]
 
@@ -141,7 +144,7 @@ def stitch(segments: DataFrame, max_age: int = MAX_AGE, max_px: float = MAX_PX,
     A lineage is a chain of stitched segments, named after its first one. ``frames``: those of a slice, more than ``max_age``."""
     if frames <= max_age + 1:
         raise ValueError("a slice must outlast what is lost in it")
-    names = [x.split()[0] for x in FACTS.split(", ")]
+    columns = [x.split()[0] for x in FACTS.split(", ")]
 
     def run(part: pd.DataFrame) -> pd.DataFrame:
         rows = part.astype(object).where(part.notna(), None).to_dict("records")
@@ -149,7 +152,7 @@ def stitch(segments: DataFrame, max_age: int = MAX_AGE, max_px: float = MAX_PX,
         entered = first["entered"]
         facts, state = match([r for r in rows if r["seg_id"] is not None], entered, None if first["last"] else (first["slice"] + 1) * frames, max_age, max_px)
         beside = {"channel_id": first["channel_id"], "slice": first["slice"]}
-        return pd.DataFrame([{**beside, "entered": entered, "state": state}, *({**beside, **f} for f in facts)], columns=names, dtype=object)
+        return pd.DataFrame([{**beside, "entered": entered, "state": state}, *({**beside, **f} for f in facts)], columns=columns, dtype=object)
 
     rows = materialize(sliced(segments, frames), "segments")
     null = F.lit(None).cast("string")
@@ -158,7 +161,8 @@ def stitch(segments: DataFrame, max_age: int = MAX_AGE, max_px: float = MAX_PX,
     slices = spans.select("channel_id", F.explode(F.sequence("a", "b")).alias("slice"), "b").select("channel_id", "slice", (F.col("slice") == F.col("b")).alias("is_last"))
     laid = slices.join(rows.drop("last"), ["channel_id", "slice"], "left").withColumnRenamed("is_last", "last")
     found = materialize(laid.withColumn("entered", null).groupBy("channel_id", "slice").applyInPandas(run, FACTS), "matched")
-    while True:
+    several = not spans.where("a < b").isEmpty()
+    while several:
         ends = found.where("state is not null").select("channel_id", "slice", "entered", "state")
         before = ends.select("channel_id", (F.col("slice") + 1).alias("slice"), F.col("state").alias("given"))
         nothing = Matching(None, max_age, max_px).state()
@@ -171,22 +175,24 @@ def stitch(segments: DataFrame, max_age: int = MAX_AGE, max_px: float = MAX_PX,
         kept = found.join(wrong.select("channel_id", "slice"), ["channel_id", "slice"], "left_anti")
         last, found = found, materialize(kept.unionByName(again), "matched")
         discard(last, wrong)
-    facts = found.where("seg_id is not null").groupBy("channel_id", "seg_id").agg(
-        *[F.max(c).alias(c) for c in ("prev_seg", "distance", "gap_frames", "lost_frame", "final_frame")])
+    names = ("prev_seg", "root", "distance", "gap_frames", "lost_frame", "final_frame")
+    facts = found.where("seg_id is not null").groupBy("channel_id", "seg_id").agg(*[F.max(c).alias(c) for c in names])
     own = rows.where("starts").select("channel_id", "seg_id").join(facts, ["channel_id", "seg_id"], "left")
-    own = materialize(own, "fates")
-    roots = lineages(own.where("prev_seg is not null").select("channel_id", "seg_id", "prev_seg"))
-    return own.join(roots, ["channel_id", "seg_id"], "left").select(
+    if several:
+        roots = lineages(facts.where("root is not null").select("channel_id", "seg_id", "root"))
+        own = own.drop("root").join(roots, ["channel_id", "seg_id"], "left")
+    return own.select(
         "channel_id", "seg_id", F.coalesce("root", "seg_id").alias("lineage_id"), "prev_seg", "distance", "gap_frames", "lost_frame", "final_frame")
 
 
 def lineages(links: DataFrame) -> DataFrame:
-    """``channel_id, seg_id, root`` of segments that continue another one: each round doubles how far back a segment sees."""
-    found = links.select("channel_id", "seg_id", F.col("prev_seg").alias("root"))
+    """``channel_id, seg_id, root`` of segments that continue another one. ``root`` is the first segment as far as a slice knows; each round
+    doubles how far back a segment sees."""
+    found = materialize(links, "lineages")
     while True:
         further = found.select("channel_id", F.col("seg_id").alias("root"), F.col("root").alias("further"))
+        if found.join(further, ["channel_id", "root"], "left_semi").isEmpty():
+            return found
         met = found.join(further, ["channel_id", "root"], "left")
-        found = materialize(met.select("channel_id", "seg_id", F.coalesce("further", "root").alias("root"), F.col("further").isNotNull().alias("moved")), "lineages")
-        if found.where("moved").isEmpty():
-            return found.select("channel_id", "seg_id", "root")
-        found = found.drop("moved")
+        last, found = found, materialize(met.select("channel_id", "seg_id", F.coalesce("further", "root").alias("root")), "lineages")
+        discard(last)

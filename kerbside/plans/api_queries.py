@@ -79,13 +79,13 @@ kept AS (
     FROM kept s JOIN r q ON q.teacher = s.teacher AND q.site = s.site AND q.stem = s.stem AND q.k = s.k + 1),
 hits AS (SELECT teacher, CAST(sum(n) AS BIGINT) AS matched FROM (SELECT teacher, site, stem, max(n) AS n FROM kept GROUP BY ALL) GROUP BY ALL),
 pairs AS (
-    SELECT s.teacher, coalesce(any_value(matched), 0) AS matched, any_value(c.n) AS candidate, any_value(b.n) AS baseline FROM (SELECT DISTINCT teacher FROM shared) s LEFT JOIN hits USING (teacher)
+    SELECT s.teacher, coalesce(any_value(matched), 0) AS matched, coalesce(any_value(c.n), 0) AS candidate, coalesce(any_value(b.n), 0) AS baseline FROM (SELECT DISTINCT teacher FROM shared) s LEFT JOIN hits USING (teacher)
     LEFT JOIN (SELECT teacher, count(*) AS n FROM cand GROUP BY ALL) c USING (teacher) LEFT JOIN (SELECT teacher, count(*) AS n FROM basis GROUP BY ALL) b USING (teacher) GROUP BY ALL)"""
 
 
 @query(
-    f"{TEACHERS} SELECT t.*, sites, areas, aspects, mean_conf, matched, round(matched / greatest(baseline, 1), 3) AS rate, candidate - matched AS extra, baseline - matched AS missed, baseline, candidate,"
-    " printf('%-20s %8d %10s %10s', t.teacher, total, mean::VARCHAR, mean_conf::VARCHAR) AS line FROM totals t LEFT JOIN sites USING (teacher) LEFT JOIN shapes USING (teacher) LEFT JOIN pairs USING (teacher)"
+    f"{TEACHERS} SELECT t.*, sites, areas, aspects, coalesce(mean_conf, 0) AS mean_conf, matched, round(matched / greatest(baseline, 1), 3) AS rate, candidate - matched AS extra, baseline - matched AS missed, baseline, candidate,"
+    " printf('%-20s %8d %10s %10s', t.teacher, total, mean::VARCHAR, coalesce(mean_conf, 0)::DOUBLE::VARCHAR) AS line FROM totals t LEFT JOIN sites USING (teacher) LEFT JOIN shapes USING (teacher) LEFT JOIN pairs USING (teacher)"
 )
 def teacher_dashboard(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Three teachers: totals, sites, histograms, agreement with the first one, and a line of text each."""
