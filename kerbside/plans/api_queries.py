@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from kerbside.operators import comparison, control, service, tracks
 from kerbside.plans.alert_queries import ALERTS, base
 from kerbside.plans.curation_queries import BOXES, IOU, scenes
-from kerbside.plans.live_queries import COMMANDS, site_commands
+from kerbside.plans.live_queries import COMMANDS, STATES, site_commands, states
 from kerbside.plans.track_queries import IN_ROI, det
 from kerbside.sources import detections as D
 
@@ -128,16 +128,6 @@ def replay_reads(spark: SparkSession, sf_dir: str) -> DataFrame:
     return service.replays(asked, alerts, service.job_status(jobs, cleanups, NOW_MS))
 
 
-def states(rows: DataFrame) -> DataFrame:
-    """The channels that are up after all commands, by name of their source."""
-    last = control.effective(site_commands(rows)).groupBy("channel_id").agg(F.max_by("phase", F.struct("pts_ms", "command_id")).alias("phase"))
-    return last.where("phase is not null").select(F.col("channel_id").alias("channel"), F.concat(F.lit("cam"), "channel_id").alias("source"), "phase")
-
-
-STATES = f"""{COMMANDS}, last_ AS (SELECT channel_id, max_by(coalesce(phase, 'down'), pts_ms * 1000000000 + command_id) AS phase FROM spans GROUP BY ALL),
-states AS (SELECT channel_id AS channel, 'cam' || channel_id AS source, phase FROM last_ WHERE phase <> 'down')"""
-
-
 @query(
     f"{STATES}, asked AS (SELECT DISTINCT track_id AS request_id, track_id % 40 AS channel FROM det), n AS (SELECT channel_id AS channel, count(DISTINCT track_id) AS n FROM det GROUP BY ALL)"
     " SELECT request_id, a.channel, CAST(CASE WHEN phase IS NULL THEN 404 ELSE 200 END AS INT) AS status, source, phase, CASE WHEN phase IS NOT NULL THEN coalesce(n, 0) END AS alert_count"

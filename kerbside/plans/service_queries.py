@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from kerbside.functions import geometry as G
 from kerbside.operators import alerts, curation, tracks
 from kerbside.plans.alert_queries import ALERTS, base
+from kerbside.plans.live_queries import STATES, states
 from kerbside.plans.track_queries import det
 from kerbside.sources import detections as D
 
@@ -59,29 +60,24 @@ def alert_tabs(spark: SparkSession, sf_dir: str) -> DataFrame:
     return alerts.tabs(base(spark, sf_dir))
 
 
-STATES = [(0, "review", "a.mp4"), (1, "analytics", "b.mp4"), (3, "setup", "c.mp4"), (4, "review", "d.mp4")]
-STATES_SQL = "states(channel, phase, source) AS (VALUES " + ", ".join(map(str, STATES)) + ")"
-
-
 @query(
-    f"{ALERTS}, {STATES_SQL} SELECT alert_id, channel, phase, source, CASE WHEN phase = 'review' THEN 'now' WHEN phase IS NULL THEN 'waits' ELSE 'at the end' END AS clip"
+    f"{STATES}{ALERTS.removeprefix(f'WITH {D.DET_SQL}')} SELECT alert_id, channel, phase, source, CASE WHEN phase = 'review' THEN 'now' WHEN phase IS NULL THEN 'waits' ELSE 'at the end' END AS clip"
     " FROM alerts LEFT JOIN states USING (channel)"
 )
 def late_alerts(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Alerts with the phase and source of their channel, and when their clip is cut."""
-    states = spark.createDataFrame(STATES, "channel long, phase string, source string")
-    return alerts.with_channel_state(base(spark, sf_dir), states).select("alert_id", "channel", "phase", "source", "clip")
-
-
-THRESHOLDS = [(0, 0.5), (1, 0.75)]
+    """Alerts with the phase and source that their channel has after all commands, and when their clip is cut."""
+    found = alerts.with_channel_state(base(spark, sf_dir), states(det(spark, sf_dir)))
+    return found.select("alert_id", "channel", "phase", "source", "clip")
 
 
 @query(
-    f"WITH {D.DET_SQL}, s(channel_id, threshold) AS (VALUES {', '.join(map(str, THRESHOLDS))}) SELECT channel_id, count(*) AS n FROM det LEFT JOIN s USING (channel_id)"
-    " WHERE confidence > coalesce(threshold::DOUBLE, 0.25::DOUBLE) GROUP BY ALL"
+    f"WITH {D.DET_SQL}, s AS (SELECT n_nationkey AS channel_id, n_regionkey / 5.0::DOUBLE AS threshold FROM nation WHERE n_nationkey % 3 <> 1) SELECT channel_id, count(*) AS n FROM det LEFT JOIN s USING (channel_id)"
+    " WHERE confidence > coalesce(threshold, 0.25::DOUBLE) GROUP BY ALL"
 )
 def channel_thresholds(spark: SparkSession, sf_dir: str) -> DataFrame:
-    settings = spark.createDataFrame(THRESHOLDS, "channel_id long, threshold double")
+    """Boxes above the threshold of their channel; settings are rows of a table, and some channels have none."""
+    nations = spark.read.parquet(f"{sf_dir}/nation.parquet").where("n_nationkey % 3 <> 1")
+    settings = nations.select(F.col("n_nationkey").cast("long").alias("channel_id"), (F.col("n_regionkey") / F.lit(5.0)).alias("threshold"))
     return tracks.above_thresholds(det(spark, sf_dir), settings).groupBy("channel_id").agg(F.count(F.lit(1)).alias("n"))
 
 
