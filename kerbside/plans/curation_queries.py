@@ -5,7 +5,6 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from kerbside.functions import geometry as G
 from kerbside.functions import urls
 from kerbside.operators import boxes, curation, vectors
 from kerbside.plans.track_queries import det
