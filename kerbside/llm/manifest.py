@@ -97,12 +97,6 @@ def descend(levels: list[DataFrame], tops: DataFrame, keep: list[str]) -> DataFr
     return ways
 
 
-def _height(n: Column) -> Column:
-    """Levels that a tree of n leaves has above them, in whole numbers."""
-    powers = [FAN**k for k in range(41) if FAN**k < 1 << 63]
-    return reduce(lambda a, b: a + b, [(n > p).cast("int") for p in powers])
-
-
 def prove(docs: DataFrame) -> DataFrame:
     """``doc_id, leaf, altered, subroot, root, proof`` of every row."""
     placed = materialize(numbered(leaves(docs), ["doc_id", "leaf"]).withColumnRenamed("leaf", "digest"), "manifest")
