@@ -390,6 +390,7 @@ def bounded(pairs: DataFrame, classes: DataFrame, percent: int) -> DataFrame:
 def linked(docs: DataFrame, percent: int = PERCENT) -> DataFrame:
     """What ``link`` returns, with the ``text_key`` of each row."""
     held = materialize(sketches(docs, percent), "sketches")
+    rows = materialize(held.select("doc_id", "text_key", "n", "low", "high"), "rows")
     some = held.where("n > 0").withColumnRenamed("least", "least_hashes")
     number = numbered(some)
     first = number.select(F.col("low").alias("l"), F.col("high").alias("h"), "least", "key", "class")
@@ -397,6 +398,7 @@ def linked(docs: DataFrame, percent: int = PERCENT) -> DataFrame:
     # by the keys of the join, so that nothing is dealt out again
     own = some.join(first, same).dropDuplicates(["low", "high", "doc_id", "text_key"])
     own = materialize(own.select("class", "n", "keys", "sparse", F.col("least_hashes").alias("least"), "weight", "bitmap"), "sets")
+    discard(held)
     classes, keys = own.select("class", "n", "bitmap"), own.select("class", "n", "sparse", "keys")
     texts = (docs, number.select("class", "least", "key"))
 
@@ -438,7 +440,7 @@ def linked(docs: DataFrame, percent: int = PERCENT) -> DataFrame:
     by_set = number.select("low", "high", "class").join(whole.withColumnRenamed("node", "class"), "class", "left")
     by_set = by_set.withColumn("component", F.coalesce("component", "class")).join(name, "component")
     by_set = by_set.select(F.col("low").alias("l"), F.col("high").alias("h"), "component_id")
-    return held.join(by_set, (F.col("low") == F.col("l")) & (F.col("high") == F.col("h")) & (F.col("n") > 0), "left").select(
+    return rows.join(by_set, (F.col("low") == F.col("l")) & (F.col("high") == F.col("h")) & (F.col("n") > 0), "left").select(
         "doc_id", "text_key", F.col("n").alias("n_shingles"), F.coalesce("component_id", "doc_id").alias("component_id")
     )
 
