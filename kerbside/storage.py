@@ -42,19 +42,19 @@ def materialize(df: DataFrame, name: str) -> DataFrame:
     return kept
 
 
-def discard(*tables: DataFrame) -> None:
-    """Deletes what ``materialize`` has written for these, and shuffle files that nobody refers to any more. Only for tables of which everything
-    made from them is written itself.
+def discard(*tables: DataFrame, shuffles: bool = False) -> None:
+    """Deletes what ``materialize`` has written for these. Only for tables of which everything made from them is written itself.
 
-    Spark removes the files of a shuffle when the driver's collector finds that nothing refers to it; a driver with much memory does so late,
+    ``shuffles``: and shuffle files that nobody refers to any more. Spark removes the files of a shuffle when the driver's collector finds that nothing refers to it; a driver with much memory does so late,
     when the executors' disks hold the shuffles of many steps."""
     for kept in tables:
         path = _paths.pop(kept, None)
         if path is not None:
             _remove(kept.sparkSession, path)
             _folders.remove((kept.sparkSession, path))
-    for context in {kept.sparkSession.sparkContext for kept in tables}:
-        context._jvm.System.gc()
+    if shuffles:
+        for context in {kept.sparkSession.sparkContext for kept in tables}:
+            context._jvm.System.gc()
 
 
 def _remove(spark: SparkSession, path: str) -> None:
