@@ -369,7 +369,7 @@ def verified(pairs: DataFrame, texts: tuple[DataFrame, DataFrame], percent: int)
     both = pairs.join(members.select(F.col("class").alias("a"), F.col("members").alias("xs")), "a")
     both = both.join(members.select(F.col("class").alias("b"), F.col("members").alias("ys")), "b")
     links = materialize(both.select("a", "b", "xs", "ys").mapInArrow(exact, "a long, b long"), "links")
-    discard(members)
+    discard(members, shuffles=True)
     return links
 
 
@@ -398,7 +398,7 @@ def linked(docs: DataFrame, percent: int = PERCENT) -> DataFrame:
     # by the keys of the join, so that nothing is dealt out again
     own = some.join(first, same).dropDuplicates(["low", "high", "doc_id", "text_key"])
     own = materialize(own.select("class", "n", "keys", "sparse", F.col("least_hashes").alias("least"), "weight", "bitmap"), "sets")
-    discard(held)
+    discard(held, shuffles=True)
     classes, keys = own.select("class", "n", "bitmap"), own.select("class", "n", "sparse", "keys")
     texts = (docs, number.select("class", "least", "key"))
 
@@ -420,11 +420,11 @@ def linked(docs: DataFrame, percent: int = PERCENT) -> DataFrame:
     # each of these is a large part of the corpus, and is gone when the next one is written
     met = materialize(now.join(keys.select("class", "n"), "class"), "met")
     once = materialize(counted_out(met, percent), "counted1")
-    discard(met)
+    discard(met, shuffles=True)
     twice = materialize(counted_out(once, percent), "counted2")
-    discard(once)
+    discard(once, shuffles=True)
     open_ = now = materialize(opened(twice.where("core"), percent), "open")
-    discard(twice)
+    discard(twice, shuffles=True)
     same = now.groupBy("tile").agg(F.count(F.lit(1)).alias("k"), *[F.bit_xor(F.xxhash64("class", F.lit(k))).alias(f"x{k}") for k in (1, 2)])
     now = now.join(same.groupBy("k", "x1", "x2").agg(F.min("tile").alias("tile")).select("tile"), "tile", "left_semi")
     # the same few tiles for classes that share most of theirs
@@ -432,7 +432,7 @@ def linked(docs: DataFrame, percent: int = PERCENT) -> DataFrame:
     named = now.groupBy("class").agg(F.array(*names).alias("named"))
     now = now.join(named, "class").join(classes.drop("n"), "class")
     pairs = materialize(across(now, percent), "pairs")
-    discard(open_, own)
+    discard(open_, own, shuffles=True)
     more = verified(pairs, texts, percent)
     discard(pairs)
     whole = components(links.unionByName(more), "round2")
