@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -108,6 +111,29 @@ def read_predictions(spark: SparkSession, path: str) -> DataFrame:
     )
 
 
+def read_catalog(spark: SparkSession, path: str, folder: str) -> DataFrame:
+    """``site, display_name, video, path`` of a YAML catalog ``sites: {site: {display_name, videos: [...]}}``, videos lying in ``folder``.
+
+    A catalog is one short file. Raises if any of its videos is not there, and names them all."""
+    schema = "site string, display_name string, video string, path string"
+
+    def parse(parts: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        import yaml  # only catalogs need it
+
+        for part in parts:
+            for text in part["value"]:
+                sites = yaml.safe_load(text)["sites"]
+                rows = [(str(site), entry["display_name"], str(v), f"{folder}/{v}") for site, entry in sites.items() for v in entry["videos"]]
+                yield pd.DataFrame(rows, columns=[x.split()[0] for x in schema.split(", ")])
+
+    catalog = spark.read.text(path, wholetext=True).mapInPandas(parse, schema)
+    there = spark.read.format("binaryFile").load(folder).select(F.regexp_extract("path", r"[^/]+$", 0).alias("video")).distinct()
+    missing = [f"{r.site}: {r.video}" for r in catalog.join(there, "video", "left_anti").orderBy("site", "video").collect()]
+    if missing:
+        raise FileNotFoundError("videos of the catalog are missing:\n  " + "\n  ".join(missing))
+    return catalog
+
+
 def missing_files(catalog: DataFrame, files: DataFrame) -> DataFrame:
     """Catalog entries whose file is not there; all of them, so that one report names every one."""
     return catalog.join(files, "path", "left_anti")

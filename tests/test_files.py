@@ -77,3 +77,17 @@ def test_label_values_round_as_six_places_of_the_exact_value(spark):
 
     got = [r.line for r in df.select(curation.label_line(F.lit(2), *[F.col("v")] * 4).alias("line")).collect()]
     assert got == ["2 " + " ".join([f"{v:.6f}"] * 4) for v in values]
+
+
+def test_catalog_names_all_missing_videos(spark, tmp_path):
+    pytest.importorskip("yaml")
+    (tmp_path / "videos").mkdir()
+    for name in ("a.mp4", "b c.mp4"):
+        (tmp_path / "videos" / name).write_bytes(b"x")
+    catalog = tmp_path / "sites.yaml"
+    catalog.write_text("sites:\n  north:\n    display_name: 'North & East'\n    videos: [a.mp4, b c.mp4]\n  south:\n    display_name: South\n    videos:\n      - a.mp4\n")
+    found = files.read_catalog(spark, str(catalog), str(tmp_path / "videos"))
+    assert sorted((r.site, r.display_name, r.video) for r in found.collect()) == [("north", "North & East", "a.mp4"), ("north", "North & East", "b c.mp4"), ("south", "South", "a.mp4")]
+    catalog.write_text("sites:\n  north:\n    display_name: N\n    videos: [x.mp4, a.mp4]\n  south:\n    display_name: S\n    videos: [y.mp4]\n")
+    with pytest.raises(FileNotFoundError, match=r"north: x.mp4\n  south: y.mp4"):
+        files.read_catalog(spark, str(catalog), str(tmp_path / "videos"))
