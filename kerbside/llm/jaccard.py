@@ -54,7 +54,7 @@ FEW, EXTRA = 8, 8
 NAMED = 4
 #: Bits of a signature to a shingle, at least; powers of two from LEAST_BITS on, so that signatures fold onto shorter ones.
 LEAST_BITS = 128
-REMEMBERED = 400_000
+REMEMBERED = 150_000
 #: Classes of a block of a tile; a task holds two blocks.
 BLOCK = 2048
 
