@@ -6,6 +6,13 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 
+def rounded(value: Column, places: int) -> Column:
+    """To so many places by the scaled value, as databases round numbers: 0.5065 * 1000 falls short of 506.5 and goes down. Spark's
+    own ``round`` goes by the shortest text of the number, in which that is a tie and goes up."""
+    scale = float(10**places)
+    return F.round(value * scale) / scale
+
+
 def point_in_polygon(x: Column, y: Column, polygon: list[tuple[float, float]]) -> Column:
     """Even-odd rule with half-open edges; an empty polygon holds nothing. A literal polygon unrolls into one
     predicate behind a test of its bounding box."""

@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from kerbside.functions.geometry import rounded
 from kerbside.operators.tracks import duration_ms
 
 #: Columns that summaries leave out; they are the large ones.
@@ -18,8 +19,8 @@ def from_tracks(det: DataFrame) -> DataFrame:
     by = det.groupBy("channel_id", "track_id").agg(
         F.sort_array(F.collect_list(one)).alias("per_frame_data"), F.min("frame").alias("first_seen_frame"),
         F.max("frame").alias("last_seen_frame"), F.min("pts_ms").alias("first_pts"), F.max("pts_ms").alias("last_pts"),
-        F.count(F.lit(1)).alias("frames_tracked"), F.round(F.avg("confidence"), 2).alias("avg_confidence"),
-        F.round(F.max("confidence"), 2).alias("max_confidence"), F.min_by("class_name", "frame").alias("class_name"),
+        F.count(F.lit(1)).alias("frames_tracked"), rounded(F.avg("confidence"), 2).alias("avg_confidence"),
+        rounded(F.max("confidence"), 2).alias("max_confidence"), F.min_by("class_name", "frame").alias("class_name"),
     )
     kind = F.when(F.col("track_id") % 10 == 0, "stagnant").otherwise("transit")
     # the id is derived from what the alert is about: a repeated run gives the same one
@@ -128,7 +129,7 @@ def frame_messages(det: DataFrame) -> DataFrame:
     """One JSON message for each frame, its tracks with the fields that clients draw."""
     track = F.struct(
         F.col("track_id").cast("string").alias("id"), F.col("class_name").alias("class"), F.array("x", "y", "w", "h").alias("bbox"),
-        F.round("confidence", 3).alias("confidence"), F.array("cx", "cy").alias("centroid"),
+        rounded(F.col("confidence"), 3).alias("confidence"), F.array("cx", "cy").alias("centroid"),
     )
     frames = det.groupBy("channel_id", "frame").agg(F.sort_array(F.collect_list(track)).alias("tracks"), F.max("pts_ms").alias("pts_ms"))
     body = F.struct(F.lit("frame_data").alias("type"), F.col("channel_id").alias("channel"), "frame", "pts_ms", "tracks")

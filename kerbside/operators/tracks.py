@@ -123,7 +123,7 @@ def lifetimes(det: DataFrame) -> DataFrame:
     return det.groupBy(*KEYS).agg(
         F.min("frame").alias("first_frame"), F.max("frame").alias("last_frame"),
         (F.max("frame") - F.min("frame") + 1).alias("lifetime"), F.count(F.lit(1)).alias("n_rows"),
-        F.round(F.avg("confidence"), 2).alias("avg_confidence"), F.max("confidence").alias("max_confidence"),
+        G.rounded(F.avg("confidence"), 2).alias("avg_confidence"), F.max("confidence").alias("max_confidence"),
     )
 
 
@@ -148,5 +148,5 @@ def progress(det: DataFrame, every: int = 100) -> DataFrame:
     """At every so many frames of a channel: its boxes and tracks, and the frames and boxes so far, and boxes a frame."""
     frames = det.groupBy("channel_id", "frame").agg(F.count(F.lit(1)).alias("n"), F.countDistinct("track_id").alias("tracks"))
     so_far = running(frames, ["channel_id"], ["frame"], {"frames": F.lit(1).cast("long"), "total": F.col("n")})
-    mean = F.round(F.col("total") / F.col("frames"), 1)
+    mean = G.rounded(F.col("total") / F.col("frames"), 1)
     return so_far.where(F.col("frames") % every == 0).select("channel_id", "frame", "frames", "n", "tracks", "total", mean.alias("mean"))
