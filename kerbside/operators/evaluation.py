@@ -25,17 +25,13 @@ def hits(predictions: DataFrame, truth: DataFrame, keys: list[str], run: str | N
     ``run``: the column of several runs that do not compete. Each prediction asks for the true box of its picture and class that it overlaps most (then the least number); a true
     box takes the highest score that asks for it (then the least number)."""
     own, corners = [*keys, "class_name"], ["x1", "y1", "x2", "y2"]
-    near = boxes.near_pairs(predictions.select(*own, *([run] if run else []), "box", *corners, "score"), truth.select(*own, "box", *corners), own)
-    if run:
-        near, own = near.withColumnRenamed(f"{run}_a", run), [*own, run]
-    asked = near.groupBy(*own, "box_a").agg(
-        F.max_by(F.struct("box_b", "iou"), F.struct("iou", (-F.col("box_b")).alias("b"))).alias("best"), F.max("score_a").alias("score"))
-    reached = F.filter(F.array(*[F.struct(F.lit(k).alias("k"), F.lit(t).alias("t")) for k, t in enumerate(THRESHOLDS)]), lambda x: F.col("best.iou") >= x["t"])
-    asked = asked.select(*own, "box_a", "best.box_b", "score", F.explode(F.transform(reached, lambda x: x["k"])).alias("k"))
-    taken = asked.groupBy(*own, "box_b", "k").agg(F.max_by("box_a", F.struct("score", (-F.col("box_a")).alias("a"))).alias("box"))
-    won = taken.groupBy(*own, "box").agg(*[F.max((F.col("k") == k).cast("int")).alias(f"tp_{k}") for k in range(len(THRESHOLDS))])
-    found = predictions.join(won, [*own, "box"], "left")
-    return found.na.fill(0, [f"tp_{k}" for k in range(len(THRESHOLDS))])
+    asked = boxes.nearest(predictions, truth.select(*own, "box", *corners), own)
+    asked = asked.withColumn("_to", F.coalesce(sum((F.col("iou") >= t).cast("int") for t in THRESHOLDS), F.lit(0)))
+    # a box counts from the threshold that no better one which asks for the same true box reaches, to the last that it reaches itself
+    better = Window.partitionBy(*own, *([run] if run else []), "box_b").orderBy(F.desc("score"), "box").rowsBetween(Window.unboundedPreceding, -1)
+    asked = asked.withColumn("_from", F.coalesce(F.max("_to").over(better), F.lit(0)))
+    right = [((F.col("_from") <= k) & (F.col("_to") > k)).cast("int").alias(f"tp_{k}") for k in range(len(THRESHOLDS))]
+    return materialize(asked.select(*predictions.columns, *right), "hits")
 
 
 def counts(found: DataFrame, truth: DataFrame, by: list[str]) -> DataFrame:
@@ -62,20 +58,23 @@ def average_precision(found: DataFrame, truth: DataFrame, keys: list[str], run:
     by = ["class_name", *([run] if run else [])]
     sizes = materialize(counts(found, truth, by), "classes")
     own = [*by, "k"]
-    points = curve(found, by, keys).withColumn("p", F.col("tp") / F.col("rank"))
-    points = materialize(running(points, own, [F.desc("tp")], maxima={"envelope": F.col("p")}), "curve")
-    every = sizes.where("n_pred > 0").select("*", F.explode(F.sequence(F.lit(0), F.lit(len(THRESHOLDS) - 1))).alias("k"))
-    start = every.select(*own, F.lit(0).cast("long").alias("tp"), F.lit(0).cast("long").alias("rank"), F.lit(1.0).alias("p"))
-    after = points.select(*own, (F.col("tp") - 1).alias("tp"), F.col("rank").alias("next_rank"), F.col("envelope").alias("next"))
-    lines = points.select(*own, "tp", "rank", "p").unionByName(start).join(after, [*own, "tp"], "left").join(sizes, by)
+    levels = lambda until: F.explode(F.sequence(F.lit(0), F.lit(until)))
+    # only what lies on either side of a level counts there: of the points up to it the last, of those beyond it the first and the highest
+    points = curve(found, by, keys).join(sizes.select(*by, "n_truth"), by)
+    level = F.ceil(LEVELS * F.col("tp") / F.col("n_truth")).cast("int").alias("level")
+    held = points.groupBy(*own, level).agg(F.max("tp").alias("most"), F.min("rank").alias("first"), F.max(F.col("tp") / F.col("rank")).alias("p"))
+    every = sizes.where("n_pred > 0").select("*", levels(len(THRESHOLDS) - 1).alias("k")).select("*", levels(LEVELS).alias("level"))
+    up = Window.partitionBy(*own).orderBy("level")
+    beyond = up.rowsBetween(1, Window.unboundedFollowing)
+    lines = every.join(held, [*own, "level"], "left").select(
+        *own, "level", "n_truth", "n_pred", F.coalesce(F.max("most").over(up.rowsBetween(Window.unboundedPreceding, 0)), F.lit(0)).alias("tp"),
+        F.min("first").over(beyond).alias("next_rank"), F.max("p").over(beyond).alias("next"),
+    )
     # the last point of a recall, before the next rise, and the envelope there
     last = F.when(F.col("tp") > 0, F.col("tp") / F.coalesce(F.col("next_rank") - 1, F.col("n_pred")))
     last = F.coalesce(last, F.when(F.col("next_rank") == 1, F.lit(1.0)), F.lit(0.0))
     low, ahead = F.greatest(last, F.coalesce("next", F.lit(0.0))), F.coalesce("next", F.lit(0.0))
-    first_level = lambda tp: F.ceil(LEVELS * tp / F.col("n_truth")).cast("int")
-    until = F.when(F.col("next_rank").isNull(), F.lit(LEVELS)).otherwise(first_level(F.col("tp") + 1) - 1)
-    lines = lines.withColumns({"low": low, "ahead": ahead, "from_": first_level(F.col("tp")), "until": until}).where("from_ <= until")
-    lines = lines.withColumn("level", F.explode(F.sequence("from_", "until")))
+    lines = lines.withColumns({"low": low, "ahead": ahead})
     here, end = F.col("tp") / F.col("n_truth"), F.when(F.col("next_rank").isNull(), 1.0).otherwise((F.col("tp") + 1) / F.col("n_truth"))
     share = F.when(F.col("level") == LEVELS, F.lit(1.0)).otherwise(F.try_divide(F.col("level") / LEVELS - here, end - here))
     height = F.when(F.col("level") == LEVELS, F.lit(0.0)).otherwise(F.col("low") + (F.col("ahead") - F.col("low")) * share)

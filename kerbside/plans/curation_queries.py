@@ -33,12 +33,12 @@ BOXES = f"""WITH RECURSIVE {D.DET_SQL}, boxes AS (SELECT channel_id, frame // 10
     confidence AS score FROM det)"""
 
 
-def scenes(spark: SparkSession, sf_dir: str) -> DataFrame:
+def scenes(spark: SparkSession, sf_dir: str, *more: str) -> DataFrame:
     rows = det(spark, sf_dir)
     x, y = (F.col("x") + 20000) % 200, (F.col("y") + 15000) % 150
     return rows.select(
         "channel_id", F.floor(F.col("frame") / 10).alias("pic"), F.col("det_ord").alias("box"), x.alias("x1"), y.alias("y1"),
-        (x + F.col("w")).alias("x2"), (y + F.col("h")).alias("y2"), F.col("confidence").alias("score"),
+        (x + F.col("w")).alias("x2"), (y + F.col("h")).alias("y2"), F.col("confidence").alias("score"), *more,
     ).withColumns({c: F.col(c).cast("double") for c in ("x1", "y1", "x2", "y2")})
 
 

@@ -134,3 +134,21 @@ def test_pair_figures_equal_all_pairs(spark):
         if all_:
             want[c] = (len(all_), sum(x >= 0.5 for x in all_), round(max(all_), 9))
     assert got == want and got[5][1] == 0 and 6 not in got
+
+
+def test_nearest_and_hits_equal_plain_matching(spark):
+    found, truth = scene(11, 90)
+    found, truth = ([(*r[:4], *map(float, r[4:])) for r in side] for side in (found, truth))
+    p, t = spark.createDataFrame(found, BOXES + ", score double"), spark.createDataFrame(truth, BOXES)
+    best = {}
+    for f in found:
+        near = [(iou(f[4:8], b[4:8]), -b[3]) for b in truth if b[:3] == f[:3] and iou(f[4:8], b[4:8]) >= 0.5]
+        best[f[3]] = (-max(near)[1], max(near)[0]) if near else (None, None)
+    got = {r.box: (r.box_b, r.iou) for r in boxes.nearest(p, t, ["channel_id", "pic", "class_name"]).collect()}
+    assert got == best and any(v[0] is None for v in got.values())
+    hit = evaluation.hits(p, t, ["channel_id", "pic"])
+    for r in hit.collect():
+        asks = [f for f in found if best[f[3]][0] is not None and best[f[3]][0] == best[r.box][0] and f[:3] == (r.channel_id, r.pic, r.class_name)]
+        for k, least in enumerate(evaluation.THRESHOLDS):
+            rivals = [f for f in asks if best[f[3]][1] >= least]
+            assert r[f"tp_{k}"] == int(bool(rivals) and max(rivals, key=lambda f: (f[8], -f[3]))[3] == r.box)
