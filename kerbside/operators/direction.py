@@ -244,10 +244,14 @@ def fold(rows: Iterable[dict], arms: Sequence[Arm], limit: int) -> Iterator[dict
 def alerts(
     det: DataFrame, arms: DataFrame, polygon: list[tuple[float, float]] | None, stagnant_frames: int = int(STAGNANT_SECONDS * FPS)
 ) -> DataFrame:
+    """The alerts of ``followed``, with the fates of its segments stitched here."""
+    rows = tracks.with_segments(tracks.with_roi(det, polygon))
+    return followed(rows, stitch.stitch(tracks.segments(rows)), arms, stagnant_frames)
+
+
+def followed(rows: DataFrame, fates: DataFrame, arms: DataFrame, stagnant_frames: int = int(STAGNANT_SECONDS * FPS)) -> DataFrame:
     """Transit and stagnation alerts of all channels. A vehicle that is still there when its channel ends has none on
     loss; neither has one whose last segment ended outside the region or was discarded by the stitcher."""
-    rows = tracks.with_segments(tracks.with_roi(det, polygon))
-    fates = stitch.stitch(tracks.segments(rows))
     events = lineage_events(rows, arms, fates)
     known = [(a.arm_id, a.x1, a.y1, a.x2, a.y2) for a in arms.orderBy("arm_ord").collect()]
     fields = [x.split() for x in schemas.ALERTS.split(", ")]

@@ -160,6 +160,8 @@ def stitch(segments: DataFrame, max_age: int = MAX_AGE, max_px: float = MAX_PX,
     spans = rows.groupBy("channel_id").agg(F.min("slice").alias("a"), F.max(F.floor(F.col("channel_end") / frames)).alias("b"))
     slices = spans.select("channel_id", F.explode(F.sequence("a", "b")).alias("slice"), "b").select("channel_id", "slice", (F.col("slice") == F.col("b")).alias("is_last"))
     laid = slices.join(rows.drop("last"), ["channel_id", "slice"], "left").withColumnRenamed("is_last", "last")
+    # few bytes but much work: with its number given, slices are not gathered in one task for their size
+    laid = laid.repartition(int(segments.sparkSession.conf.get("spark.sql.shuffle.partitions")), "channel_id", "slice")
     found = materialize(laid.withColumn("entered", null).groupBy("channel_id", "slice").applyInPandas(run, FACTS), "matched")
     several = not spans.where("a < b").isEmpty()
     while several:

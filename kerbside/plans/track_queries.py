@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from kerbside.operators import direction, stitch, tracks
 from kerbside.plans.stitch_sql import STITCHED, TRANSITS
 from kerbside.sources import detections as D
+from kerbside.storage import materialize
 
 QUERIES: dict = {}
 ORACLES: dict[str, str] = {}
@@ -216,12 +217,12 @@ def path_arms(spark: SparkSession, sf_dir: str) -> DataFrame:
 )
 def transit_report(spark: SparkSession, sf_dir: str) -> DataFrame:
     """For each channel, its confirmed and inferred transits, the tracks with a photo, and the merges of the stitcher."""
-    rows = det(spark, sf_dir, piece=30)
-    fates = stitch.stitch(tracks.segments(tracks.with_segments(tracks.with_roi(rows, D.ROI))))
-    found = direction.alerts(rows, D.arms(spark), D.ROI).where("type = 'transit'")
+    rows = materialize(tracks.with_segments(tracks.with_roi(det(spark, sf_dir, piece=30), D.ROI)), "rows")
+    fates = materialize(stitch.stitch(tracks.segments(rows)), "fates")
+    found = direction.followed(rows, fates, D.arms(spark)).where("type = 'transit'")
     of = lambda how: F.count_if(F.col("method") == how).alias(how)
     transits = found.groupBy("channel_id").agg(of("confirmed"), of("inferred"))
-    photos = tracks.best_photo(tracks.with_roi(rows, D.ROI)).groupBy("channel_id").agg(F.count(F.lit(1)).alias("photos"))
+    photos = tracks.best_photo(rows).groupBy("channel_id").agg(F.count(F.lit(1)).alias("photos"))
     merges = fates.groupBy("channel_id").agg(F.count("prev_seg").alias("merges"))
     return merges.join(photos, "channel_id", "left").join(transits, "channel_id", "left").na.fill(0)
 

@@ -169,3 +169,19 @@ def test_alerts_end_to_end(spark):
     )
     got = direction.alerts(spark.createDataFrame(rows, schemas.DETECTIONS), arms, None).collect()
     assert [(r.type, r.entry_arm, r.exit_arm, r.method) for r in got if r.track_id == "7"][:1] == [("transit", "north", "south", "confirmed")]
+
+
+def test_the_report_stitches_once_and_channels_side_by_side(spark, monkeypatch):
+    import glob
+
+    from kerbside import storage
+    from kerbside.plans import track_queries
+
+    calls, own = [], stitch.stitch
+    monkeypatch.setattr(stitch, "stitch", lambda *a, **k: calls.append(a) or own(*a, **k))
+    folder = storage.shared_folder(spark).removeprefix("file://")
+    seen = set(glob.glob(f"{folder}/matched-*"))
+    track_queries.transit_report(spark, "/root/testdata/sf0.01")
+    assert len(calls) == 1
+    new = set(glob.glob(f"{folder}/matched-*")) - seen
+    assert max(len(glob.glob(f"{n}/part-*")) for n in new) > 1
